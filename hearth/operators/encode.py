@@ -201,8 +201,9 @@ def _fill_with(df: DataFrame, values: dict[str, float | None], compat: bool) ->
     if compat:
         first = next((values[c] for c in cols if values[c] is not None), None)
         values = {c: first for c in cols}
+    # a column with gaps is float in the reference (NaN), so the filled column is double
     return df.select(*[
-        F.coalesce(F.col(c), F.lit(values[c]).cast(df.schema[c].dataType)).alias(c)
+        F.coalesce(F.col(c).cast("double"), F.lit(values[c]).cast("double")).alias(c)
         if c in values and values[c] is not None else F.col(c) for c in df.columns])
 
 
@@ -214,7 +215,7 @@ def fill_mean(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), compat
     if by and not compat:
         st = fit.groupBy(*by).agg(*[F.avg(c).alias(f"__m_{c}") for c in cols])
         j = df.join(st, list(by), "left")
-        return j.select(*[F.coalesce(F.col(c), F.col(f"__m_{c}").cast(df.schema[c].dataType)).alias(c)
+        return j.select(*[F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}")).alias(c)
                           if c in cols else F.col(c) for c in df.columns])
     row = _one_row(fit.agg(*[F.avg(c).alias(c) for c in cols]))
     return _fill_with(df, {c: row[c] for c in cols}, compat)

@@ -25,6 +25,11 @@ def long_form(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (), as_ty
     return sel.unpivot(list(ids), list(cols), column_name, value_name)
 
 
+def count_per_key(df: DataFrame, key: str = "id", name: str = "n") -> DataFrame:
+    """A1: rows per key (partial aggregation map-side, then one shuffle)."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+
+
 def column_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """A2/A3: n (non-null), mean, std (n-1), min, max per column (and group)."""
     lf = long_form(df, cols, ids=by)
@@ -136,9 +141,9 @@ def class_overlap(df: DataFrame, cols: Sequence[str], label: str = "poor", n_bin
         F.least(F.floor((F.col("value") - F.col("__mn")) / width * n_bins), F.lit(n_bins - 1)))
     hist = (j.groupBy("column", b.alias("bin"))
             .agg(F.sum(y).alias("n1"), F.sum(1 - y).alias("n0"),
-                 F.first("__N1").alias("N1"), F.first("__N0").alias("N0")))
+                 F.first("__N1").alias("tot1"), F.first("__N0").alias("tot0")))
     overlap = hist.groupBy("column").agg(
-        F.sum(F.least(F.col("n0") / F.col("N0"), F.col("n1") / F.col("N1"))).alias("overlap"))
+        F.sum(F.least(F.col("n0") / F.col("tot0"), F.col("n1") / F.col("tot1"))).alias("overlap"))
     cum = ordered_cumulative(lf, "value", {"p": y.cast("long"), "q": (1 - y).cast("long")}, by=["column"])
     cum = cum.join(rng.select("column", "__N1", "__N0"), "column")
     ks = cum.groupBy("column").agg(
