@@ -63,38 +63,42 @@ def upsample(df: DataFrame, label: str = "poor", seed: int = 144, minority=True,
 
 
 def stratified_kfold(df: DataFrame, k: int = 3, label: str = "poor", seed: int = 2,
-                     key: Sequence[str] = ("id",), fold_col: str = "fold") -> DataFrame:
-    """R3 ``StratifiedKFold(k, shuffle=True)``: within each class, rows are
-    ordered by ``md5(key || seed)`` and dealt round-robin: fold = (rank-1) % k.
-    Fold sizes per class differ by at most one."""
-    r = hash_rank(df, list(key), seed, by=[label], rank_col="__r")
+                     key: Sequence[str] = ("id",), fold_col: str = "fold", by: Sequence[str] = ()) -> DataFrame:
+    """R3 ``StratifiedKFold(k, shuffle=True)``: within each class (and group
+    ``by``, e.g. country), rows are ordered by ``md5(key || seed)`` and dealt
+    round-robin: fold = (rank-1) % k. Fold sizes per class differ by at most one."""
+    r = hash_rank(df, list(key), seed, by=[*by, label], rank_col="__r")
     return r.withColumn(fold_col, F.pmod(F.col("__r") - 1, F.lit(k)).cast("int")).drop("__r")
 
 
 def stratified_kfold_ordered(df: DataFrame, k: int = 3, label: str = "poor", key: str = "id",
-                             fold_col: str = "fold") -> DataFrame:
+                             fold_col: str = "fold", by: Sequence[str] = ()) -> DataFrame:
     """R4 ``StratifiedKFold`` without shuffling: contiguous blocks per class in
     key order (``ntile(k)`` semantics: the first ``n % k`` folds get one extra
     row). The key must be unique; the rank comes from the distributed running
     count over the key, not a single-task window."""
-    cum = ordered_cumulative(df, key, {"__c": F.lit(1).cast("long")}, by=[label])
-    tot = cum.groupBy(label).agg(F.max("cum___c").alias("__n"))
-    ranks = cum.join(tot, label).select(label, key, (F.col("cum___c") - 1).alias("__r0"), "__n")
+    g = [*by, label]
+    cum = ordered_cumulative(df, key, {"c": F.lit(1).cast("long")}, by=g)
+    tot = cum.groupBy(*g).agg(F.max("cum_c").alias("__n"))
+    ranks = cum.join(tot, g).select(*g, key, (F.col("cum_c") - 1).alias("__r0"), "__n")
     q = F.floor(F.col("__n") / k)
     rem = F.col("__n") - q * k
     big = rem * (q + 1)
     fold = F.when(F.col("__r0") < big, F.floor(F.col("__r0") / (q + 1))) \
         .otherwise(rem + F.floor((F.col("__r0") - big) / q))
-    ranks = ranks.select(label, key, fold.cast("int").alias(fold_col))
-    return df.join(ranks, [label, key], "inner")
+    ranks = ranks.select(*g, key, fold.cast("int").alias(fold_col))
+    return df.join(ranks, [*g, key], "inner")
 
 
 def stratified_holdout(df: DataFrame, test_size: float = 0.05, label: str = "poor", seed: int = 0,
-                       key: Sequence[str] = ("id",), split_col: str = "_holdout") -> DataFrame:
-    """R5 ``train_test_split(stratify=y, test_size)``: per class, the
-    ``ceil(test_size * n_class)`` rows with the smallest hash are 'test'."""
-    r = hash_rank(df, list(key), seed, by=[label], rank_col="__r")
-    n = df.groupBy(label).agg(F.ceil(F.count(F.lit(1)) * F.lit(test_size)).alias("__nt"))
-    j = r.join(n, label)
+                       key: Sequence[str] = ("id",), split_col: str = "_holdout",
+                       by: Sequence[str] = ()) -> DataFrame:
+    """R5 ``train_test_split(stratify=y, test_size)``: per class (and group),
+    the ``ceil(test_size * n_class)`` rows with the smallest hash are 'test'.
+    The seed is required (ledger D19)."""
+    g = [*by, label]
+    r = hash_rank(df, list(key), seed, by=g, rank_col="__r")
+    n = df.groupBy(*g).agg(F.ceil(F.count(F.lit(1)) * F.lit(test_size)).alias("__nt"))
+    j = r.join(n, g)
     return j.withColumn(split_col, F.when(F.col("__r") <= F.col("__nt"), "test").otherwise("train")) \
         .drop("__r", "__nt")
