@@ -158,7 +158,7 @@ _AUC_SQL = S + """, d AS (SELECT country, p, sum(CAST(poor AS INTEGER)) AS pos,
              FROM t GROUP BY country, p),
 c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY country ORDER BY p
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM d)
-SELECT country, sum(pos) AS n_pos, sum(neg) AS n_neg,
+SELECT country, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg,
        sum(pos * (nb + neg / 2.0)) / (sum(pos) * sum(neg)) AS auc FROM c GROUP BY country"""
 
 

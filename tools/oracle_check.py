@@ -77,6 +77,14 @@ def main():
             print(f"FAIL  {name}: columns spark={sorted(scols)} duck={sorted(dcols)}")
             bad += 1
             continue
+        tmap = {"LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE",
+                "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN", "ShortType()": "SMALLINT",
+                "FloatType()": "FLOAT", "TimestampType()": "TIMESTAMP"}
+        stypes = {f.name: tmap.get(repr(f.dataType), repr(f.dataType)) for f in df.schema.fields}
+        dtypes = {d[0]: str(d[1]) for d in res.description}
+        tdiff = {c: (stypes[c], dtypes[c]) for c in scols if stypes[c] != dtypes.get(c)}
+        if tdiff:
+            print(f"TYPE  {name}: {tdiff}")
         a, b = rows_of(scols, srows), rows_of(dcols, drows)
         if a != b:
             diff = [x for x in a if x not in set(b)][:3]
