@@ -386,3 +386,19 @@ def e15(spark, sf):
     """The composite pre-processing (standardise, get_dummies, fill 0)."""
     t = _train(ni(spark, sf)).select("id", "c_mktsegment", "c_nationkey", "num_indiv", "_split")
     return encode.preprocess(t, normalize_num="standardize", categorical="get_dummies", fillmean=None)
+
+
+@query("p13_preprocess_enforce", f"""WITH {HH},\n{IND},\n{NI},
+t AS (SELECT id, c_mktsegment, c_nationkey, num_indiv, _split FROM ni WHERE _split = 'test')
+SELECT id, _split,
+  coalesce((c_nationkey - avg(c_nationkey) OVER ()) / nullif(stddev_samp(c_nationkey) OVER (), 0), 0) AS c_nationkey,
+  coalesce((num_indiv - avg(num_indiv) OVER ()) / nullif(stddev_samp(num_indiv) OVER (), 0), 0) AS num_indiv,
+  {_dummies('c_mktsegment', SEGMENTS)}, CAST(0 AS INTEGER) AS not_in_validation
+FROM t""", round_cols=["c_nationkey", "num_indiv"])
+def p13(spark, sf):
+    """P13/E15 on validation rows: train's vocabulary, then train's column list
+    enforced (a train-only column is added as 0), own scaling statistics."""
+    sel = ni(spark, sf).select("id", "c_mktsegment", "c_nationkey", "num_indiv", "_split")
+    tr, te = _train(sel), sel.where(F.col("_split") == "test")
+    cols = encode.preprocess(tr, categorical="get_dummies").columns + ["not_in_validation"]
+    return encode.preprocess(te, categorical="get_dummies", vocab_from=tr, enforce=cols)

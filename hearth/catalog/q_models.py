@@ -70,7 +70,7 @@ def m5(spark, sf):
     for r in rs.values():
         r.model = {"kind": "random_forest", "n_estimators": QUERY_TREES, "max_depth": 5, "seed": 144}
     h, i = _hh_ind(spark, sf)
-    return train.run_all(rs, h, i)
+    return train.run_all(rs, h, i, parallel=True)
 
 
 @query("m7_linear_svc_a", heavy=True)
@@ -118,9 +118,9 @@ def m11(spark, sf):
 
 @query("m12_all_countries_submission", heavy=True)
 def m12(spark, sf):
-    """The three country models, one concatenated submission."""
+    """The three country models (fitted concurrently), one concatenated submission."""
     h, i = _hh_ind(spark, sf)
-    return train.run_all(_recipes(), h, i)
+    return train.run_all(_recipes(), h, i, parallel=True)
 
 
 def _ff_a(spark, sf):

@@ -66,13 +66,14 @@ def hash_rank(df: DataFrame, key_cols: Sequence[str], seed: int | str, by: Seque
 
 def ordered_cumulative(df: DataFrame, value_col: str, weights: Mapping[str, Column],
                        by: Sequence[str] = (), n_buckets: int = 64,
-                       accuracy: int = 10000) -> DataFrame:
+                       accuracy: int = 1000) -> DataFrame:
     """Running sums of ``weights`` over the distinct values of ``value_col``.
 
     Returns one row per (group, distinct value) with, for each weight ``w``:
-    ``w`` (sum at this value), ``cum_w`` (sum over values <= this one) and
-    ``w_before`` (sum over values < this one). Ties share one row, so the
-    result is tie-safe. Rows whose value is NULL are ignored.
+    ``w`` (sum at this value), ``cum_w`` (sum over values <= this one),
+    ``w_before`` (sum over values < this one) and ``tot_w`` (group total).
+    Ties share one row, so the result is tie-safe. Rows whose value is NULL
+    are ignored.
 
     The distinct values are cut into ``n_buckets`` ranges at approximate
     quantiles (``percentile_approx`` per group); bucket totals become offsets
@@ -83,7 +84,7 @@ def ordered_cumulative(df: DataFrame, value_col: str, weights: Mapping[str, Colu
     base = df.where(F.col(value_col).isNotNull())
     base, groups, one = _with_group(base, by)
     v = "__v"
-    dist = (base.groupBy(*groups, F.col(value_col).cast("double").alias(v))
+    dist = (base.groupBy(*groups, F.col(value_col).alias(v))
             .agg(*[F.sum(weights[n]).alias(n) for n in names]))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = dist.groupBy(*groups).agg(
@@ -92,13 +93,16 @@ def ordered_cumulative(df: DataFrame, value_col: str, weights: Mapping[str, Colu
     dist = dist.withColumn("__bk", F.size(F.filter("__bounds", lambda x: x < F.col(v)))).drop("__bounds")
     totals = dist.groupBy(*groups, "__bk").agg(*[F.sum(n).alias(f"__t_{n}") for n in names])
     w_off = Window.partitionBy(*groups).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy(*groups)
     offsets = totals.select(*groups, "__bk", *[
-        F.coalesce(F.sum(f"__t_{n}").over(w_off), F.lit(0)).alias(f"__o_{n}") for n in names])
+        F.coalesce(F.sum(f"__t_{n}").over(w_off), F.lit(0)).alias(f"__o_{n}") for n in names], *[
+        F.sum(f"__t_{n}").over(w_all).alias(f"tot_{n}") for n in names])
     dist = dist.join(offsets, [*groups, "__bk"], "inner")
     w = Window.partitionBy(*groups, "__bk").orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
     out = dist.select(
         *groups, F.col(v).alias(value_col), *names,
-        *[(F.sum(n).over(w) + F.col(f"__o_{n}")).alias(f"cum_{n}") for n in names])
+        *[(F.sum(n).over(w) + F.col(f"__o_{n}")).alias(f"cum_{n}") for n in names],
+        *[f"tot_{n}" for n in names])
     for n in names:
         out = out.withColumn(f"{n}_before", F.col(f"cum_{n}") - F.col(n))
     return out.drop(_ALL) if one else out
@@ -116,10 +120,8 @@ def exact_quantile(df: DataFrame, value_col: str, q: float, by: Sequence[str] =
         raise ValueError("q must be in [0, 1]")
     cum = ordered_cumulative(df, value_col, {"n": F.lit(1).cast("long")}, by=by, n_buckets=n_buckets)
     cum, groups, one = _with_group(cum, by)
-    tot = cum.groupBy(*groups).agg(F.max("cum_n").alias("__N"))
-    pos = F.lit(q) * (F.col("__N") - 1)
-    tot = tot.select(*groups, pos.alias("__pos"), F.floor(pos).alias("__lo"), F.ceil(pos).alias("__hi"))
-    j = _join_small(cum, tot, groups, one)
+    pos = F.lit(q) * (F.col("tot_n") - 1)
+    j = cum.select("*", pos.alias("__pos"), F.floor(pos).alias("__lo"), F.ceil(pos).alias("__hi"))
 
     def covers(r: Column) -> Column:
         return (F.col("n_before") <= r) & (r < F.col("cum_n"))
