@@ -1,12 +1,9 @@
 """Run registered queries in Spark and their oracle SQL in DuckDB; compare.
 
 Usage: python tools/oracle_check.py [sf_dir] [name-regex]
-Comparison: same column names (sorted), same row count, same multiset of
-rows (doubles rounded to 6 places, as both sides already do).
 """
 from __future__ import annotations
 
-import math
 import os
 import re
 import sys
@@ -14,85 +11,30 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import duckdb  # noqa: E402
-
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-
-
-def norm(v):
-    if v is None:
-        return ("~null",)
-    if isinstance(v, float):
-        if math.isnan(v):
-            return ("~nan",)
-        return round(v, 6) + 0.0
-    if hasattr(v, "item"):
-        return norm(v.item())
-    return v
-
-
-def rows_of(cols, records):
-    order = sorted(range(len(cols)), key=lambda i: cols[i])
-    out = [tuple(norm(r[i]) for i in order) for r in records]
-    return sorted(out, key=repr)
-
 
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     pat = re.compile(sys.argv[2]) if len(sys.argv) > 2 else None
+    from hearth.catalog import REGISTRY
+    from hearth.catalog.oracle import compare, duck
     from hearth.session import get_spark
-    import __spark_entry__ as E
     spark = get_spark("local[8]", 8)
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
-    qs, sqls = E.queries(), E.oracle_sql()
+    con = duck(sf)
     bad = 0
-    for name, fn in qs.items():
+    for name, e in REGISTRY.items():
         if pat and not pat.search(name):
             continue
         t0 = time.time()
         try:
-            df = fn(spark, sf)
-            srows = [tuple(r) for r in df.collect()]
-            scols = df.columns
-        except Exception as e:  # noqa: BLE001
-            print(f"FAIL  {name}: spark error {type(e).__name__}: {str(e)[:400]}")
-            bad += 1
-            continue
-        ts = time.time() - t0
-        if name not in sqls:
-            print(f"rows  {name}: {len(srows)} rows ({ts:.1f}s) [no oracle]")
-            continue
-        try:
-            res = con.execute(sqls[name])
-            dcols = [d[0] for d in res.description]
-            drows = res.fetchall()
-        except Exception as e:  # noqa: BLE001
-            print(f"FAIL  {name}: duckdb error {str(e)[:400]}")
-            bad += 1
-            continue
-        if sorted(scols) != sorted(dcols):
-            print(f"FAIL  {name}: columns spark={sorted(scols)} duck={sorted(dcols)}")
-            bad += 1
-            continue
-        tmap = {"LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE",
-                "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN", "ShortType()": "SMALLINT",
-                "FloatType()": "FLOAT", "TimestampType()": "TIMESTAMP"}
-        stypes = {f.name: tmap.get(repr(f.dataType), repr(f.dataType)) for f in df.schema.fields}
-        dtypes = {d[0]: str(d[1]) for d in res.description}
-        tdiff = {c: (stypes[c], dtypes[c]) for c in scols if stypes[c] != dtypes.get(c)}
-        if tdiff:
-            print(f"TYPE  {name}: {tdiff}")
-        a, b = rows_of(scols, srows), rows_of(dcols, drows)
-        if a != b:
-            diff = [x for x in a if x not in set(b)][:3]
-            diff2 = [x for x in b if x not in set(a)][:3]
-            print(f"FAIL  {name}: rows spark={len(a)} duck={len(b)}\n   spark-only {diff}\n   duck-only {diff2}")
-            bad += 1
-        else:
-            print(f"ok    {name}: {len(a)} rows ({ts:.1f}s)")
+            if e.sql is None:
+                n = e.fn(spark, sf).count()
+                print(f"rows  {name}: {n} rows ({time.time() - t0:.1f}s) [no oracle]")
+                continue
+            ok, msg = compare(spark, con, e, sf)
+        except Exception as ex:  # noqa: BLE001
+            ok, msg = False, f"error {type(ex).__name__}: {str(ex)[:300]}"
+        bad += not ok
+        print(f"{'ok  ' if ok else 'FAIL'}  {name}: {msg} ({time.time() - t0:.1f}s)")
     print(f"done, {bad} failing")
     spark.stop()
 
