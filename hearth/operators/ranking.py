@@ -41,14 +41,16 @@ def _join_small(big: DataFrame, small: DataFrame, keys: list[str], one_row: bool
 
 
 def hash_rank(df: DataFrame, key_cols: Sequence[str], seed: int | str, by: Sequence[str] = (),
-              rank_col: str = "_rank", digits: int = 3) -> DataFrame:
+              rank_col: str = "_rank", digits: int = 4) -> DataFrame:
     """Exact 1-based rank of each row by ``md5(key || seed)`` within ``by``.
 
     Level 1: bucket = first ``digits`` hex digits of the hash; count rows per
     (group, bucket) and turn the counts into offsets (a window over at most
     ``groups * 16**digits`` rows). Level 2: ``row_number`` inside each
     (group, bucket) plus the bucket's offset. Equal to the flat window.
-    Group columns must be non-null.
+    With 4 digits a group of 10^11 rows gives window groups of ~1.5M rows.
+    Group columns must be non-null; keys should be unique (a repeated key
+    lands in one bucket).
     """
     h, b, off = "__h", "__b", "__off"
     d = df.withColumn(h, hash_hex(key_cols, seed))
@@ -64,9 +66,25 @@ def hash_rank(df: DataFrame, key_cols: Sequence[str], seed: int | str, by: Seque
     return d.drop(_ALL) if one else d
 
 
+def _bucket_of(bounds: Column, n_used: Column, v: Column, steps: int) -> Column:
+    """Index of the first of the ``n_used`` chosen bounds that is >= v, by
+    binary search (``steps`` = ceil(log2(max buckets))), O(log B) per row.
+    The chosen bounds are every ``stride``-th entry of the fine bound array."""
+    init = F.struct(F.lit(0).alias("lo"), (n_used - 1).alias("hi"))
+
+    def step(acc, _):
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        go_right = F.element_at(bounds, mid + 1) < v
+        open_ = acc["lo"] <= acc["hi"]
+        return F.struct(F.when(open_ & go_right, mid + 1).otherwise(acc["lo"]).alias("lo"),
+                        F.when(open_ & ~go_right, mid - 1).otherwise(acc["hi"]).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
+
+
 def ordered_cumulative(df: DataFrame, value_col: str, weights: Mapping[str, Column],
-                       by: Sequence[str] = (), n_buckets: int = 64,
-                       accuracy: int = 1000) -> DataFrame:
+                       by: Sequence[str] = (), max_buckets: int = 1024,
+                       rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Running sums of ``weights`` over the distinct values of ``value_col``.
 
     Returns one row per (group, distinct value) with, for each weight ``w``:
@@ -75,10 +93,14 @@ def ordered_cumulative(df: DataFrame, value_col: str, weights: Mapping[str, Colu
     Ties share one row, so the result is tie-safe. Rows whose value is NULL
     are ignored.
 
-    The distinct values are cut into ``n_buckets`` ranges at approximate
-    quantiles (``percentile_approx`` per group); bucket totals become offsets
-    and each bucket computes its running sum in its own window partition.
-    Exactness does not depend on the approximation: it only balances buckets.
+    Plan: (1) aggregate rows to distinct (group, value) - partial aggregation
+    collapses hot values map-side; (2) per group, one pass gives the distinct
+    count and ``max_buckets - 1`` approximate quantile bounds; a group uses
+    ``ceil(count / rows_per_bucket)`` buckets (1 for small data, up to
+    ``max_buckets``), located by binary search; (3) bucket totals -> offsets
+    (a window over at most groups x buckets rows); (4) the running sum of each
+    bucket in its own window partition plus its offset. Exactness does not
+    depend on the approximate bounds: they only balance the buckets.
     """
     names = list(weights)
     base = df.where(F.col(value_col).isNotNull())
@@ -86,11 +108,19 @@ def ordered_cumulative(df: DataFrame, value_col: str, weights: Mapping[str, Colu
     v = "__v"
     dist = (base.groupBy(*groups, F.col(value_col).alias(v))
             .agg(*[F.sum(weights[n]).alias(n) for n in names]))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = dist.groupBy(*groups).agg(
-        F.percentile_approx(v, F.array(*[F.lit(p) for p in probs]), accuracy).alias("__bounds"))
-    dist = _join_small(dist, bounds, groups, one)
-    dist = dist.withColumn("__bk", F.size(F.filter("__bounds", lambda x: x < F.col(v)))).drop("__bounds")
+    probs = [i / max_buckets for i in range(1, max_buckets)]
+    steps = max(1, (max_buckets - 1).bit_length())
+    stats = dist.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("__nd"),
+        F.percentile_approx(v, F.array(*[F.lit(p) for p in probs]), 4 * max_buckets).alias("__fine"))
+    nb = F.least(F.lit(max_buckets), F.greatest(F.lit(1), F.ceil(F.col("__nd") / F.lit(rows_per_bucket))))
+    stride = F.floor(F.lit(max_buckets) / nb).cast("int")
+    stats = stats.select(*groups, (nb - 1).cast("int").alias("__nu"), F.transform(
+        F.sequence(F.lit(1), F.greatest(nb - 1, F.lit(1)).cast("int")),
+        lambda i: F.element_at("__fine", F.least(i * stride, F.lit(max_buckets - 1)))).alias("__bounds"))
+    dist = _join_small(dist, stats, groups, one)
+    dist = dist.withColumn("__bk", F.when(F.col("__nu") <= 0, F.lit(0)).otherwise(
+        _bucket_of(F.col("__bounds"), F.col("__nu"), F.col(v), steps))).drop("__bounds", "__nu")
     totals = dist.groupBy(*groups, "__bk").agg(*[F.sum(n).alias(f"__t_{n}") for n in names])
     w_off = Window.partitionBy(*groups).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*groups)
@@ -109,7 +139,7 @@ def ordered_cumulative(df: DataFrame, value_col: str, weights: Mapping[str, Colu
 
 
 def exact_quantile(df: DataFrame, value_col: str, q: float, by: Sequence[str] = (),
-                   out_col: str = "quantile", n_buckets: int = 64) -> DataFrame:
+                   out_col: str = "quantile", rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Exact quantile with linear interpolation between closest ranks.
 
     Same definition as ``percentile``/``median`` in Spark and ``quantile_cont``
@@ -118,7 +148,8 @@ def exact_quantile(df: DataFrame, value_col: str, q: float, by: Sequence[str] =
     """
     if not 0.0 <= q <= 1.0:
         raise ValueError("q must be in [0, 1]")
-    cum = ordered_cumulative(df, value_col, {"n": F.lit(1).cast("long")}, by=by, n_buckets=n_buckets)
+    cum = ordered_cumulative(df, value_col, {"n": F.lit(1).cast("long")}, by=by,
+                             rows_per_bucket=rows_per_bucket)
     cum, groups, one = _with_group(cum, by)
     pos = F.lit(q) * (F.col("tot_n") - 1)
     j = cum.select("*", pos.alias("__pos"), F.floor(pos).alias("__lo"), F.ceil(pos).alias("__hi"))

@@ -1,8 +1,9 @@
 """Cross-validation drivers.
 
 Folds are a column (R3/R4), so a fold's train and validation parts are
-filters of one frame, and individuals are attached per part by semi join
-(J2) with the coverage check (J3). Metrics of every fold come back as one
+filters of one frame. Household sizes come from the individuals of the
+country's households (J2 semi join, J1 count) once, not once per fold, and
+the coverage check (J3) reads them. Metrics of every fold come back as one
 ``(country, fold, metric, value)`` frame.
 """
 
@@ -27,11 +28,10 @@ class CoverageError(AssertionError):
     pass
 
 
-def check_coverage(hhold: DataFrame, indiv: DataFrame) -> None:
-    """J3 run-time check: at least one household has an individual (the
-    reference's ``any``)."""
-    cov = joins.coverage(hhold, indiv, by=[]).first()
-    if cov is None or not cov["any_covered"]:
+def check_coverage(hhold_with_sizes: DataFrame) -> None:
+    """J3 run-time check: at least one household of the part has an
+    individual (the reference's ``any``), read off ``num_indiv``."""
+    if not hhold_with_sizes.where(F.col("num_indiv") > 0).take(1):
         raise CoverageError("no household of the fold has an individual")
 
 
@@ -40,28 +40,34 @@ def cross_validate(recipe: Recipe, hhold_train: DataFrame, indiv: DataFrame, k:
                    model: dict | None = None) -> DataFrame:
     """M10 ``skfCV_*``: stratified k-fold CV of a country's recipe.
 
-    Per fold: validation households = fold f, train = the others; features
-    are built with each part's own scaling statistics (reference parity)
-    and a joint vocabulary; the train part is optionally resampled; the
-    model is fitted and the validation part scored.
+    Household sizes are counted once (J1 on the individuals of the country's
+    households, J2) and persisted with the fold column; per fold the
+    validation households are fold f and the train households the others.
+    Features are built with each part's own scaling statistics (reference
+    parity) and a joint vocabulary; the train part is optionally resampled;
+    the model is fitted and the validation part scored.
     """
     h = hhold_train.where(F.col("country") == recipe.country)
+    ind = schema.rename_columns(schema.drop_columns(indiv, recipe.drop_indiv), recipe.rename_indiv)
+    h = joins.num_indiv(h, joins.indiv_of(ind.select("id"), h))
     h = sampling.stratified_kfold(h, k=k, seed=seed).persist()
     spec = model or recipe.model
     reports = []
     for f in range(k):
         part = h.withColumn("_split", F.when(F.col("fold") == f, "test").otherwise("train")).drop("fold")
-        ind_f = joins.indiv_of(indiv, part)
-        check_coverage(part.where(F.col("_split") == "train"), ind_f)
-        ff = build_features(recipe, part, ind_f)
+        check_coverage(part.where(F.col("_split") == "train"))
+        ff = build_features(recipe, part, None)
         train = resample(label_column(ff.df.where(F.col("_split") == "train")), how)
         fitted = fit_model(train, ff.feature_cols, spec)
         val = score(fitted, ff.df.where(F.col("_split") == "test"))
         rep = metrics.classification_report(val, "poor", "p").withColumn("fold", F.lit(f).cast("long"))
         reports.append(rep.withColumn("country", F.lit(recipe.country)))
-    h.unpersist()
     rep = schema.union_frames(reports)
-    return metrics.long_metrics(rep, ["country", "fold"], REPORT_METRICS)
+    out = metrics.long_metrics(rep, ["country", "fold"], REPORT_METRICS)
+    # the metrics are k x 5 numbers: materialise them before releasing the cache
+    rows = out.collect()
+    h.unpersist()
+    return out.sparkSession.createDataFrame(rows, out.schema)
 
 
 def holdout_validate(recipe: Recipe, hhold_train: DataFrame, indiv: DataFrame, test_size: float = 0.05,

@@ -25,17 +25,24 @@ class FeatureFrame:
     feature_cols: list[str]
 
 
-def build_features(recipe: Recipe, hhold: DataFrame, indiv: DataFrame, split_col: str = "_split",
+def build_features(recipe: Recipe, hhold: DataFrame, indiv: DataFrame | None, split_col: str = "_split",
                    standardize_by_split: bool = True) -> FeatureFrame:
     """Apply a country's recipe: drops, renames, num_indiv, binning, scaling,
-    log, stringify + joint one-hot, NULL -> 0 (ledger D20)."""
+    log, stringify + joint one-hot, NULL -> 0 (ledger D20).
+
+    ``indiv=None`` means ``hhold`` already carries ``num_indiv`` (computed
+    once and reused across folds: a household's size does not depend on the
+    fold it is in)."""
     h = hhold.where(F.col("country") == recipe.country)
     h = schema.drop_columns(h, recipe.drop_hhold)
-    i = schema.rename_columns(schema.drop_columns(indiv, recipe.drop_indiv), recipe.rename_indiv)
     if recipe.drop_string_cats:
         h = schema.drop_categoricals(h, reference=h.where(F.col(split_col) == "train"),
                                      keep=("country", split_col))
-    h = joins.num_indiv(h, i.select("id"))
+    if indiv is not None:
+        i = schema.rename_columns(schema.drop_columns(indiv, recipe.drop_indiv), recipe.rename_indiv)
+        h = joins.num_indiv(h, i.select("id"))
+    elif "num_indiv" not in h.columns:
+        raise ValueError("hhold needs num_indiv when no individual table is given")
     binned: list[str] = []
     if recipe.bin_num_indiv:
         h = encode.bin_column(h, "num_indiv")
