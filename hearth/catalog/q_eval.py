@@ -114,6 +114,16 @@ def v_report(spark, sf):
     return metrics.classification_report(_scored_train(spark, sf), "poor", "p", by=["country"])
 
 
+@query("v2_v6_report_rollup", S + f"""SELECT country, n, log_loss, tp, fp, fn, tn,
+  {_r('2 * tp', '2 * tp + fp + fn')} AS f1, {_r('tp', 'tp + fp')} AS precision, {_r('tp', 'tp + fn')} AS recall,
+  ({_r('tp', 'tp + fn')} + {_r('tn', 'tn + fp')}) / 2 AS balanced_auc
+FROM (SELECT country, count(*) AS n, {_LL} AS log_loss, {_CC} FROM t GROUP BY ROLLUP (country))""",
+       round_cols=["log_loss", "f1", "precision", "recall", "balanced_auc"])
+def v_rollup(spark, sf):
+    """V1-V6 per country and over all countries (rollup subtotal, country NULL)."""
+    return metrics.classification_report(_scored_train(spark, sf), "poor", "p", by=["country"], rollup=True)
+
+
 @query("v2_f1", S + f"SELECT country, {_r('2 * tp', '2 * tp + fp + fn')} AS f1 FROM (SELECT country, {_CC} "
        "FROM t GROUP BY country)", round_cols=["f1"])
 def v2(spark, sf):

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from hearth.catalog.common import hh, ind, ni
 from hearth.catalog.registry import query
-from hearth.catalog.sqlfrag import BASE, HH, IND, NI
-from hearth.operators import encode, profile, schema
+from hearth.catalog.sqlfrag import BASE, DOCS, HH, IND, NI
+from hearth.operators import encode, metrics, profile, schema
 from hearth.sources import tables
 
 LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -402,3 +402,54 @@ def p13(spark, sf):
     tr, te = _train(sel), sel.where(F.col("_split") == "test")
     cols = encode.preprocess(tr, categorical="get_dummies").columns + ["not_in_validation"]
     return encode.preprocess(te, categorical="get_dummies", vocab_from=tr, enforce=cols)
+
+
+# ------------------------------------------------------------------ the same operators on labelled documents
+
+def _docs(spark, sf):
+    return tables.labelled_documents(spark, sf)
+
+
+@query("a4_median_doc_length", f"""WITH {DOCS}
+SELECT lang AS "column", avg(n_chars) AS mean, quantile_cont(n_chars, 0.5) AS median FROM docs GROUP BY lang""",
+       round_cols=["mean", "median"])
+def a4_docs(spark, sf):
+    """A4 on documents: mean and exact median length per language (long-tailed values)."""
+    d = _docs(spark, sf).select(F.col("lang").alias("column"), F.col("n_chars").cast("double").alias("value"))
+    med = profile.exact_quantile(d, "value", 0.5, by=["column"], out_col="median")
+    return d.groupBy("column").agg(F.avg("value").alias("mean")).join(med, "column")
+
+
+@query("a11_doc_target_ratio", f"""WITH {DOCS}
+SELECT lang, avg(CAST(poor AS INTEGER)) * 100 AS pct_positive FROM docs WHERE _split = 'train' GROUP BY lang""",
+       round_cols=["pct_positive"])
+def a11_docs(spark, sf):
+    """A11 on labelled documents: percent toxic per language."""
+    return profile.target_ratio(_train(_docs(spark, sf)), by=["lang"])
+
+
+@query("v7_doc_length_auc", f"""WITH {DOCS},
+d AS (SELECT n_chars, sum(CAST(poor AS INTEGER)) AS pos, sum(1 - CAST(poor AS INTEGER)) AS neg
+      FROM docs WHERE _split = 'train' GROUP BY n_chars),
+c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY n_chars ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb
+      FROM d)
+SELECT CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg,
+       sum(pos * (nb + neg / 2.0)) / (sum(pos) * sum(neg)) AS auc FROM c""", round_cols=["auc"])
+def v7_docs(spark, sf):
+    """V7 on documents: ROC AUC of document length as a toxicity score."""
+    return metrics.roc_auc(_train(_docs(spark, sf)), "poor", "n_chars")
+
+
+@query("e13_doc_source_target_encode", f"""WITH {DOCS},
+pr AS (SELECT avg(CAST(poor AS DOUBLE)) AS prior FROM docs WHERE _split = 'train'),
+st AS (SELECT source, count(*) AS n, avg(CAST(poor AS DOUBLE)) AS m FROM docs WHERE _split = 'train' GROUP BY 1),
+enc AS (SELECT source, prior * (1 - 1 / (1 + exp(-(n - 10) / 5.0))) + m * (1 / (1 + exp(-(n - 10) / 5.0))) AS e
+        FROM st, pr)
+SELECT docs.id, docs._split, coalesce(enc.e, pr.prior) AS source_te
+FROM docs LEFT JOIN enc ON docs.source = enc.source, pr""", round_cols=["source_te"])
+def e13_docs(spark, sf):
+    """E13 on documents: smoothed toxicity encoding of the source, fitted on labelled rows."""
+    d = _docs(spark, sf).select("id", "_split", "source", "poor")
+    out = encode.smoothed_target_encode(d, "source", min_samples_leaf=10, smoothing=5,
+                                        fit_on=F.col("_split") == "train", out="source_te")
+    return out.select("id", "_split", "source_te")

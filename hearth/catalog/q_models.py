@@ -36,6 +36,16 @@ def m1(spark, sf):
     return train.train_and_score(_recipes()["A"], h, i)
 
 
+@query("m1_gbt_country_a_sparse", heavy=True)
+def m1_sparse(spark, sf):
+    """M1 with the wide-data encoding: categories in a sparse vector
+    (StringIndexer + OneHotEncoder) instead of dense 0/1 columns."""
+    h, i = _hh_ind(spark, sf)
+    r = _recipes()["A"]
+    r.sparse = True
+    return train.train_and_score(r, h, i)
+
+
 @query("m2_gbt_country_b", heavy=True)
 def m2(spark, sf):
     """M2/M9: country B boosted trees (depth 3, min 5 rows per node)."""

@@ -97,16 +97,19 @@ def balanced_auc_expr() -> Column:
 
 
 def classification_report(df: DataFrame, label: str, score: str, by: Sequence[str] = (),
-                          threshold: float = 0.5, eps: float = LOG_LOSS_EPS) -> DataFrame:
+                          threshold: float = 0.5, eps: float = LOG_LOSS_EPS, rollup: bool = False) -> DataFrame:
     """V1-V6 together: n, log loss, confusion counts, f1, precision, recall,
-    balanced AUC for the hard label ``score > threshold``."""
+    balanced AUC for the hard label ``score > threshold``. ``rollup=True``
+    adds the subtotal rows (e.g. all countries together, ``country`` NULL)
+    from the same single aggregation."""
     y = _y(label)
     yh = hard_label(score, threshold).cast("int")
 
     def cnt(cond: Column) -> Column:
         return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
 
-    agg = df.groupBy(*by).agg(
+    grouped = df.rollup(*by) if rollup else df.groupBy(*by)
+    agg = grouped.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(log_loss_term(label, score, eps)).alias("log_loss"),
         cnt((y == 1) & (yh == 1)).alias("tp"), cnt((y == 0) & (yh == 1)).alias("fp"),
@@ -149,15 +152,12 @@ def roc_curve(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) ->
     y = _y(label)
     cum = ordered_cumulative(df.where(F.col(label).isNotNull()), score,
                              {"pos": y.cast("long"), "neg": (1 - y).cast("long")}, by=by)
-    tot = cum.groupBy(*by).agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N"))
-    j = cum.join(tot, list(by)) if by else cum.withColumns(
-        {k: F.lit(v) for k, v in df.agg(F.sum(y).alias("__P"), F.sum(1 - y).alias("__N")).first().asDict().items()})
-    tp = F.col("__P") - F.col("pos_before")
-    fp = F.col("__N") - F.col("neg_before")
-    return j.select(*by, F.col(score).alias("threshold"),
-                    F.try_divide(tp.cast("double"), F.col("__P")).alias("tpr"),
-                    F.try_divide(fp.cast("double"), F.col("__N")).alias("fpr"),
-                    F.try_divide(tp.cast("double"), (tp + fp)).alias("precision"))
+    tp = F.col("tot_pos") - F.col("pos_before")
+    fp = F.col("tot_neg") - F.col("neg_before")
+    return cum.select(*by, F.col(score).alias("threshold"),
+                      F.try_divide(tp.cast("double"), F.col("tot_pos")).alias("tpr"),
+                      F.try_divide(fp.cast("double"), F.col("tot_neg")).alias("fpr"),
+                      F.try_divide(tp.cast("double"), (tp + fp)).alias("precision"))
 
 
 def penalty_rows(df: DataFrame, label: str, score: str, eps: float = LOG_LOSS_EPS) -> DataFrame:

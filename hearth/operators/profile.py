@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearth.operators.ranking import exact_quantile, ordered_cumulative
+from hearth.operators.ranking import exact_quantile, ordered_cumulative  # noqa: F401  (re-export)
 
 
 def long_form(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (), as_type: str = "double",

@@ -58,7 +58,7 @@ def cross_validate(recipe: Recipe, hhold_train: DataFrame, indiv: DataFrame, k:
         check_coverage(part.where(F.col("_split") == "train"))
         ff = build_features(recipe, part, None)
         train = resample(label_column(ff.df.where(F.col("_split") == "train")), how)
-        fitted = fit_model(train, ff.feature_cols, spec)
+        fitted = fit_model(train, ff.feature_cols, spec, cat_cols=ff.cat_cols)
         val = score(fitted, ff.df.where(F.col("_split") == "test"))
         rep = metrics.classification_report(val, "poor", "p").withColumn("fold", F.lit(f).cast("long"))
         reports.append(rep.withColumn("country", F.lit(recipe.country)))
@@ -79,7 +79,7 @@ def holdout_validate(recipe: Recipe, hhold_train: DataFrame, indiv: DataFrame, t
     ind_h = joins.indiv_of(indiv, h)
     ff = build_features(recipe, h, ind_h)
     train = resample(label_column(ff.df.where(F.col("_split") == "train")), how)
-    fitted = fit_model(train, ff.feature_cols, model or recipe.model)
+    fitted = fit_model(train, ff.feature_cols, model or recipe.model, cat_cols=ff.cat_cols)
     val = score(fitted, ff.df.where(F.col("_split") == "test"))
     return metrics.classification_report(val, "poor", "p").withColumn("country", F.lit(recipe.country))
 

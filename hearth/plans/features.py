@@ -7,7 +7,7 @@ both and the split back is a filter, not a row position.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,8 @@ KEYS = ("id", "country", "poor", "_split", "fold", "label", "_holdout", "_draw")
 class FeatureFrame:
     df: DataFrame
     feature_cols: list[str]
+    #: string columns left for the model's sparse encoder (``Recipe.sparse``)
+    cat_cols: list[str] = field(default_factory=list)
 
 
 def build_features(recipe: Recipe, hhold: DataFrame, indiv: DataFrame | None, split_col: str = "_split",
@@ -64,7 +66,11 @@ def build_features(recipe: Recipe, hhold: DataFrame, indiv: DataFrame | None, sp
     h = schema.stringify_columns(h, to_str, null_as="nan")
     cats = [c for c in h.columns if c not in KEYS and c not in numeric
             and (c in to_str or c in binned or isinstance(types.get(c), StringType))]
-    h = encode.one_hot(h, cats, max_categories=recipe.max_categories)
-    feats = [f.name for f in h.schema.fields if f.name not in KEYS and isinstance(f.dataType, NumericType)]
+    if recipe.sparse:
+        h = schema.stringify_columns(h, [c for c in cats if c not in to_str], null_as=None)
+    else:
+        h = encode.one_hot(h, cats, max_categories=recipe.max_categories)
+    feats = [f.name for f in h.schema.fields if f.name not in KEYS and f.name not in cats
+             and isinstance(f.dataType, NumericType)]
     h = h.fillna(0, subset=feats)
-    return FeatureFrame(h, feats)
+    return FeatureFrame(h, feats, cats if recipe.sparse else [])

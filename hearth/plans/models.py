@@ -5,7 +5,10 @@ Parameter map from the reference's boosting library to ``GBTClassifier``
 ``subsample -> subsamplingRate``, ``random_state -> seed``,
 ``min_child_weight -> minInstancesPerNode`` (rows rather than hessian sum),
 learning rate stays the library default 0.1 stated explicitly; ``reg_alpha``
-and ``reg_lambda`` have no counterpart and are ignored.
+and ``reg_lambda`` have no counterpart and are ignored. Node-id caching is
+used only for deep trees (> 8 levels), where it pays off; shallow trees are
+cheaper to ship to the executors. Every 10 iterations the boosting state is
+checkpointed into the shared folder, which bounds the lineage of 400-tree fits.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +36,7 @@ def make_estimator(spec: dict, n_rows: int | None = None, features: str = "featu
                              subsamplingRate=float(spec.get("subsample", 1.0)),
                              minInstancesPerNode=int(spec.get("min_child_weight", 1)),
                              stepSize=float(spec.get("learning_rate", 0.1)), seed=int(spec.get("seed", 0)),
-                             cacheNodeIds=True, checkpointInterval=10)
+                             cacheNodeIds=int(spec.get("max_depth", 5)) > 8, checkpointInterval=10)
     if kind == "logistic":
         # the reference's l2 penalty with strength C on the summed loss equals
         # regParam = 1 / (C * n) on Spark's mean loss, without standardisation
@@ -46,7 +49,7 @@ def make_estimator(spec: dict, n_rows: int | None = None, features: str = "featu
         return RandomForestClassifier(featuresCol=features, labelCol=label,
                                       numTrees=int(spec.get("n_estimators", 100)),
                                       maxDepth=int(spec.get("max_depth", 5)), seed=int(spec.get("seed", 0)),
-                                      cacheNodeIds=True, checkpointInterval=10)
+                                      cacheNodeIds=int(spec.get("max_depth", 5)) > 8, checkpointInterval=10)
     if kind == "linear_svc":
         return LinearSVC(featuresCol=features, labelCol=label, regParam=float(spec.get("reg", 0.0)),
                          maxIter=int(spec.get("max_iter", 100)))
@@ -60,8 +63,9 @@ def assemble(feature_cols: Sequence[str], out: str = "features") -> VectorAssemb
 
 def sparse_encoder_stages(cat_cols: Sequence[str], num_cols: Sequence[str], out: str = "features") -> list:
     """Wide-data path: ``StringIndexer(alphabetAsc, keep)`` + ``OneHotEncoder(dropLast)``.
-    The dropped last slot is the NULL/unseen bucket, so NULL encodes as all zeros
-    (``get_dummies`` semantics) in a sparse vector."""
+    The dropped last slot is the NULL/unseen bucket, so NULL and categories not
+    seen in training encode as all zeros (``get_dummies`` semantics) in a sparse
+    vector; numeric columns (already imputed) are appended."""
     idx = [f"__{c}_idx" for c in cat_cols]
     ohe = [f"__{c}_ohe" for c in cat_cols]
     stages = []
@@ -69,24 +73,22 @@ def sparse_encoder_stages(cat_cols: Sequence[str], num_cols: Sequence[str], out:
         stages.append(StringIndexer(inputCols=list(cat_cols), outputCols=idx, handleInvalid="keep",
                                     stringOrderType="alphabetAsc"))
         stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="keep"))
-    if num_cols:
-        filled = [f"__{c}_f" for c in num_cols]
-        stages.append(Imputer(inputCols=list(num_cols), outputCols=filled, strategy="mean"))
-    else:
-        filled = []
-    stages.append(VectorAssembler(inputCols=ohe + filled, outputCol=out))
+    stages.append(VectorAssembler(inputCols=[*ohe, *num_cols], outputCol=out, handleInvalid="error"))
     return stages
 
 
-def fit_model(train: DataFrame, feature_cols: Sequence[str], spec: dict, label: str = "label") -> PipelineModel:
-    """Fit ``assemble -> classifier`` on prepared training rows.
+def fit_model(train: DataFrame, feature_cols: Sequence[str], spec: dict, label: str = "label",
+              cat_cols: Sequence[str] = ()) -> PipelineModel:
+    """Fit ``assemble -> classifier`` on prepared training rows (with the
+    sparse categorical encoder in front when ``cat_cols`` are given).
 
     The training frame is persisted for the iterative fit and the shared
     checkpoint folder is registered so long tree lineages are cut.
     """
     checkpoint_root(train.sparkSession)
     n = train.count() if spec.get("kind") == "logistic" else None
-    pipe = Pipeline(stages=[assemble(feature_cols), make_estimator(spec, n_rows=n, label=label)])
+    front = sparse_encoder_stages(cat_cols, feature_cols) if cat_cols else [assemble(feature_cols)]
+    pipe = Pipeline(stages=[*front, make_estimator(spec, n_rows=n, label=label)])
     cached = train.persist()
     try:
         return pipe.fit(cached)
@@ -98,6 +100,7 @@ def score(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:
     """M8 ``predict_proba(...)[:, 1]``: P(class 1) as a double column. For a
     margin-only model (LinearSVC) the logistic of the margin is used."""
     pred = model.transform(df)
+    pred = pred.drop(*[c for c in pred.columns if c.startswith("__") and c.endswith(("_idx", "_ohe"))])
     if "probability" in pred.columns:
         return pred.withColumn(out, prob_of_class("probability", 1)).drop(
             "features", "rawPrediction", "probability", "prediction")

@@ -82,6 +82,9 @@ class Recipe:
     model: dict = field(default_factory=lambda: {"kind": "gbt", "n_estimators": 100, "max_depth": 5})
     resample: str | None = None
     max_categories: int = 1000
+    #: wide data: categories go into a sparse vector (StringIndexer + OneHotEncoder)
+    #: instead of one dense 0/1 column each
+    sparse: bool = False
 
 
 def reference_recipes() -> dict[str, Recipe]:

@@ -37,7 +37,7 @@ def train_and_score(recipe: Recipe, hhold: DataFrame, indiv: DataFrame) -> DataF
     ff = build_features(recipe, hhold, indiv)
     train = label_column(ff.df.where(F.col("_split") == "train"))
     train = resample(train, recipe.resample)
-    model = fit_model(train, ff.feature_cols, recipe.model)
+    model = fit_model(train, ff.feature_cols, recipe.model, cat_cols=ff.cat_cols)
     test = ff.df.where(F.col("_split") == "test")
     return metrics.country_submission(score(model, test), recipe.country)
 
