@@ -71,7 +71,8 @@ def stringify(c: str | Column, dtype: DataType, null_as: str | None = "nan") ->
     """
     x = _col(c)
     if isinstance(dtype, (DoubleType, FloatType)):
-        s = F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(x.cast("string"))
+        integral = (x == F.floor(x)) & (F.abs(x) < F.lit(1e15))
+        s = F.when(integral, x.cast("long").cast("string")).otherwise(x.cast("string"))
     elif isinstance(dtype, BooleanType):
         s = F.lower(x.cast("string"))
     else:

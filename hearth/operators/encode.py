@@ -286,7 +286,7 @@ def frequency_encode(df: DataFrame, col: str, fit_on: Column | None = None, out:
     """Category -> its share of the fit rows; unseen -> 0."""
     fit = _fit_rows(df, fit_on)
     n = fit.count()
-    freq = fit.groupBy(col).agg((F.count(F.lit(1)) / F.lit(n)).alias("__f"))
+    freq = fit.groupBy(col).agg(F.try_divide(F.count(F.lit(1)), F.lit(n)).alias("__f"))
     out_col = out or col
     j = map_lookup(df, col, freq, col, "__f", out_col=out_col)
     return j.withColumn(out_col, F.coalesce(F.col(out_col), F.lit(0.0)))

@@ -181,7 +181,7 @@ def weighted_country_mean(per_country: DataFrame, value: str = "log_loss",
     """A18 ``mean_log_loss``: country values weighted by test-set size."""
     w = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])
     ww = F.element_at(w, F.col("country"))
-    return per_country.agg((F.sum(ww * F.col(value)) / F.sum(F.when(F.col(value).isNotNull(), ww)))
+    return per_country.agg(F.try_divide(F.sum(ww * F.col(value)), F.sum(F.when(F.col(value).isNotNull(), ww)))
                            .alias(f"weighted_{value}"))
 
 

@@ -143,11 +143,13 @@ def class_overlap(df: DataFrame, cols: Sequence[str], label: str = "poor", n_bin
             .agg(F.sum(y).alias("n1"), F.sum(1 - y).alias("n0"),
                  F.first("__N1").alias("tot1"), F.first("__N0").alias("tot0")))
     overlap = hist.groupBy("column").agg(
-        F.sum(F.least(F.col("n0") / F.col("tot0"), F.col("n1") / F.col("tot1"))).alias("overlap"))
+        F.sum(F.when((F.col("tot0") > 0) & (F.col("tot1") > 0),
+                     F.least(F.col("n0") / F.col("tot0"), F.col("n1") / F.col("tot1")))).alias("overlap"))
     cum = ordered_cumulative(lf, "value", {"p": y.cast("long"), "q": (1 - y).cast("long")}, by=["column"])
     cum = cum.join(rng.select("column", "__N1", "__N0"), "column")
     ks = cum.groupBy("column").agg(
-        F.max(F.abs(F.col("cum_p") / F.col("__N1") - F.col("cum_q") / F.col("__N0"))).alias("ks"))
+        F.max(F.abs(F.try_divide(F.col("cum_p"), F.col("__N1")) - F.try_divide(F.col("cum_q"), F.col("__N0"))))
+        .alias("ks"))
     return overlap.join(ks, "column")
 
 
@@ -193,8 +195,9 @@ def class_kde(df: DataFrame, col: str, label: str = "poor", grid_size: int = 32,
                    (F.col("__sd") * F.pow(F.col("__n").cast("double"), -0.2)).alias("__h"),
                    F.min("__mn").over(w).alias("__gmin"), F.max("__mx").over(w).alias("__gmax"))
     j = base.join(st, [*by, label])
-    step = (F.col("__gmax") - F.col("__gmin")) / (grid_size - 1)
-    sums = [F.sum(F.exp(F.lit(-0.5) * F.pow((F.col("__gmin") + step * i - F.col("__x")) / F.col("__h"), 2)))
+    step = (F.col("__gmax") - F.col("__gmin")) / max(grid_size - 1, 1)
+    # a class with one row or a constant value has no bandwidth: its density is NULL
+    sums = [F.sum(F.exp(F.lit(-0.5) * F.pow(F.try_divide(F.col("__gmin") + step * i - F.col("__x"), F.col("__h")), 2)))
             .alias(f"k{i}") for i in range(grid_size)]
     agg = j.groupBy(*by, label).agg(F.first("__n").alias("n"), F.first("__h").alias("h"),
                                     F.first("__gmin").alias("gmin"), F.first("__gmax").alias("gmax"), *sums)
@@ -203,9 +206,9 @@ def class_kde(df: DataFrame, col: str, label: str = "poor", grid_size: int = 32,
                         f"stack({grid_size}, {stack}) as (grid_index, ksum)")
     norm = F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))
     return lf.select(*by, label, F.col("grid_index").cast("int").alias("grid_index"),
-                     (F.col("gmin") + (F.col("gmax") - F.col("gmin")) / (grid_size - 1) * F.col("grid_index"))
+                     (F.col("gmin") + (F.col("gmax") - F.col("gmin")) / max(grid_size - 1, 1) * F.col("grid_index"))
                      .alias("x"),
-                     (F.col("ksum") / norm).alias("density"))
+                     F.try_divide(F.col("ksum"), norm).alias("density"))
 
 
 def group_target_mean(df: DataFrame, col: str, label: str = "poor", by: Sequence[str] = ()) -> DataFrame:

@@ -85,7 +85,7 @@ def stratified_kfold_ordered(df: DataFrame, k: int = 3, label: str = "poor", key
     rem = F.col("__n") - q * k
     big = rem * (q + 1)
     fold = F.when(F.col("__r0") < big, F.floor(F.col("__r0") / (q + 1))) \
-        .otherwise(rem + F.floor((F.col("__r0") - big) / q))
+        .otherwise(rem + F.floor(F.try_divide(F.col("__r0") - big, q)))
     ranks = ranks.select(*g, key, fold.cast("int").alias(fold_col))
     return df.join(ranks, [*g, key], "inner")
 

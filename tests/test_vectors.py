@@ -133,3 +133,20 @@ def test_hash_rank_equals_flat_row_number(spark):
         Window.partitionBy("cls").orderBy(hash_hex(["id"], 5), "id")))
     assert two.exceptAll(flat.select(*two.columns)).count() == 0
     assert two.count() == 3000
+
+
+def test_ansi_safe_edges(spark):
+    # one class absent: overlap/KS are NULL, not a division error
+    from hearth.operators import profile, sampling
+    df = spark.createDataFrame([(1, True, 1.0), (2, True, 2.0)], "id int, poor boolean, x double")
+    r = profile.class_overlap(df, ["x"], "poor", n_bins=4).first()
+    assert r.overlap is None and r.ks is None
+    # a class with a constant value has no bandwidth: NULL density
+    k = profile.class_kde(df.union(spark.createDataFrame([(3, False, 5.0)], df.schema)), "x", "poor", grid_size=4)
+    assert k.where("poor = false").first().density is None
+    # fewer rows than folds
+    f = sampling.stratified_kfold_ordered(df, k=3)
+    assert sorted(r.fold for r in f.collect()) == [0, 1]
+    # frequency encoding with an empty fit set
+    e = encode.frequency_encode(df, "poor", fit_on=F.col("id") > 5).collect()
+    assert all(r.poor == 0.0 for r in e)
