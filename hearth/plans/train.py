@@ -2,9 +2,10 @@
 
 ``train_and_score`` is one country's ``run_*_model``: build features from
 its recipe, fit on the train rows, score the test rows, and return the
-country submission ``(id, country, poor)``. ``run_all`` does the three
-countries (optionally concurrently from a driver thread pool: each country
-is an independent set of Spark jobs) and unions them into one frame (U2).
+country submission ``(id, country, poor)``. ``run_all`` stages household
+sizes once as a country-partitioned table, does the three countries
+(optionally concurrently from a driver thread pool: each country is an
+independent set of Spark jobs) and unions them into one frame (U2).
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearth.operators import metrics, sampling, schema
+from hearth.operators import joins, metrics, sampling, schema
 from hearth.plans.features import build_features
 from hearth.plans.models import fit_model, label_column, score
 from hearth.plans.recipes import RESAMPLE_SEED, Recipe
+from hearth.session import scratch_path
 
 
 def resample(train: DataFrame, how: str | None, seed: int = RESAMPLE_SEED) -> DataFrame:
@@ -32,8 +34,21 @@ def resample(train: DataFrame, how: str | None, seed: int = RESAMPLE_SEED) -> Da
     raise ValueError(f"unknown resampling {how!r}")
 
 
-def train_and_score(recipe: Recipe, hhold: DataFrame, indiv: DataFrame) -> DataFrame:
-    """M9: fit a country's model on its train rows and score its test rows."""
+def stage_households(hhold: DataFrame, indiv: DataFrame) -> DataFrame:
+    """Count household sizes once for every country (one pass over the
+    individuals, J1) and write the households as a table partitioned by
+    ``country`` in the shared checkpoint folder. The written table survives
+    executor loss, cuts the lineage, and each country's fit then reads only
+    its own partition (partition pruning)."""
+    spark = hhold.sparkSession
+    path = scratch_path(spark, "households")
+    joins.num_indiv(hhold, indiv.select("id")).write.mode("overwrite").partitionBy("country").parquet(path)
+    return spark.read.parquet(path)
+
+
+def train_and_score(recipe: Recipe, hhold: DataFrame, indiv: DataFrame | None) -> DataFrame:
+    """M9: fit a country's model on its train rows and score its test rows.
+    ``indiv=None`` when ``hhold`` already carries ``num_indiv`` (staged)."""
     ff = build_features(recipe, hhold, indiv)
     train = label_column(ff.df.where(F.col("_split") == "train"))
     train = resample(train, recipe.resample)
@@ -44,11 +59,18 @@ def train_and_score(recipe: Recipe, hhold: DataFrame, indiv: DataFrame) -> DataF
 
 def run_all(recipes: Mapping[str, Recipe], hhold: DataFrame, indiv: DataFrame,
             parallel: bool = False) -> DataFrame:
-    """All countries, concatenated into one submission frame."""
+    """All countries, concatenated into one submission frame.
+
+    Household sizes are staged once (``stage_households``); the countries'
+    fits are independent job sets and run concurrently with ``parallel``.
+    Recipes that drop or rename individual columns do not change a count of
+    rows, so one staging serves every country.
+    """
+    staged = stage_households(hhold, indiv)
     items = list(recipes.values())
     if parallel:
         with ThreadPoolExecutor(max_workers=len(items)) as ex:
-            subs = list(ex.map(lambda r: train_and_score(r, hhold, indiv), items))
+            subs = list(ex.map(lambda r: train_and_score(r, staged, None), items))
     else:
-        subs = [train_and_score(r, hhold, indiv) for r in items]
+        subs = [train_and_score(r, staged, None) for r in items]
     return schema.union_frames(subs)
