@@ -13,26 +13,34 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "hearth") -> SparkSession:
     """Return a session configured for this library.
 
-    On a cluster, ``master`` stays unset (spark-submit decides). Locally the
-    defaults match the test box: ``local[N]`` and N shuffle partitions.
+    Local runs (``master="local[N]"``) get N shuffle partitions. On a cluster
+    ``master`` stays unset (spark-submit decides) and the cluster's own
+    ``spark.sql.shuffle.partitions`` is kept: AQE then coalesces small
+    partitions and splits skewed ones at run time by bytes
+    (``advisoryPartitionSizeInBytes``), so the setting can be generous.
     """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    cpus = os.environ.get("BENCH_CPUS") or str(os.cpu_count() or 8)
-    parts = str(shuffle_partitions or cpus)
+    local = bool(master) and master.startswith("local")
+    if shuffle_partitions is None and local:
+        inner = master[len("local["):-1] if master.startswith("local[") else "1"
+        shuffle_partitions = os.cpu_count() or 8 if inner in ("*", "") else int(inner)
+    if shuffle_partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = (
         builder
-        .config("spark.sql.shuffle.partitions", parts)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("HEARTH_DRIVER_MEMORY", "16g"))
     )
+    if local:
+        builder = builder.config("spark.driver.memory", os.environ.get("HEARTH_DRIVER_MEMORY", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

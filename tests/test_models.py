@@ -36,3 +36,21 @@ def test_unknown_resampling_raises(spark):
     df = households(spark, SF_SMALL).where(F.col("_split") == "train")
     with pytest.raises(ValueError):
         train.resample(df, "sideways")
+
+
+def test_sparse_encoding_path(spark):
+    h, i = households(spark, SF_SMALL), individuals(spark, SF_SMALL)
+    r = standin_recipes({"n_estimators": 5})["A"]
+    r.sparse = True
+    rows = train.train_and_score(r, h, i).collect()
+    n_test = h.where((F.col("_split") == "test") & (F.col("country") == "A")).count()
+    assert len(rows) == n_test and all(0.0 <= x.poor <= 1.0 for x in rows)
+
+
+def test_staged_households_prune_partitions(spark):
+    from tests.test_plans import _plan
+    h, i = households(spark, SF_SMALL), individuals(spark, SF_SMALL)
+    staged = train.stage_households(h, i)
+    p = _plan(staged.where(F.col("country") == "B").select("id", "num_indiv"))
+    assert "PartitionFilters: [isnotnull(country" in p and "(country#" in p
+    assert staged.agg(F.sum("num_indiv")).first()[0] == i.count()

@@ -150,3 +150,31 @@ def test_ansi_safe_edges(spark):
     # frequency encoding with an empty fit set
     e = encode.frequency_encode(df, "poor", fit_on=F.col("id") > 5).collect()
     assert all(r.poor == 0.0 for r in e)
+
+
+def test_rollup_report_has_total_row(spark):
+    df = spark.createDataFrame([("A", 1, 0.9), ("A", 0, 0.2), ("B", 1, 0.3), ("B", 0, 0.6)],
+                               "country string, y int, p double")
+    rows = {r.country: r for r in metrics.classification_report(df, "y", "p", by=["country"], rollup=True).collect()}
+    assert set(rows) == {"A", "B", None}
+    assert rows[None].n == 4 and rows[None].tp == 1 and rows[None].fp == 1
+
+
+def test_correlation_modes_agree(spark):
+    from hearth.operators import profile
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    cols = ["l_quantity", "l_extendedprice", "l_discount"]
+    a = {(r.col_a, r.col_b): r.corr for r in profile.correlation(li, cols, "pairs").collect()}
+    b = {(r.col_a, r.col_b): r.corr for r in profile.correlation(li, cols, "matrix").collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k] == pytest.approx(b[k], abs=1e-9)
+
+
+def test_coverage_counts_childless(spark):
+    from hearth.operators import joins
+    hh = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "id long, g string")
+    ind = spark.createDataFrame([(1, 10), (1, 11), (3, 12)], "id long, iid long")
+    rows = {r.g: r for r in joins.coverage(hh, ind, by=["g"]).collect()}
+    assert rows["x"].n_households == 2 and rows["x"].n_without_indiv == 1
+    assert rows["x"].any_covered and not rows["x"].all_covered and rows["y"].all_covered
