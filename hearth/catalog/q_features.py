@@ -256,7 +256,7 @@ def e4(spark, sf):
 @query("e5_joint_encode", f"WITH {HH} SELECT id, _split, {_dummies('c_mktsegment', SEGMENTS)}, "
        f"{_dummies('c_nationkey', NATIONS)} FROM hh")
 def e5(spark, sf):
-    """E5: one vocabulary over train + test, then split back by tag."""
+    """E5: train and test concatenated with a tag, one vocabulary over both, encoded (the tag stays for the split back)."""
     tr = schema.stringify_columns(
         hh(spark, sf).where(F.col("_split") == "train").select("id", "c_mktsegment", "c_nationkey"), ["c_nationkey"])
     te = schema.stringify_columns(

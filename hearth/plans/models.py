@@ -86,11 +86,11 @@ def fit_model(train: DataFrame, feature_cols: Sequence[str], spec: dict, label:
     checkpoint folder is registered so long tree lineages are cut.
     """
     checkpoint_root(train.sparkSession)
-    n = train.count() if spec.get("kind") == "logistic" else None
-    front = sparse_encoder_stages(cat_cols, feature_cols) if cat_cols else [assemble(feature_cols)]
-    pipe = Pipeline(stages=[*front, make_estimator(spec, n_rows=n, label=label)])
     cached = train.persist()
     try:
+        n = cached.count() if spec.get("kind") == "logistic" else None
+        front = sparse_encoder_stages(cat_cols, feature_cols) if cat_cols else [assemble(feature_cols)]
+        pipe = Pipeline(stages=[*front, make_estimator(spec, n_rows=n, label=label)])
         return pipe.fit(cached)
     finally:
         cached.unpersist()
