@@ -42,9 +42,11 @@ def make_estimator(spec: dict, n_rows: int | None = None, features: str = "featu
         # regParam = 1 / (C * n) on Spark's mean loss, without standardisation
         if n_rows is None:
             raise ValueError("logistic needs n_rows to translate C")
+        # (tolerance 1e-4 and 100 iterations: the reference library's defaults)
         return LogisticRegression(featuresCol=features, labelCol=label, elasticNetParam=0.0,
                                   regParam=1.0 / (float(spec.get("C", 1.0)) * n_rows),
-                                  standardization=False, maxIter=int(spec.get("max_iter", 100)))
+                                  standardization=False, maxIter=int(spec.get("max_iter", 100)),
+                                  tol=float(spec.get("tol", 1e-4)))
     if kind == "random_forest":
         return RandomForestClassifier(featuresCol=features, labelCol=label,
                                       numTrees=int(spec.get("n_estimators", 100)),
