@@ -19,7 +19,11 @@ from hearth.operators.ranking import hash_rank, ordered_cumulative
 
 
 def _class_counts(df: DataFrame, label: str) -> dict:
-    return {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Rows per class of a binary label (at most true, false and NULL: checked)."""
+    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).take(4)
+    if len(rows) > 3:
+        raise ValueError(f"{label!r} is not a binary label")
+    return {r[label]: r["n"] for r in rows}
 
 
 def downsample(df: DataFrame, label: str = "poor", seed: int = 144, minority=True,
