@@ -74,7 +74,7 @@ def _bucket_of(bounds: Column, n_used: Column, v: Column, steps: int) -> Column:
 
     def step(acc, _):
         mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        go_right = F.element_at(bounds, mid + 1) < v
+        go_right = F.try_element_at(bounds, mid + 1) < v
         open_ = acc["lo"] <= acc["hi"]
         return F.struct(F.when(open_ & go_right, mid + 1).otherwise(acc["lo"]).alias("lo"),
                         F.when(open_ & ~go_right, mid - 1).otherwise(acc["hi"]).alias("hi"))
