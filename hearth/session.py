@@ -17,7 +17,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     ``master`` stays unset (spark-submit decides) and the cluster's own
     ``spark.sql.shuffle.partitions`` is kept: AQE then coalesces small
     partitions and splits skewed ones at run time by bytes
-    (``advisoryPartitionSizeInBytes``), so the setting can be generous.
+    (``advisoryPartitionSizeInBytes``, from the cluster's configuration), so
+    the setting can be generous (see ``conf/spark-defaults.cluster.conf``).
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -33,14 +34,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
     if local:
-        builder = builder.config("spark.driver.memory", os.environ.get("HEARTH_DRIVER_MEMORY", "16g"))
+        builder = (builder.config("spark.driver.memory", os.environ.get("HEARTH_DRIVER_MEMORY", "16g"))
+                   .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
