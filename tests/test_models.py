@@ -54,3 +54,25 @@ def test_staged_households_prune_partitions(spark):
     p = _plan(staged.where(F.col("country") == "B").select("id", "num_indiv"))
     assert "PartitionFilters: [isnotnull(country" in p and "(country#" in p
     assert staged.agg(F.sum("num_indiv")).first()[0] == i.count()
+
+
+def test_recipe_feature_columns(spark):
+    from hearth.plans.features import build_features
+    h, i = households(spark, SF_SMALL), individuals(spark, SF_SMALL)
+    rs = standin_recipes()
+    a = build_features(rs["A"], h, i)
+    assert "num_indiv" in a.feature_cols
+    assert any(c.startswith("c_mktsegment_") for c in a.feature_cols)
+    assert any(c.startswith("c_nationkey_") for c in a.feature_cols)
+    b = build_features(rs["B"], h, i)
+    assert "num_indiv" in b.feature_cols
+    assert not any(c.startswith("c_mktsegment") for c in b.feature_cols)
+    assert all(c == "num_indiv" or c.startswith("c_nationkey_") for c in b.feature_cols)
+    c = build_features(rs["C"], h, i)
+    assert "num_indiv" not in c.feature_cols
+    assert {x for x in c.feature_cols if x.startswith("num_indiv_")} <= {
+        "num_indiv_0-3", "num_indiv_3-5", "num_indiv_5-10", "num_indiv_10-13", "num_indiv_16+"}
+    assert any(x.startswith("num_indiv_") for x in c.feature_cols)
+    # standardised per split: train rows of A have mean 0 for num_indiv
+    m = a.df.where(F.col("_split") == "train").agg(F.avg("num_indiv")).first()[0]
+    assert abs(m) < 1e-9
