@@ -19,7 +19,7 @@ from hearth.operators import encode, joins, metrics, sampling, schema
 from hearth.plans.features import KEYS, build_features
 from hearth.plans.models import fit_model, label_column, score
 from hearth.plans.recipes import FOLD_SEED, N_FOLDS, Recipe
-from hearth.plans.train import resample
+from hearth.plans.train import parallel_map, resample
 
 REPORT_METRICS = ("log_loss", "f1", "precision", "recall", "balanced_auc")
 
@@ -37,7 +37,7 @@ def check_coverage(hhold_with_sizes: DataFrame) -> None:
 
 def cross_validate(recipe: Recipe, hhold_train: DataFrame, indiv: DataFrame, k: int = N_FOLDS,
                    seed: int = FOLD_SEED, how: str | None = None,
-                   model: dict | None = None) -> DataFrame:
+                   model: dict | None = None, parallel: bool = True) -> DataFrame:
     """M10 ``skfCV_*``: stratified k-fold CV of a country's recipe.
 
     Household sizes are counted once (J1 on the individuals of the country's
@@ -52,8 +52,8 @@ def cross_validate(recipe: Recipe, hhold_train: DataFrame, indiv: DataFrame, k:
     h = joins.num_indiv(h, joins.indiv_of(ind.select("id"), h))
     h = sampling.stratified_kfold(h, k=k, seed=seed).persist()
     spec = model or recipe.model
-    reports = []
-    for f in range(k):
+
+    def one_fold(f: int) -> DataFrame:
         part = h.withColumn("_split", F.when(F.col("fold") == f, "test").otherwise("train")).drop("fold")
         check_coverage(part.where(F.col("_split") == "train"))
         ff = build_features(recipe, part, None)
@@ -61,8 +61,9 @@ def cross_validate(recipe: Recipe, hhold_train: DataFrame, indiv: DataFrame, k:
         fitted = fit_model(train, ff.feature_cols, spec, cat_cols=ff.cat_cols)
         val = score(fitted, ff.df.where(F.col("_split") == "test"))
         rep = metrics.classification_report(val, "poor", "p").withColumn("fold", F.lit(f).cast("long"))
-        reports.append(rep.withColumn("country", F.lit(recipe.country)))
-    rep = schema.union_frames(reports)
+        return rep.withColumn("country", F.lit(recipe.country))
+
+    rep = schema.union_frames(parallel_map(one_fold, range(k), parallel))
     out = metrics.long_metrics(rep, ["country", "fold"], REPORT_METRICS)
     # the metrics are k x 5 numbers: materialise them before releasing the cache
     rows = out.collect()
@@ -86,15 +87,15 @@ def holdout_validate(recipe: Recipe, hhold_train: DataFrame, indiv: DataFrame, t
 
 def run_cv(df: DataFrame, spec: dict, func: Callable[[DataFrame], DataFrame] | None = None, n_splits: int = 3,
            how: str | None = "up", categorical: str = "label_encoder", label: str = "poor",
-           keys: Sequence[str] = KEYS) -> DataFrame:
+           keys: Sequence[str] = KEYS, parallel: bool = True) -> DataFrame:
     """M11 generic harness ``run_CV``: unshuffled stratified folds (R4) ->
     resample the train part -> user ``func`` (its returned frame is used,
     ledger D13) -> ``preprocess`` (train vocabulary and columns enforced on
     validation, D5/D6) -> fit -> log loss per fold. The target is never a
     feature (D12)."""
     folds = sampling.stratified_kfold_ordered(df, k=n_splits, label=label).persist()
-    out = []
-    for f in range(n_splits):
+
+    def one_fold(f: int) -> DataFrame:
         tr = resample(folds.where(F.col("fold") != f), how)
         va = folds.where(F.col("fold") == f)
         if func is not None:
@@ -104,7 +105,9 @@ def run_cv(df: DataFrame, spec: dict, func: Callable[[DataFrame], DataFrame] | N
         va_p = encode.preprocess(va, categorical=categorical, keys=keys, vocab_from=tr,
                                  enforce=[*[k for k in keys if k in tr_p.columns], *cols])
         fitted = fit_model(label_column(tr_p, label), cols, spec)
-        scored = score(fitted, va_p)
-        out.append(metrics.log_loss(scored, label, "p").withColumn("fold", F.lit(f).cast("long")))
+        return metrics.log_loss(score(fitted, va_p), label, "p").withColumn("fold", F.lit(f).cast("long"))
+
+    out = schema.union_frames(parallel_map(one_fold, range(n_splits), parallel)).select("fold", "log_loss")
+    rows = out.collect()
     folds.unpersist()
-    return schema.union_frames(out).select("fold", "log_loss")
+    return out.sparkSession.createDataFrame(rows, out.schema)

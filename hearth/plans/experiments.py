@@ -21,11 +21,12 @@ from hearth.operators import metrics, sampling, schema
 from hearth.plans.features import FeatureFrame
 from hearth.plans.models import assemble, fit_model, label_column, make_estimator, score
 from hearth.plans.recipes import FOLD_SEED, N_FOLDS
+from hearth.plans.train import parallel_map
 from hearth.session import checkpoint_root
 
 
 def grid_search(ff: FeatureFrame, spec: dict, grid: Mapping[str, Sequence], k: int = N_FOLDS,
-                seed: int = FOLD_SEED, parallelism: int = 2) -> DataFrame:
+                seed: int = FOLD_SEED, parallelism: int = 4) -> DataFrame:
     """Mean validation log loss of every parameter combination.
 
     ``grid`` maps ``pyspark.ml`` parameter names of the estimator (e.g.
@@ -67,17 +68,21 @@ def stack(ff: FeatureFrame, base_specs: Sequence[dict], meta_spec: dict | None =
     test = ff.df.where(F.col("_split") == "test")
     meta_train = folds.select("id", "label")
     meta_test = test.select("id")
-    names = []
-    for i, spec in enumerate(base_specs):
-        name = f"base_{i}"
-        names.append(name)
-        parts = []
-        for f in range(k):
-            m = fit_model(folds.where(F.col("fold") != f), ff.feature_cols, spec)
-            parts.append(score(m, folds.where(F.col("fold") == f)).select("id", F.col("p").alias(name)))
+    names = [f"base_{i}" for i in range(len(base_specs))]
+    # every (base model, fold) fit and every full refit is independent: run them side by side
+    jobs = [(i, f) for i in range(len(base_specs)) for f in [*range(k), None]]
+
+    def fit_one(job):
+        i, f = job
+        rows = folds if f is None else folds.where(F.col("fold") != f)
+        return fit_model(rows, ff.feature_cols, base_specs[i])
+
+    fitted = dict(zip(jobs, parallel_map(fit_one, jobs)))
+    for i, name in enumerate(names):
+        parts = [score(fitted[(i, f)], folds.where(F.col("fold") == f)).select("id", F.col("p").alias(name))
+                 for f in range(k)]
         meta_train = meta_train.join(schema.union_frames(parts), "id")
-        full = fit_model(folds, ff.feature_cols, spec)
-        meta_test = meta_test.join(score(full, test).select("id", F.col("p").alias(name)), "id")
+        meta_test = meta_test.join(score(fitted[(i, None)], test).select("id", F.col("p").alias(name)), "id")
     meta = fit_model(meta_train, names, meta_spec)
     out = score(meta, meta_test).select("id", "p")
     folds.unpersist()

@@ -88,14 +88,16 @@ def fit_model(train: DataFrame, feature_cols: Sequence[str], spec: dict, label:
     checkpoint folder is registered so long tree lineages are cut.
     """
     checkpoint_root(train.sparkSession)
-    cached = train.persist()
+    owned = not train.is_cached  # a frame the caller persisted stays persisted
+    cached = train.persist() if owned else train
     try:
         n = cached.count() if spec.get("kind") == "logistic" else None
         front = sparse_encoder_stages(cat_cols, feature_cols) if cat_cols else [assemble(feature_cols)]
         pipe = Pipeline(stages=[*front, make_estimator(spec, n_rows=n, label=label)])
         return pipe.fit(cached)
     finally:
-        cached.unpersist()
+        if owned:
+            cached.unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:

@@ -23,6 +23,16 @@ from hearth.plans.recipes import RESAMPLE_SEED, Recipe
 from hearth.session import scratch_path
 
 
+def parallel_map(fn, items, parallel: bool = True):
+    """Run independent fits concurrently from driver threads (each is its own
+    set of Spark jobs, scheduled side by side by the cluster); in order."""
+    items = list(items)
+    if not parallel or len(items) < 2:
+        return [fn(x) for x in items]
+    with ThreadPoolExecutor(max_workers=len(items)) as ex:
+        return list(ex.map(fn, items))
+
+
 def resample(train: DataFrame, how: str | None, seed: int = RESAMPLE_SEED) -> DataFrame:
     """R1/R2 dispatch; an unknown ``how`` raises (ledger D17)."""
     if how is None:
@@ -67,10 +77,5 @@ def run_all(recipes: Mapping[str, Recipe], hhold: DataFrame, indiv: DataFrame,
     rows, so one staging serves every country.
     """
     staged = stage_households(hhold, indiv)
-    items = list(recipes.values())
-    if parallel:
-        with ThreadPoolExecutor(max_workers=len(items)) as ex:
-            subs = list(ex.map(lambda r: train_and_score(r, staged, None), items))
-    else:
-        subs = [train_and_score(r, staged, None) for r in items]
+    subs = parallel_map(lambda r: train_and_score(r, staged, None), recipes.values(), parallel)
     return schema.union_frames(subs)

@@ -76,3 +76,14 @@ def test_recipe_feature_columns(spark):
     # standardised per split: train rows of A have mean 0 for num_indiv
     m = a.df.where(F.col("_split") == "train").agg(F.avg("num_indiv")).first()[0]
     assert abs(m) < 1e-9
+
+
+def test_parallel_cv_equals_sequential(spark):
+    h, i = households(spark, SF_MID), individuals(spark, SF_MID)
+    r = standin_recipes({"n_estimators": 3})["A"]
+    t = h.where(F.col("_split") == "train")
+    par = {(x.fold, x.metric): x.value for x in cv.cross_validate(r, t, i, parallel=True).collect()}
+    seq = {(x.fold, x.metric): x.value for x in cv.cross_validate(r, t, i, parallel=False).collect()}
+    assert par.keys() == seq.keys()
+    for key in par:
+        assert par[key] == seq[key]
