@@ -15,7 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearth.operators.ranking import exact_quantile, ordered_cumulative  # noqa: F401  (re-export)
+from hearth.operators.ranking import (exact_quantile, ordered_cumulative,  # noqa: F401  (re-export)
+                                     quantile_from_cumulative)
 
 
 def long_form(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (), as_type: str = "double",
@@ -42,7 +43,9 @@ def column_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
 
 
 def mean_median(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """A4: mean and exact median per column (median via the distributed rank)."""
+    """A4: mean and exact median per column (median via the distributed rank).
+    The mean is a plain ``avg`` over the rows (a second, map-side aggregated
+    pass), so it sums the rows exactly as any SQL engine's ``avg`` does."""
     lf = long_form(df, cols, ids=by)
     means = lf.groupBy(*by, "column").agg(F.avg("value").alias("mean"))
     med = exact_quantile(lf, "value", 0.5, by=[*by, "column"], out_col="median")

@@ -138,18 +138,13 @@ def ordered_cumulative(df: DataFrame, value_col: str, weights: Mapping[str, Colu
     return out.drop(_ALL) if one else out
 
 
-def exact_quantile(df: DataFrame, value_col: str, q: float, by: Sequence[str] = (),
-                   out_col: str = "quantile", rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """Exact quantile with linear interpolation between closest ranks.
-
-    Same definition as ``percentile``/``median`` in Spark and ``quantile_cont``
-    in DuckDB, but computed without holding a group's values in one buffer:
-    position ``q*(n-1)`` is located on the distributed running count.
-    """
+def quantile_from_cumulative(cum: DataFrame, value_col: str, q: float, by: Sequence[str] = (),
+                             out_col: str = "quantile") -> DataFrame:
+    """Exact quantile (linear interpolation between closest ranks) read off a
+    running count ``n`` from :func:`ordered_cumulative`: the value(s) covering
+    ranks ``floor`` and ``ceil`` of ``q*(n-1)``."""
     if not 0.0 <= q <= 1.0:
         raise ValueError("q must be in [0, 1]")
-    cum = ordered_cumulative(df, value_col, {"n": F.lit(1).cast("long")}, by=by,
-                             rows_per_bucket=rows_per_bucket)
     cum, groups, one = _with_group(cum, by)
     pos = F.lit(q) * (F.col("tot_n") - 1)
     j = cum.select("*", pos.alias("__pos"), F.floor(pos).alias("__lo"), F.ceil(pos).alias("__hi"))
@@ -165,3 +160,18 @@ def exact_quantile(df: DataFrame, value_col: str, q: float, by: Sequence[str] =
     res = res.select(*groups, (F.col("__vlo") + (F.col("__pos") - F.col("__lo"))
                                * (F.col("__vhi") - F.col("__vlo"))).alias(out_col))
     return res.drop(_ALL) if one else res
+
+
+def exact_quantile(df: DataFrame, value_col: str, q: float, by: Sequence[str] = (),
+                   out_col: str = "quantile", rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """Exact quantile with linear interpolation between closest ranks.
+
+    Same definition as ``percentile``/``median`` in Spark and ``quantile_cont``
+    in DuckDB, but computed without holding a group's values in one buffer:
+    position ``q*(n-1)`` is located on the distributed running count.
+    """
+    if not 0.0 <= q <= 1.0:
+        raise ValueError("q must be in [0, 1]")
+    cum = ordered_cumulative(df, value_col, {"n": F.lit(1).cast("long")}, by=by,
+                             rows_per_bucket=rows_per_bucket)
+    return quantile_from_cumulative(cum, value_col, q, by, out_col)
