@@ -34,3 +34,17 @@ def test_resample_and_country_model(spark):
     assert sub.columns == ["id", "country", "poor"]
     ll = spark.createDataFrame([(0.3,), (0.5,)], "log_loss double")
     assert api.mean_log_loss(ll, ll, ll).first()[0] == 0.4
+
+
+def test_command_line_submit(spark):
+    import tempfile
+    from hearth.__main__ import main
+    from hearth.sources.io import SUBMISSION_SCHEMA, read_csv_table
+    out = tempfile.mkdtemp(prefix="hearth-cli-") + "/sub"
+    main(["submit", "--data", SF_SMALL, "--out", out, "--trees", "3"])
+    sub = read_csv_table(spark, out, SUBMISSION_SCHEMA)
+    n_test = spark.read.parquet(f"{SF_SMALL}/customer.parquet").count() - \
+        api.load_hhold_train(spark, SF_SMALL)[0].unionByName(api.load_hhold_train(spark, SF_SMALL)[1]) \
+        .unionByName(api.load_hhold_train(spark, SF_SMALL)[2]).count()
+    assert sub.count() == n_test
+    assert sub.where((F.col("poor") < 0) | (F.col("poor") > 1)).count() == 0
