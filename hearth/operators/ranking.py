@@ -32,12 +32,24 @@ def _with_group(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str],
     return df.withColumn(_ALL, F.lit(0)), [_ALL], True
 
 
+def join_nullsafe(big: DataFrame, small: DataFrame, keys: Sequence[str], broadcast: bool = False) -> DataFrame:
+    """Inner equi-join on ``keys`` where NULL matches NULL (``<=>``), so a NULL
+    group is a group here exactly as in ``groupBy`` and window partitions.
+    Spark still plans ``<=>`` keys as an equi-join (hash or sort-merge)."""
+    keys = list(keys)
+    s = small.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in small.columns])
+    if broadcast:
+        s = F.broadcast(s)
+    cond = [big[k].eqNullSafe(s[f"__r_{k}"]) for k in keys]
+    return big.join(s, cond, "inner").drop(*[f"__r_{k}" for k in keys])
+
+
 def _join_small(big: DataFrame, small: DataFrame, keys: list[str], one_row: bool) -> DataFrame:
     """Equi-join a per-group (small) table. One-row tables are broadcast by hint;
     per-group tables are left to AQE, which broadcasts them when the materialised
     size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and keeps a
     sort-merge join otherwise."""
-    return big.join(F.broadcast(small) if one_row else small, keys, "inner")
+    return join_nullsafe(big, small, keys, broadcast=one_row)
 
 
 def hash_rank(df: DataFrame, key_cols: Sequence[str], seed: int | str, by: Sequence[str] = (),
@@ -49,8 +61,8 @@ def hash_rank(df: DataFrame, key_cols: Sequence[str], seed: int | str, by: Seque
     ``groups * 16**digits`` rows). Level 2: ``row_number`` inside each
     (group, bucket) plus the bucket's offset. Equal to the flat window.
     With 4 digits a group of 10^11 rows gives window groups of ~1.5M rows.
-    Group columns must be non-null; keys should be unique (a repeated key
-    lands in one bucket).
+    A NULL group is a group; keys should be unique (a repeated key lands in
+    one bucket).
     """
     h, b, off = "__h", "__b", "__off"
     d = df.withColumn(h, hash_hex(key_cols, seed))
@@ -59,7 +71,7 @@ def hash_rank(df: DataFrame, key_cols: Sequence[str], seed: int | str, by: Seque
     counts = d.groupBy(*groups, b).agg(F.count(F.lit(1)).alias("__n"))
     w_off = Window.partitionBy(*groups).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*groups, b, F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias(off))
-    d = d.join(offsets, [*groups, b], "inner")
+    d = join_nullsafe(d, offsets, [*groups, b])
     w = Window.partitionBy(*groups, b).orderBy(h, *key_cols)
     d = d.withColumn(rank_col, (F.row_number().over(w) + F.col(off)).cast("long"))
     d = d.drop(h, b, off)
@@ -127,7 +139,7 @@ def ordered_cumulative(df: DataFrame, value_col: str, weights: Mapping[str, Colu
     offsets = totals.select(*groups, "__bk", *[
         F.coalesce(F.sum(f"__t_{n}").over(w_off), F.lit(0)).alias(f"__o_{n}") for n in names], *[
         F.sum(f"__t_{n}").over(w_all).alias(f"tot_{n}") for n in names])
-    dist = dist.join(offsets, [*groups, "__bk"], "inner")
+    dist = join_nullsafe(dist, offsets, [*groups, "__bk"])
     w = Window.partitionBy(*groups, "__bk").orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
     out = dist.select(
         *groups, F.col(v).alias(value_col), *names,

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearth.functions.exprs import hash_hex, hex_prefix_int
-from hearth.operators.ranking import hash_rank, ordered_cumulative
+from hearth.operators.ranking import hash_rank, join_nullsafe, ordered_cumulative
 
 
 def _class_counts(df: DataFrame, label: str) -> dict:
@@ -84,14 +84,14 @@ def stratified_kfold_ordered(df: DataFrame, k: int = 3, label: str = "poor", key
     g = [*by, label]
     cum = ordered_cumulative(df, key, {"c": F.lit(1).cast("long")}, by=g)
     tot = cum.groupBy(*g).agg(F.max("cum_c").alias("__n"))
-    ranks = cum.join(tot, g).select(*g, key, (F.col("cum_c") - 1).alias("__r0"), "__n")
+    ranks = join_nullsafe(cum, tot, g).select(*g, key, (F.col("cum_c") - 1).alias("__r0"), "__n")
     q = F.floor(F.col("__n") / k)
     rem = F.col("__n") - q * k
     big = rem * (q + 1)
     fold = F.when(F.col("__r0") < big, F.floor(F.col("__r0") / (q + 1))) \
         .otherwise(rem + F.floor(F.try_divide(F.col("__r0") - big, q)))
     ranks = ranks.select(*g, key, fold.cast("int").alias(fold_col))
-    return df.join(ranks, [*g, key], "inner")
+    return join_nullsafe(df, ranks, [*g, key])
 
 
 def stratified_holdout(df: DataFrame, test_size: float = 0.05, label: str = "poor", seed: int = 0,
@@ -103,6 +103,6 @@ def stratified_holdout(df: DataFrame, test_size: float = 0.05, label: str = "poo
     g = [*by, label]
     r = hash_rank(df, list(key), seed, by=g, rank_col="__r")
     n = df.groupBy(*g).agg(F.ceil(F.count(F.lit(1)) * F.lit(test_size)).alias("__nt"))
-    j = r.join(n, g)
+    j = join_nullsafe(r, n, g)
     return j.withColumn(split_col, F.when(F.col("__r") <= F.col("__nt"), "test").otherwise("train")) \
         .drop("__r", "__nt")

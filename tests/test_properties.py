@@ -85,3 +85,13 @@ def test_num_indiv_counts_rows(spark):
     n = joins.num_indiv(h, i)
     assert n.count() == h.count()
     assert n.agg(F.sum("num_indiv")).first()[0] == i.count()
+
+
+def test_null_label_is_its_own_group(spark):
+    h = households(spark, SF_MID)  # test rows have a NULL target
+    f = sampling.stratified_kfold(h, k=3, seed=2)
+    assert f.count() == h.count()
+    o = sampling.stratified_kfold_ordered(h, k=3)
+    assert o.count() == h.count()
+    s = sampling.stratified_holdout(h, test_size=0.1, seed=1)
+    assert s.count() == h.count()
