@@ -178,3 +178,24 @@ def test_coverage_counts_childless(spark):
     rows = {r.g: r for r in joins.coverage(hh, ind, by=["g"]).collect()}
     assert rows["x"].n_households == 2 and rows["x"].n_without_indiv == 1
     assert rows["x"].any_covered and not rows["x"].all_covered and rows["y"].all_covered
+
+
+def test_target_encoding_noise_is_seeded(spark):
+    df = spark.createDataFrame([(i, "a" if i % 3 else "b", i % 2 == 0) for i in range(60)],
+                               "id long, cat string, poor boolean")
+    a = encode.smoothed_target_encode(df, "cat", min_samples_leaf=5, smoothing=2, noise_level=0.1, seed=7)
+    b = encode.smoothed_target_encode(df.repartition(5), "cat", min_samples_leaf=5, smoothing=2,
+                                      noise_level=0.1, seed=7)
+    assert a.exceptAll(b.select(*a.columns)).count() == 0
+    plain = {r.id: r.cat for r in encode.smoothed_target_encode(df, "cat", min_samples_leaf=5, smoothing=2).collect()}
+    noisy = {r.id: r.cat for r in a.collect()}
+    assert any(abs(noisy[k] - plain[k]) > 0 for k in plain)
+    assert all(abs(noisy[k] - plain[k]) <= 0.1 * 3 ** 0.5 * plain[k] + 1e-12 for k in plain)
+
+
+def test_stringify_edges(spark):
+    from hearth.operators import schema
+    df = spark.createDataFrame([(1, 3.0), (2, 2.5), (3, 1e20), (4, None)], "id int, x double")
+    got = {r.id: r.x for r in schema.stringify_columns(df, ["x"]).collect()}
+    assert got[1] == "3" and got[2] == "2.5" and got[4] == "nan"
+    assert got[3] is not None and "E" in got[3].upper()
