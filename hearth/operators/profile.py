@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearth.operators.ranking import (exact_quantile, ordered_cumulative,  # noqa: F401  (re-export)
@@ -167,16 +167,20 @@ def class_counts(df: DataFrame, label: str = "poor", by: Sequence[str] = ("count
 
 
 def class_category_share(df: DataFrame, feature: str, label: str = "poor",
-                         by: Sequence[str] = ("country",)) -> DataFrame:
+                         by: Sequence[str] = ("country",), estimator: Column | None = None) -> DataFrame:
     """Percent of the group's rows in each (class, category) cell.
-    Each group is divided by its own row count (ledger D15)."""
-    cells = df.groupBy(*by, label, feature).agg(F.count(F.lit(1)).alias("n"))
+    Each group is divided by its own row count (ledger D15). ``estimator``
+    is an optional caller-supplied aggregate ``Column`` evaluated per cell
+    (the plotting library's ``estimator=`` hook), returned as ``value``."""
+    aggs = [F.count(F.lit(1)).alias("n")] + ([estimator.alias("value")] if estimator is not None else [])
+    cells = df.groupBy(*by, label, feature).agg(*aggs)
     if by:
         tot = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__tot"))
         cells = cells.join(tot, list(by))
     else:
         cells = cells.withColumn("__tot", F.lit(df.count()))
-    return cells.select(*by, label, feature, "n", (F.col("n") / F.col("__tot") * 100).alias("pct"))
+    extra = ["value"] if estimator is not None else []
+    return cells.select(*by, label, feature, "n", (F.col("n") / F.col("__tot") * 100).alias("pct"), *extra)
 
 
 def class_kde(df: DataFrame, col: str, label: str = "poor", grid_size: int = 32,

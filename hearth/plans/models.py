@@ -79,10 +79,12 @@ def sparse_encoder_stages(cat_cols: Sequence[str], num_cols: Sequence[str], out:
     return stages
 
 
-def fit_model(train: DataFrame, feature_cols: Sequence[str], spec: dict, label: str = "label",
+def fit_model(train: DataFrame, feature_cols: Sequence[str], spec: dict | Estimator, label: str = "label",
               cat_cols: Sequence[str] = ()) -> PipelineModel:
     """Fit ``assemble -> classifier`` on prepared training rows (with the
     sparse categorical encoder in front when ``cat_cols`` are given).
+    ``spec`` is a model spec (see ``make_estimator``) or any ``pyspark.ml``
+    classifier reading ``features``/``label`` (the model plug-in surface).
 
     The training frame is persisted for the iterative fit and the shared
     checkpoint folder is registered so long tree lineages are cut.
@@ -91,9 +93,13 @@ def fit_model(train: DataFrame, feature_cols: Sequence[str], spec: dict, label:
     owned = not train.is_cached  # a frame the caller persisted stays persisted
     cached = train.persist() if owned else train
     try:
-        n = cached.count() if spec.get("kind") == "logistic" else None
+        if isinstance(spec, Estimator):
+            est = spec
+        else:
+            n = cached.count() if spec.get("kind") == "logistic" else None
+            est = make_estimator(spec, n_rows=n, label=label)
         front = sparse_encoder_stages(cat_cols, feature_cols) if cat_cols else [assemble(feature_cols)]
-        pipe = Pipeline(stages=[*front, make_estimator(spec, n_rows=n, label=label)])
+        pipe = Pipeline(stages=[*front, est])
         return pipe.fit(cached)
     finally:
         if owned:

@@ -87,3 +87,14 @@ def test_parallel_cv_equals_sequential(spark):
     assert par.keys() == seq.keys()
     for key in par:
         assert par[key] == seq[key]
+
+
+def test_any_estimator_plugs_in(spark):
+    from pyspark.ml.classification import NaiveBayes
+    from hearth.plans.models import fit_model, label_column, score
+    h, i = households(spark, SF_SMALL), individuals(spark, SF_SMALL)
+    from hearth.operators import joins
+    t = label_column(joins.num_indiv(h.where(F.col("_split") == "train"), i)).withColumn(
+        "num_indiv", F.col("num_indiv").cast("double"))
+    m = fit_model(t, ["num_indiv"], NaiveBayes(featuresCol="features", labelCol="label"))
+    assert score(m, t).where((F.col("p") < 0) | (F.col("p") > 1)).count() == 0

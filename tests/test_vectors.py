@@ -199,3 +199,11 @@ def test_stringify_edges(spark):
     got = {r.id: r.x for r in schema.stringify_columns(df, ["x"]).collect()}
     assert got[1] == "3" and got[2] == "2.5" and got[4] == "nan"
     assert got[3] is not None and "E" in got[3].upper()
+
+
+def test_caller_supplied_estimator(spark):
+    from hearth.operators import profile
+    df = spark.createDataFrame([("A", True, "x", 1.0), ("A", False, "x", 3.0), ("A", False, "y", 5.0)],
+                               "country string, poor boolean, f string, v double")
+    rows = {(r.poor, r.f): r for r in profile.class_category_share(df, "f", estimator=F.avg("v")).collect()}
+    assert rows[(False, "x")].value == 3.0 and rows[(True, "x")].pct == pytest.approx(100 / 3)
