@@ -101,14 +101,14 @@ def m10a(spark, sf):
 
 @query("m10_holdout_b", heavy=True)
 def m10b(spark, sf):
-    """M10 ``CV_B``: 95/5 stratified holdout of country B, no resampling."""
+    """95/5 stratified holdout of country B, no resampling."""
     h, i = _hh_ind(spark, sf)
     return cv.holdout_validate(_recipes()["B"], h.where(F.col("_split") == "train"), i, seed=0)
 
 
 @query("m10_holdout_b_downsampled", heavy=True)
 def m10b_down(spark, sf):
-    """M10 ``CV_B_resampled``: the same holdout with the train part downsampled."""
+    """The same holdout with the train part downsampled."""
     h, i = _hh_ind(spark, sf)
     return cv.holdout_validate(_recipes()["B"], h.where(F.col("_split") == "train"), i, seed=0, how="down")
 

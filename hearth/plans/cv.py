@@ -73,7 +73,7 @@ def cross_validate(recipe: Recipe, hhold_train: DataFrame, indiv: DataFrame, k:
 
 def holdout_validate(recipe: Recipe, hhold_train: DataFrame, indiv: DataFrame, test_size: float = 0.05,
                      seed: int = 0, how: str | None = None, model: dict | None = None) -> DataFrame:
-    """M10 ``CV_B`` / ``CV_B_resampled``: one stratified holdout (R5), the
+    """M10 holdout form (with or without resampling): one stratified holdout (R5), the
     confusion counts and metrics of the validation part."""
     h = hhold_train.where(F.col("country") == recipe.country)
     h = sampling.stratified_holdout(h, test_size=test_size, seed=seed, split_col="_split")
