@@ -61,7 +61,7 @@ def m3(spark, sf):
 
 
 def _cv_c_recipe() -> Recipe:
-    """CV_C's own recipe: num_indiv standardised (not binned), logistic C=2."""
+    """Country C's cross-validation recipe: num_indiv standardised (not binned), logistic C=2."""
     return Recipe("C", drop_string_cats=True, standardize=["num_indiv"], encode_all_but_numeric=True,
                   model=dict(REFERENCE_MODELS["C_cv"]))
 
