@@ -40,8 +40,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.ui.showConsoleProgress", "false")
     )
     if local:
+        # small local data: coalesce shuffles to the advisory size instead of many 1 MB partitions
         builder = (builder.config("spark.driver.memory", os.environ.get("HEARTH_DRIVER_MEMORY", "16g"))
-                   .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m"))
+                   .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
+                   .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
