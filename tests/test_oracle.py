@@ -28,3 +28,11 @@ def test_entry_contract():
     import __spark_entry__ as E
     assert set(E.oracle_sql()) <= set(E.queries())
     assert len(E.oracle_sql()) >= 80
+
+
+def test_entry_smoke(spark):
+    import __spark_entry__ as E
+    df = E.entry(spark)
+    assert df.schema.simpleString() == "struct<id:bigint,country:string,poor:double>"
+    rows = df.collect()
+    assert len(rows) > 0 and all(0.0 <= r.poor <= 1.0 for r in rows)
