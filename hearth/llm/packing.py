@@ -29,7 +29,7 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from hearth.llm.common import map_rows, staged, texts
 from hearth.llm.tokens import ByteBpe
@@ -61,7 +61,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID, size: int = SEQU
     """One row per piece of every document of ``docs(doc_id, text)``; ``with_ids`` adds
     ``ids`` (little-endian unsigned 32-bit)."""
     end = array("I", [end_id]).tobytes()
-    schema = PIECE_SCHEMA if not with_ids else StructType(PIECE_SCHEMA.fields).add("ids", "binary", False)
+    schema = StructType([*PIECE_SCHEMA.fields, *([StructField("ids", BinaryType(), False)] if with_ids else [])])
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         bpe = ByteBpe.of(path)
