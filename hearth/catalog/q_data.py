@@ -38,6 +38,40 @@ def s4(spark, sf):
     return io.load_indiv(spark, sf, "test")
 
 
+_IND_COUNTRY = f"""WITH {HH},\n{IND}
+SELECT ind.id, iid, country, o_orderstatus, o_totalprice FROM ind JOIN hh ON ind.id = hh.id WHERE ind._split = """
+
+
+def _indiv_file(spark, sf, split):
+    country = hh(spark, sf).select("id", "country")
+    return io.load_indiv(spark, sf, split).join(country, "id").select(
+        "id", "iid", "country", "o_orderstatus", "o_totalprice")
+
+
+@query("s1_hhold_train_csv", f"WITH {HH} SELECT * FROM hh WHERE _split = 'train'")
+def s1_csv(spark, sf):
+    """S1 in the reference's layout: a household train CSV per country, written and read back."""
+    return io.survey_roundtrip(spark, io.load_hhold(spark, sf, "train"), "hhold", "train")
+
+
+@query("s2_hhold_test_csv", f"WITH {HH} SELECT * EXCLUDE (poor) FROM hh WHERE _split = 'test'")
+def s2_csv(spark, sf):
+    """S2 in the reference's layout."""
+    return io.survey_roundtrip(spark, io.load_hhold(spark, sf, "test"), "hhold", "test")
+
+
+@query("s3_indiv_train_csv", _IND_COUNTRY + "'train'", round_cols=["o_totalprice"])
+def s3_csv(spark, sf):
+    """S3 in the reference's layout."""
+    return io.survey_roundtrip(spark, _indiv_file(spark, sf, "train"), "indiv", "train")
+
+
+@query("s4_indiv_test_csv", _IND_COUNTRY + "'test'", round_cols=["o_totalprice"])
+def s4_csv(spark, sf):
+    """S4 in the reference's layout."""
+    return io.survey_roundtrip(spark, _indiv_file(spark, sf, "test"), "indiv", "test")
+
+
 @query("s5_submission_csv", BASE + "SELECT id, country, p AS poor FROM sc WHERE _split = 'test'",
        round_cols=["poor"])
 def s5(spark, sf):

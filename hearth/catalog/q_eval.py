@@ -41,7 +41,7 @@ def r1(spark, sf):
 @query("r2_upsample", T + f""",
 mino AS (SELECT *, row_number() OVER (ORDER BY {md5_key(['id'], 144)}, id) AS r FROM t WHERE poor),
 cnt AS (SELECT count(*) FILTER (WHERE poor) AS nmin, count(*) FILTER (WHERE NOT poor) AS nmaj FROM t),
-draws AS (SELECT i AS _draw, {hexint(md5_key(['i'], 144), 8)} % nmin + 1 AS r
+draws AS (SELECT i AS _draw, {hexint(md5_key(['i'], 144), 15)} % nmin + 1 AS r
           FROM (SELECT unnest(range(nmaj)) AS i, nmin FROM cnt))
 SELECT *, CAST(NULL AS BIGINT) AS _draw FROM t WHERE NOT poor
 UNION ALL

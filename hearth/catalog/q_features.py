@@ -388,6 +388,85 @@ def e15(spark, sf):
     return encode.preprocess(t, normalize_num="standardize", categorical="get_dummies", fillmean=None)
 
 
+_E15 = f"""WITH {HH},\n{IND},\n{NI},
+t AS (SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE c_mktsegment END AS seg, _split,
+  CASE WHEN id % 5 = 0 THEN NULL ELSE num_indiv END AS num_indiv FROM ni WHERE _split = 'train'),
+z AS (SELECT *, (num_indiv - avg(num_indiv) OVER ()) / nullif(stddev_samp(num_indiv) OVER (), 0) AS s,
+  CAST(num_indiv - min(num_indiv) OVER () AS DOUBLE) / nullif(max(num_indiv) OVER () - min(num_indiv) OVER (), 0) AS r,
+  CASE WHEN seg IS NOT NULL THEN dense_rank() OVER (PARTITION BY seg IS NULL ORDER BY seg) - 1 END AS code FROM t)
+"""
+
+
+def _e15_rows(spark, sf):
+    return _train(ni(spark, sf)).select(
+        "id", F.when(F.col("id") % 4 != 0, F.col("c_mktsegment")).alias("seg"), "_split",
+        F.when(F.col("id") % 5 != 0, F.col("num_indiv")).alias("num_indiv"))
+
+
+@query("e15_default_label_encoder", _E15 + """SELECT id, _split, CAST(coalesce(code, 0) AS INTEGER) AS seg,
+  coalesce(s, 0) AS num_indiv FROM z""", round_cols=["num_indiv"])
+def e15_default(spark, sf):
+    """E15 with its defaults: standardise, label codes, gaps filled with 0."""
+    return encode.preprocess(_e15_rows(spark, sf))
+
+
+@query("e15_min_max", _E15 + """SELECT id, _split, CAST(coalesce(code, 0) AS INTEGER) AS seg,
+  coalesce(r, 0) AS num_indiv FROM z""", round_cols=["num_indiv"])
+def e15_min_max(spark, sf):
+    """E15 with min-max scaling."""
+    return encode.preprocess(_e15_rows(spark, sf), normalize_num="min_max")
+
+
+@query("e15_fill_mean", _E15 + """SELECT id, _split, coalesce(CAST(code AS DOUBLE), avg(code) OVER ()) AS seg,
+  coalesce(s, avg(s) OVER ()) AS num_indiv FROM z""", round_cols=["seg", "num_indiv"])
+def e15_fill_mean(spark, sf):
+    """E15 with gaps filled by the column mean."""
+    return encode.preprocess(_e15_rows(spark, sf), fillmean="mean")
+
+
+@query("e15_fill_median", _E15 + """SELECT id, _split,
+  coalesce(CAST(code AS DOUBLE), (SELECT quantile_cont(code, 0.5) FROM z)) AS seg,
+  coalesce(s, (SELECT quantile_cont(s, 0.5) FROM z)) AS num_indiv FROM z""", round_cols=["seg", "num_indiv"])
+def e15_fill_median(spark, sf):
+    """E15 with gaps filled by the column median."""
+    return encode.preprocess(_e15_rows(spark, sf), fillmean="median")
+
+
+@query("e3_label_encode_names", "SELECT c_custkey AS id, CAST(dense_rank() OVER (ORDER BY c_name) - 1 AS INTEGER) AS name "
+       "FROM customer")
+def e3_names(spark, sf):
+    """E3 on a column with a value for nearly every row: codes joined, no limit."""
+    c = tables.read_table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return encode.label_encode(c, ["name"])
+
+
+@query("e4_one_hot_long", """SELECT c_custkey AS id, 'name' AS "column",
+  CAST(dense_rank() OVER (ORDER BY c_name) - 1 AS INTEGER) AS code FROM customer
+UNION ALL SELECT c_custkey, 'segment', CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) FROM customer""")
+def e4_long(spark, sf):
+    """E4 in long form on a wide and a narrow category."""
+    c = tables.read_table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return encode.one_hot_long(c, ["name", "segment"])
+
+
+@query("u5_columns_to_encode", f"WITH {HH} SELECT id, country, poor, c_nationkey FROM hh")
+def u5(spark, sf):
+    """The columns of one list that another lacks, by name and in order."""
+    h = hh(spark, sf)
+    return h.select(*schema.column_difference(h.columns, ["c_mktsegment", "_split"]))
+
+
+@query("f2_estimator_hook", f"""WITH {HH} SELECT country, poor, c_mktsegment, count(*) AS n,
+  count(*) / any_value(tot) * 100 AS pct, max(c_nationkey) AS value
+FROM hh JOIN (SELECT country AS k, count(*) AS tot FROM hh GROUP BY 1) ON k = country
+GROUP BY country, poor, c_mktsegment""", round_cols=["pct"])
+def f2(spark, sf):
+    """a caller's own aggregate per cell beside the share (the ``estimator`` hook)."""
+    return profile.class_category_share(hh(spark, sf), "c_mktsegment", "poor", by=["country"],
+                                        estimator=F.max("c_nationkey"))
+
+
 @query("p13_preprocess_enforce", f"""WITH {HH},\n{IND},\n{NI},
 t AS (SELECT id, c_mktsegment, c_nationkey, num_indiv, _split FROM ni WHERE _split = 'test')
 SELECT id, _split,

@@ -13,15 +13,16 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from hearth.functions.exprs import bin_right_closed, hash_hex, hex_prefix_int, safe_ln, stringify
 from hearth.operators.joins import map_lookup
 from hearth.operators.profile import long_form
-from hearth.operators.ranking import exact_quantile
+from hearth.operators.ranking import attach_grouped, exact_quantile
 from hearth.operators.schema import DEFAULT_KEYS, enforce_cols, string_columns
+from hearth.session import scratch_path
 
 # Fixed values from the reference: the num_indiv bins of country C (right
 # closed) and their labels, the last one covering (13, 20].
@@ -61,7 +62,7 @@ def standardize(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
     fit = _fit_rows(df, fit_on)
     if by:
         st = fit.groupBy(*by).agg(*aggs)
-        j = df.join(st, list(by), "left")
+        j = attach_grouped(df, st, by)
         m = {c: F.col(f"__m_{c}") for c in cols}
         s = {c: F.col(f"__s_{c}") for c in cols}
     else:
@@ -82,7 +83,7 @@ def min_max_scale(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
         aggs += [F.min(c).alias(f"__lo_{c}"), F.max(c).alias(f"__hi_{c}")]
     fit = _fit_rows(df, fit_on)
     if by:
-        j = df.join(fit.groupBy(*by).agg(*aggs), list(by), "left")
+        j = attach_grouped(df, fit.groupBy(*by).agg(*aggs), by)
         lo = {c: F.col(f"__lo_{c}").cast("double") for c in cols}
         hi = {c: F.col(f"__hi_{c}").cast("double") for c in cols}
     else:
@@ -135,14 +136,51 @@ class Vocabulary:
         return F.create_map(*[x for i, v in enumerate(vals) for x in (F.lit(v), F.lit(i))])
 
 
+def code_table(df: DataFrame, col: str, fit_on: Column | None = None) -> DataFrame:
+    """``(value, code)``: every distinct non-null value of ``col`` and its rank (from 0) in
+    string order, for any number of values.
+
+    The values are sorted over range partitions and written once to the shared
+    folder; a value's code is its place in its partition plus the sizes of the
+    partitions before (one row a partition)."""
+    values = (_fit_rows(df, fit_on).select(F.col(col).cast("string").alias("value"))
+              .where(F.col("value").isNotNull()).distinct())
+    spark = df.sparkSession
+    path = scratch_path(spark, "codes")
+    values.repartitionByRange("value").select("value", F.spark_partition_id().alias("part")).write.parquet(path)
+    parts = spark.read.parquet(path)
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("value"))
+    return (parts.withColumn("place", place).join(offsets, "part")
+            .select("value", (F.col("place") - 1 + F.col("offset")).cast("int").alias("code")))
+
+
 def label_encode(df: DataFrame, cols: Sequence[str], vocab: Vocabulary | None = None,
-                 max_categories: int = 1000) -> DataFrame:
+                 codes_from: DataFrame | None = None) -> DataFrame:
     """Each value -> its rank among the sorted distinct values (from 0).
-    Values missing from the vocabulary and NULL become NULL."""
-    vocab = vocab or Vocabulary.fit(df, cols, max_categories)
-    return df.select(*[
-        F.element_at(vocab.codes(c), F.col(c).cast("string")).alias(c) if c in cols else F.col(c)
-        for c in df.columns])
+    Values missing from the vocabulary and NULL become NULL.
+
+    Codes are joined from :func:`code_table` of ``codes_from`` (default: the frame
+    itself), or looked up in a fitted ``vocab``."""
+    if vocab is not None:
+        return df.select(*[
+            F.element_at(vocab.codes(c), F.col(c).cast("string")).alias(c) if c in cols else F.col(c)
+            for c in df.columns])
+    out = df
+    for c in cols:
+        codes = code_table(df if codes_from is None else codes_from, c)
+        out = map_lookup(out.withColumn(c, F.col(c).cast("string")), c, codes, "value", "code", out_col=c)
+    return out.select(*df.columns)
+
+
+def one_hot_long(df: DataFrame, cols: Sequence[str], key: str = "id",
+                 codes_from: DataFrame | None = None) -> DataFrame:
+    """E4 in long form, for any number of categories: one row ``(key, column, code)`` per
+    non-null cell, the place of its 1. Codes are those of :func:`label_encode`."""
+    coded = label_encode(df.select(key, *cols), cols, codes_from=codes_from)
+    return long_form(coded, cols, ids=[key], as_type="int", value_name="code").where(F.col("code").isNotNull())
 
 
 def dummy_name(col: str, value: str, sep: str = "_") -> str:
@@ -214,7 +252,7 @@ def fill_mean(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), compat
     fit = _fit_rows(df, fit_on)
     if by and not compat:
         st = fit.groupBy(*by).agg(*[F.avg(c).alias(f"__m_{c}") for c in cols])
-        j = df.join(st, list(by), "left")
+        j = attach_grouped(df, st, by)
         return j.select(*[F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}")).alias(c)
                           if c in cols else F.col(c) for c in df.columns])
     row = _one_row(fit.agg(*[F.avg(c).alias(c) for c in cols]))
@@ -248,8 +286,8 @@ def bin_column(df: DataFrame, col: str, edges: Sequence[float] = NUM_INDIV_EDGES
 
 def target_mean_encode(df: DataFrame, cols: Sequence[str], label: str = "poor",
                        fit_on: Column | None = None, suffix: str = "") -> DataFrame:
-    """Category -> mean of the target over the fit rows (train); a category
-    not seen in the fit rows becomes NULL (J4 semantics)."""
+    """Category -> mean of the target over the fit rows (train); a NULL, and a
+    category not seen in the fit rows, becomes NULL (J4 semantics)."""
     fit = _fit_rows(df, fit_on)
     out = df
     for c in cols:
@@ -264,7 +302,7 @@ def smoothed_target_encode(df: DataFrame, col: str, label: str = "poor", min_sam
                            key: str = "id") -> DataFrame:
     """Smoothed target encoding (Micci-Barreca):
     ``w = 1/(1+exp(-(n - min_samples_leaf)/smoothing))``,
-    ``enc = prior*(1-w) + mean*w``; unseen categories get the prior.
+    ``enc = prior*(1-w) + mean*w``; NULL and unseen categories get the prior.
     Optional multiplicative noise ``1 + noise_level*u*sqrt(3)``, ``u`` uniform in
     [-1, 1) from md5(key, seed) so it is stable under repartitioning."""
     fit = _fit_rows(df, fit_on)
@@ -283,7 +321,7 @@ def smoothed_target_encode(df: DataFrame, col: str, label: str = "poor", min_sam
 
 
 def frequency_encode(df: DataFrame, col: str, fit_on: Column | None = None, out: str | None = None) -> DataFrame:
-    """Category -> its share of the fit rows; unseen -> 0."""
+    """Category -> its share of the fit rows; NULL and unseen -> 0."""
     fit = _fit_rows(df, fit_on)
     n = fit.count()
     freq = fit.groupBy(col).agg(F.try_divide(F.count(F.lit(1)), F.lit(n)).alias("__f"))
@@ -317,9 +355,10 @@ def preprocess(df: DataFrame, normalize_num: str | None = "standardize",
         raise ValueError(f"unknown normalize_num {normalize_num!r}")
     cats = string_columns(df, exclude=keys)
     src = vocab_from if vocab_from is not None else df
-    if categorical in ("label_encoder", "get_dummies") and cats:
-        vocab = Vocabulary.fit(src, cats, max_categories)
-        df = label_encode(df, cats, vocab) if categorical == "label_encoder" else one_hot(df, cats, vocab)
+    if categorical == "label_encoder" and cats:
+        df = label_encode(df, cats, codes_from=src)
+    elif categorical == "get_dummies" and cats:
+        df = one_hot(df, cats, Vocabulary.fit(src, cats, max_categories))
     elif categorical is not None and categorical not in ("label_encoder", "get_dummies"):
         raise ValueError(f"unknown categorical {categorical!r}")
     if enforce is not None:

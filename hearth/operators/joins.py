@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearth.operators.ranking import attach_grouped, inline_rows
+
 
 def num_indiv(hhold: DataFrame, indiv: DataFrame, key: str = "id", name: str = "num_indiv",
               fill: int | None = 0) -> DataFrame:
@@ -57,12 +59,15 @@ def map_lookup(df: DataFrame, col: str, mapping: DataFrame, key_col: str, value_
                out_col: str | None = None) -> DataFrame:
     """``df[col].map(mapping)``; values missing from the mapping become NULL.
 
-    ``mapping`` has one row per category, so its size is bounded by the
-    vocabulary; AQE decides broadcast vs sort-merge from its real size.
+    A NULL is in no category, so it becomes NULL too. ``mapping`` has one row
+    per category: a mapping of at most ``MAX_INLINE_GROUPS`` rows is broadcast
+    as literals, a larger one is joined (AQE splits skewed categories).
     """
     out_col = out_col or col
-    m = mapping.select(F.col(key_col).alias("__k"), F.col(value_col).alias("__v"))
-    j = df.join(m, df[col].eqNullSafe(m["__k"]), "left")
+    m = mapping.select(F.col(key_col).alias("__k"), F.col(value_col).alias("__v")).where(F.col("__k").isNotNull())
+    small = inline_rows(m)
+    m = m if small is None else F.broadcast(small)
+    j = df.join(m, df[col] == m["__k"], "left")
     j = j.drop("__k")
     if out_col == col:
         j = j.drop(col)
@@ -72,12 +77,13 @@ def map_lookup(df: DataFrame, col: str, mapping: DataFrame, key_col: str, value_
 def attach_stats(df: DataFrame, stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Attach per-group statistics to every row.
 
-    Grouped stats join on the group keys. Global stats are one row: it is
+    Grouped stats join on the group keys, a NULL group with itself (see
+    ``attach_grouped``). Global stats are one row: it is
     collected (bounded: one value per statistic) and inlined as literals,
     which keeps the projection inside whole-stage codegen with no join.
     """
     if by:
-        return df.join(stats, list(by), "left")
+        return attach_grouped(df, stats, by)
     rows = stats.take(2)
     if len(rows) != 1:
         raise ValueError("global stats must be exactly one row")

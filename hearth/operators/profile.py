@@ -15,8 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearth.operators.ranking import (exact_quantile, ordered_cumulative,  # noqa: F401  (re-export)
-                                     quantile_from_cumulative)
+from hearth.operators.ranking import (attach_grouped, exact_quantile, join_nullsafe,  # noqa: F401  (re-export)
+                                     ordered_cumulative, quantile_from_cumulative)
 
 
 def long_form(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (), as_type: str = "double",
@@ -49,7 +49,7 @@ def mean_median(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> D
     lf = long_form(df, cols, ids=by)
     means = lf.groupBy(*by, "column").agg(F.avg("value").alias("mean"))
     med = exact_quantile(lf, "value", 0.5, by=[*by, "column"], out_col="median")
-    return means.join(med, [*by, "column"], "left")
+    return join_nullsafe(means, med, [*by, "column"], how="left")
 
 
 def nunique(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), approx: bool = False,
@@ -61,12 +61,11 @@ def nunique(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), approx:
         return lf.groupBy(*by, "column").agg(F.approx_count_distinct("value", rsd).alias("nunique"))
     d = lf.select(*by, "column", "value").distinct()
     out = d.groupBy(*by, "column").agg(F.count(F.lit(1)).alias("nunique"))
-    # columns that are entirely NULL have no distinct value: report 0
-    allcols = lf.sparkSession.createDataFrame([(c,) for c in cols], "column string") if not by else None
-    if allcols is not None:
-        out = allcols.join(out, "column", "left").select(
-            "column", F.coalesce("nunique", F.lit(0)).cast("long").alias("nunique"))
-    return out
+    # columns that are entirely NULL (in a group) have no distinct value: report 0
+    names = F.explode(F.array(*[F.lit(c) for c in cols])).alias("column")
+    every = df.select(*by).distinct().select(*by, names) if by else df.sparkSession.range(1).select(names)
+    return join_nullsafe(every, out, [*by, "column"], how="left").select(
+        *by, "column", F.coalesce("nunique", F.lit(0)).cast("long").alias("nunique"))
 
 
 def null_profile(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -97,29 +96,57 @@ def correlation(df: DataFrame, cols: Sequence[str], method: str = "pairs") -> Da
     """Pearson correlation of every column pair (a < b in list order).
 
     ``pairs``: one aggregate with ``corr(a, b)`` per pair (few columns).
-    ``matrix``: ``pyspark.ml.stat.Correlation`` on an assembled vector, one
-    tree-aggregated Gram matrix, for hundreds of columns; the p x p result is
-    bounded by the column count. Rows with a NULL are dropped in that mode.
+    ``matrix``: one pass of pair sums kept as arrays (count, sums, squares and
+    products over the rows where both columns are present), for hundreds of
+    columns; the result is bounded by the column count. Both modes are
+    pairwise-complete.
     """
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     spark = df.sparkSession
     if method == "pairs":
-        row = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-        stack = ", ".join(f"'{a}', '{b}', `{i}`" for i, (a, b) in enumerate(pairs))
-        return row.selectExpr(f"stack({len(pairs)}, {stack}) as (col_a, col_b, corr)")
+        row = df.agg(*[F.corr(F.col(a), F.col(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+        cells = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"{i}").alias("corr"))
+                          for i, (a, b) in enumerate(pairs)])
+        return row.select(F.inline(cells))
     if method == "matrix":
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-        vec = VectorAssembler(inputCols=list(cols), outputCol="__f", handleInvalid="skip").transform(
-            df.select(*[F.col(c).cast("double") for c in cols]))
-        m = Correlation.corr(vec, "__f").first()[0].toArray()
-        idx = {c: i for i, c in enumerate(cols)}
-        data = [(a, b, float(m[idx[a], idx[b]]) if not math.isnan(m[idx[a], idx[b]]) else None)
-                for a, b in pairs]
+        sums = _pair_sums(df, cols)
+        data = []
+        for i, a in enumerate(cols):
+            for j in range(i + 1, len(cols)):
+                n, sa, sb, saa, sbb, sab = (float(m[i][j]) for m in sums)
+                va, vb = saa - sa * sa / n if n else 0.0, sbb - sb * sb / n if n else 0.0
+                data.append((a, cols[j], (sab - sa * sb / n) / math.sqrt(va * vb) if va > 0 and vb > 0 else None))
         return spark.createDataFrame(data, "col_a string, col_b string, corr double")
     raise ValueError(f"unknown method {method!r}")
 
 
+def _pair_sums(df: DataFrame, cols: Sequence[str]) -> list:
+    """Per column pair over the rows where both are present: n, sum a, sum b, sum a^2,
+    sum b^2, sum ab. Every task reduces its rows to these matrices; columns are
+    centred on their means first, so the sums don't cancel."""
+    import numpy as np
+    import pandas as pd
+    p = len(cols)
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    means = x.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    centre = np.array([0.0 if m is None else m for m in means])
+
+    def part(batches):
+        total = np.zeros((6, p, p))
+        for b in batches:
+            v = b.to_numpy(dtype=float, na_value=np.nan) - centre
+            here = (~np.isnan(v)).astype(float)
+            z = np.where(here > 0, v, 0.0)
+            total += [here.T @ here, z.T @ here, here.T @ z, (z * z).T @ here, here.T @ (z * z), z.T @ z]
+        yield pd.DataFrame({"k": range(6 * p * p), "s": total.ravel()})
+
+    parts = x.mapInPandas(part, "k int, s double").groupBy("k").agg(F.sum("s").alias("s"))
+    total = np.zeros(6 * p * p)
+    for r in parts.collect():  # 6 p^2 numbers
+        total[r["k"]] = r["s"]
+    return list(total.reshape(6, p, p))
+
+
 def correlated_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.9,
                      method: str = "pairs") -> DataFrame:
     """A9 -> P1 list: pairs with |corr| above ``threshold``."""
@@ -138,7 +165,7 @@ def class_overlap(df: DataFrame, cols: Sequence[str], label: str = "poor", n_bin
     y = F.col(label).cast("int")
     rng = lf.groupBy("column").agg(F.min("value").alias("__mn"), F.max("value").alias("__mx"),
                                     F.sum(y).alias("__N1"), F.sum(1 - y).alias("__N0"))
-    j = lf.join(rng, "column")
+    j = attach_grouped(lf, rng, ["column"], how="inner")
     width = F.col("__mx") - F.col("__mn")
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("value") - F.col("__mn")) / width * n_bins), F.lit(n_bins - 1)))
@@ -149,9 +176,8 @@ def class_overlap(df: DataFrame, cols: Sequence[str], label: str = "poor", n_bin
         F.sum(F.when((F.col("tot0") > 0) & (F.col("tot1") > 0),
                      F.least(F.col("n0") / F.col("tot0"), F.col("n1") / F.col("tot1")))).alias("overlap"))
     cum = ordered_cumulative(lf, "value", {"p": y.cast("long"), "q": (1 - y).cast("long")}, by=["column"])
-    cum = cum.join(rng.select("column", "__N1", "__N0"), "column")
     ks = cum.groupBy("column").agg(
-        F.max(F.abs(F.try_divide(F.col("cum_p"), F.col("__N1")) - F.try_divide(F.col("cum_q"), F.col("__N0"))))
+        F.max(F.abs(F.try_divide(F.col("cum_p"), F.col("tot_p")) - F.try_divide(F.col("cum_q"), F.col("tot_q"))))
         .alias("ks"))
     return overlap.join(ks, "column")
 
@@ -176,7 +202,7 @@ def class_category_share(df: DataFrame, feature: str, label: str = "poor",
     cells = df.groupBy(*by, label, feature).agg(*aggs)
     if by:
         tot = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__tot"))
-        cells = cells.join(tot, list(by))
+        cells = join_nullsafe(cells, tot, by)
     else:
         cells = cells.withColumn("__tot", F.lit(df.count()))
     extra = ["value"] if estimator is not None else []
@@ -201,7 +227,7 @@ def class_kde(df: DataFrame, col: str, label: str = "poor", grid_size: int = 32,
     st = st.select(*by, label, "__n",
                    (F.col("__sd") * F.pow(F.col("__n").cast("double"), -0.2)).alias("__h"),
                    F.min("__mn").over(w).alias("__gmin"), F.max("__mx").over(w).alias("__gmax"))
-    j = base.join(st, [*by, label])
+    j = attach_grouped(base, st, [*by, label], how="inner")
     step = (F.col("__gmax") - F.col("__gmin")) / max(grid_size - 1, 1)
     # a class with one row or a constant value has no bandwidth: its density is NULL
     sums = [F.sum(F.exp(F.lit(-0.5) * F.pow(F.try_divide(F.col("__gmin") + step * i - F.col("__x"), F.col("__h")), 2)))
@@ -229,7 +255,7 @@ def category_frequency(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataF
     cells = df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
     if by:
         tot = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__tot"))
-        cells = cells.join(tot, list(by))
+        cells = join_nullsafe(cells, tot, by)
     else:
         total = df.count()
         cells = cells.withColumn("__tot", F.lit(total))
@@ -244,7 +270,7 @@ def zscore_outliers(df: DataFrame, cols: Sequence[str], k: float = 3.0, by: Sequ
         aggs += [F.avg(c).alias(f"__m_{c}"), F.stddev_samp(c).alias(f"__s_{c}")]
     if by:
         st = df.groupBy(*by).agg(*aggs)
-        j = df.join(st, list(by))
+        j = attach_grouped(df, st, by, how="inner")
     else:
         row = df.agg(*aggs).first().asDict()
         j = df.select("*", *[F.lit(v).cast("double").alias(k2) for k2, v in row.items()])

@@ -18,6 +18,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from hearth.functions.exprs import hash_hex, hex_prefix_int
 
@@ -32,8 +33,9 @@ def _with_group(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str],
     return df.withColumn(_ALL, F.lit(0)), [_ALL], True
 
 
-def join_nullsafe(big: DataFrame, small: DataFrame, keys: Sequence[str], broadcast: bool = False) -> DataFrame:
-    """Inner equi-join on ``keys`` where NULL matches NULL (``<=>``), so a NULL
+def join_nullsafe(big: DataFrame, small: DataFrame, keys: Sequence[str], broadcast: bool = False,
+                  how: str = "inner") -> DataFrame:
+    """Equi-join (inner unless ``how`` says left) on ``keys`` where NULL matches NULL (``<=>``), so a NULL
     group is a group here exactly as in ``groupBy`` and window partitions.
     Spark still plans ``<=>`` keys as an equi-join (hash or sort-merge)."""
     keys = list(keys)
@@ -41,14 +43,47 @@ def join_nullsafe(big: DataFrame, small: DataFrame, keys: Sequence[str], broadca
     if broadcast:
         s = F.broadcast(s)
     cond = [big[k].eqNullSafe(s[f"__r_{k}"]) for k in keys]
-    return big.join(s, cond, "inner").drop(*[f"__r_{k}" for k in keys])
+    return big.join(s, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
+#: Groups whose statistics are small enough to travel inside the plan.
+MAX_INLINE_GROUPS = 1000
+
+
+def inline_rows(df: DataFrame, limit: int = MAX_INLINE_GROUPS) -> DataFrame | None:
+    """``df`` as literals in the plan if it has at most ``limit`` rows, else None.
+    Collects at most ``limit + 1`` rows; the result is safe to broadcast."""
+    rows = df.take(limit + 1)
+    if len(rows) > limit:
+        return None
+    types = {f.name: f.dataType for f in df.schema.fields}
+    if not rows:
+        return df.sparkSession.createDataFrame([], df.schema)
+    made = F.array(*[F.struct(*[F.lit(r[c]).cast(t).alias(c) for c, t in types.items()]) for r in rows])
+    return df.sparkSession.range(1).select(F.inline(made))
+
+
+def attach_grouped(df: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
+    """Attach per-group statistics to every row; a NULL group is a group.
+
+    Statistics of at most ``MAX_INLINE_GROUPS`` groups are collected and
+    broadcast as literals, so the rows don't move to a few hot group keys; more
+    groups are joined by a null-safe equi-join, where skewed keys are split at
+    run time."""
+    keys = list(by)
+    small = inline_rows(stats)
+    s = stats if small is None else small
+    s = s.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in stats.columns])
+    s = s if small is None else F.broadcast(s)
+    cond = [df[k].eqNullSafe(s[f"__r_{k}"]) for k in keys]
+    return df.join(s, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
 def _join_small(big: DataFrame, small: DataFrame, keys: list[str], one_row: bool) -> DataFrame:
-    """Equi-join a per-group (small) table. One-row tables are broadcast by hint;
-    per-group tables are left to AQE, which broadcasts them when the materialised
-    size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and keeps a
-    sort-merge join otherwise."""
+    """Equi-join a per-group table whose arrays are too wide for the plan. One-row
+    tables are broadcast by hint; others are left to AQE, which broadcasts them
+    when the materialised size is under
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold``."""
     return join_nullsafe(big, small, keys, broadcast=one_row)
 
 
@@ -64,24 +99,24 @@ def hash_rank(df: DataFrame, key_cols: Sequence[str], seed: int | str, by: Seque
     A NULL group is a group; keys should be unique (a repeated key lands in
     one bucket).
     """
-    h, b, off = "__h", "__b", "__off"
+    h, b, off, g = "__h", "__b", "__off", "__g"
     d = df.withColumn(h, hash_hex(key_cols, seed))
     d = d.withColumn(b, hex_prefix_int(F.col(h), digits))
-    d, groups, one = _with_group(d, by)
-    counts = d.groupBy(*groups, b).agg(F.count(F.lit(1)).alias("__n"))
-    w_off = Window.partitionBy(*groups).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*groups, b, F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias(off))
-    d = join_nullsafe(d, offsets, [*groups, b])
-    w = Window.partitionBy(*groups, b).orderBy(h, *key_cols)
+    # one non-null group key (a struct holds NULL groups) for counts, join and window: rows move once
+    d = d.withColumn(g, F.struct(F.lit(0).alias("_"), *[F.col(c) for c in by]))
+    counts = d.groupBy(g, b).agg(F.count(F.lit(1)).alias("__n"))
+    w_off = Window.partitionBy(g).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(g, b, F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias(off))
+    d = d.join(offsets, [g, b])
+    w = Window.partitionBy(g, b).orderBy(h, *key_cols)
     d = d.withColumn(rank_col, (F.row_number().over(w) + F.col(off)).cast("long"))
-    d = d.drop(h, b, off)
-    return d.drop(_ALL) if one else d
+    return d.drop(h, b, off, g)
 
 
 def _bucket_of(bounds: Column, n_used: Column, v: Column, steps: int) -> Column:
     """Index of the first of the ``n_used`` chosen bounds that is >= v, by
     binary search (``steps`` = ceil(log2(max buckets))), O(log B) per row.
-    The chosen bounds are every ``stride``-th entry of the fine bound array."""
+    Chosen bound i is entry ``floor(i * max_buckets / n_buckets)`` of the fine bound array."""
     init = F.struct(F.lit(0).alias("lo"), (n_used - 1).alias("hi"))
 
     def step(acc, _):
@@ -94,6 +129,35 @@ def _bucket_of(bounds: Column, n_used: Column, v: Column, steps: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
 
 
+def value_buckets(dist: DataFrame, v: str, groups: list[str], one: bool, max_buckets: int,
+                  rows_per_bucket: int) -> DataFrame:
+    """Number the distinct values ``v`` of each group by ordered buckets ``__bk`` of about
+    ``rows_per_bucket`` values (step 2 of :func:`ordered_cumulative`)."""
+    probs = [i / max_buckets for i in range(1, max_buckets)]
+    steps = max(1, (max_buckets - 1).bit_length())
+    stats = dist.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("__nd"),
+        F.percentile_approx(v, F.array(*[F.lit(p) for p in probs]), 4 * max_buckets).alias("__fine"))
+    numeric = isinstance(dist.schema[v].dataType, NumericType)
+    cuts = F.greatest(F.lit(1), F.ceil(F.col("__nd") / F.lit(rows_per_bucket * max_buckets))).cast("long")
+    nb = F.least(F.lit(max_buckets), F.greatest(F.lit(1), F.ceil(F.col("__nd") / F.lit(rows_per_bucket))))
+    stats = stats.select(*groups, (nb - 1).cast("int").alias("__nu"), cuts.alias("__cuts"), F.transform(
+        F.sequence(F.lit(1), F.greatest(nb - 1, F.lit(1)).cast("int")),
+        lambda i: F.element_at("__fine", F.greatest(F.lit(1), F.least(
+            F.floor(i * F.lit(max_buckets) / nb).cast("int"), F.lit(max_buckets - 1))))).alias("__bounds"))
+    dist = _join_small(dist, stats, groups, one)
+    coarse = F.when(F.col("__nu") <= 0, F.lit(0)).otherwise(_bucket_of(F.col("__bounds"), F.col("__nu"), F.col(v), steps))
+    dist = dist.withColumn("__bk", coarse.cast("long"))
+    if numeric:  # an even cut of a bucket keeps the order; the outermost buckets have one bound only
+        lo, hi = F.try_element_at("__bounds", F.greatest(F.lit(1), F.col("__bk").cast("int"))), F.try_element_at(
+            "__bounds", (F.col("__bk") + 1).cast("int"))
+        inner = (F.col("__cuts") > 1) & (F.col("__bk") > 0) & (F.col("__bk") < F.col("__nu")) & (hi > lo)
+        part = F.least(F.floor((F.col(v) - lo) / (hi - lo) * F.col("__cuts")), F.col("__cuts") - 1)
+        dist = dist.withColumn("__bk", F.col("__bk") * F.col("__cuts") + F.when(inner, F.greatest(
+            F.lit(0), part)).otherwise(0).cast("long"))
+    return dist.drop("__bounds", "__nu", "__cuts")
+
+
 def ordered_cumulative(df: DataFrame, value_col: str, weights: Mapping[str, Column],
                        by: Sequence[str] = (), max_buckets: int = 1024,
                        rows_per_bucket: int = 1_000_000) -> DataFrame:
@@ -108,8 +172,9 @@ def ordered_cumulative(df: DataFrame, value_col: str, weights: Mapping[str, Colu
     Plan: (1) aggregate rows to distinct (group, value) - partial aggregation
     collapses hot values map-side; (2) per group, one pass gives the distinct
     count and ``max_buckets - 1`` approximate quantile bounds; a group uses
-    ``ceil(count / rows_per_bucket)`` buckets (1 for small data, up to
-    ``max_buckets``), located by binary search; (3) bucket totals -> offsets
+    ``ceil(count / rows_per_bucket)`` buckets: up to ``max_buckets`` of them are
+    bounded by quantiles (binary search), and beyond that each is cut evenly
+    between its bounds, so the number of buckets grows with the data; (3) bucket totals -> offsets
     (a window over at most groups x buckets rows); (4) the running sum of each
     bucket in its own window partition plus its offset. Exactness does not
     depend on the approximate bounds: they only balance the buckets.
@@ -120,19 +185,7 @@ def ordered_cumulative(df: DataFrame, value_col: str, weights: Mapping[str, Colu
     v = "__v"
     dist = (base.groupBy(*groups, F.col(value_col).alias(v))
             .agg(*[F.sum(weights[n]).alias(n) for n in names]))
-    probs = [i / max_buckets for i in range(1, max_buckets)]
-    steps = max(1, (max_buckets - 1).bit_length())
-    stats = dist.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("__nd"),
-        F.percentile_approx(v, F.array(*[F.lit(p) for p in probs]), 4 * max_buckets).alias("__fine"))
-    nb = F.least(F.lit(max_buckets), F.greatest(F.lit(1), F.ceil(F.col("__nd") / F.lit(rows_per_bucket))))
-    stride = F.floor(F.lit(max_buckets) / nb).cast("int")
-    stats = stats.select(*groups, (nb - 1).cast("int").alias("__nu"), F.transform(
-        F.sequence(F.lit(1), F.greatest(nb - 1, F.lit(1)).cast("int")),
-        lambda i: F.element_at("__fine", F.least(i * stride, F.lit(max_buckets - 1)))).alias("__bounds"))
-    dist = _join_small(dist, stats, groups, one)
-    dist = dist.withColumn("__bk", F.when(F.col("__nu") <= 0, F.lit(0)).otherwise(
-        _bucket_of(F.col("__bounds"), F.col("__nu"), F.col(v), steps))).drop("__bounds", "__nu")
+    dist = value_buckets(dist, v, groups, one, max_buckets, rows_per_bucket)
     totals = dist.groupBy(*groups, "__bk").agg(*[F.sum(n).alias(f"__t_{n}") for n in names])
     w_off = Window.partitionBy(*groups).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*groups)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearth.functions.exprs import hash_hex, hex_prefix_int
-from hearth.operators.ranking import hash_rank, join_nullsafe, ordered_cumulative
+from hearth.operators.ranking import attach_grouped, hash_rank, join_nullsafe, ordered_cumulative
 
 
 def _class_counts(df: DataFrame, label: str) -> dict:
@@ -43,7 +43,7 @@ def upsample(df: DataFrame, label: str = "poor", seed: int = 144, minority=True,
              key: Sequence[str] = ("id",), draw_col: str = "_draw") -> DataFrame:
     """R2 ``resample_data(how='up')``: all majority rows plus as many minority
     rows drawn *with* replacement. Draw ``i`` (0..n_maj-1) takes the minority
-    row of rank ``md5(i || seed) mod n_min + 1``. ``_draw`` numbers the draws
+    row of rank ``md5(i || seed) mod n_min + 1`` (the first 60 bits of the hash). ``_draw`` numbers the draws
     (NULL on majority rows) so repeated rows stay distinguishable.
 
     The draws are generated by ``spark.range`` in parallel and joined to the
@@ -61,7 +61,7 @@ def upsample(df: DataFrame, label: str = "poor", seed: int = 144, minority=True,
     parts = max(spark.sparkContext.defaultParallelism, n_maj // 1_000_000)
     draws = spark.range(0, n_maj, numPartitions=parts).select(
         F.col("id").alias(draw_col),
-        (F.pmod(hex_prefix_int(hash_hex([F.col("id")], seed), 8), F.lit(n_min)) + 1).alias("__r"))
+        (F.pmod(hex_prefix_int(hash_hex([F.col("id")], seed), 15), F.lit(n_min)) + 1).alias("__r"))
     picked = draws.join(mino, "__r", "inner").drop("__r")
     return maj.unionByName(picked.select(*maj.columns))
 
@@ -83,8 +83,7 @@ def stratified_kfold_ordered(df: DataFrame, k: int = 3, label: str = "poor", key
     count over the key, not a single-task window."""
     g = [*by, label]
     cum = ordered_cumulative(df, key, {"c": F.lit(1).cast("long")}, by=g)
-    tot = cum.groupBy(*g).agg(F.max("cum_c").alias("__n"))
-    ranks = join_nullsafe(cum, tot, g).select(*g, key, (F.col("cum_c") - 1).alias("__r0"), "__n")
+    ranks = cum.select(*g, key, (F.col("cum_c") - 1).alias("__r0"), F.col("tot_c").alias("__n"))
     q = F.floor(F.col("__n") / k)
     rem = F.col("__n") - q * k
     big = rem * (q + 1)
@@ -103,6 +102,6 @@ def stratified_holdout(df: DataFrame, test_size: float = 0.05, label: str = "poo
     g = [*by, label]
     r = hash_rank(df, list(key), seed, by=g, rank_col="__r")
     n = df.groupBy(*g).agg(F.ceil(F.count(F.lit(1)) * F.lit(test_size)).alias("__nt"))
-    j = join_nullsafe(r, n, g)
+    j = attach_grouped(r, n, g, how="inner")
     return j.withColumn(split_col, F.when(F.col("__r") <= F.col("__nt"), "test").otherwise("train")) \
         .drop("__r", "__nt")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -52,8 +54,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a folder under
-    the system temp dir is created and registered.
+    Read from the session. Where it is unset a local session gets a folder under
+    the system temp dir; on a cluster that is an error, since executors would
+    write to their own disks.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None)
@@ -61,7 +64,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         current = sc.getCheckpointDir()
         if current:
             return current
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="hearth-ckpt-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         sc.setCheckpointDir(root)
         return sc.getCheckpointDir() or root
     if sc.getCheckpointDir() is None:
@@ -69,7 +75,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove every table that this library has written to the shared folder in this
+    application; results still to be read from them must be written first."""
+    jvm = spark.sparkContext._jvm
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_WRITTEN: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/hearth-{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.append(f"{root}/hearth-{name}-{uuid.uuid4().hex[:12]}")
+    return _WRITTEN[-1]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, FloatType, LongType, StringType, StructField, StructType
 
+from hearth.operators.schema import union_frames
 from hearth.session import scratch_path
 from hearth.sources.tables import households, individuals
 
@@ -36,13 +39,38 @@ def load_indiv(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
     return individuals(spark, sf_dir).where(F.col("_split") == split)
 
 
-def read_csv_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """CSV source with an explicit schema (no inference pass); NaN -> NULL."""
-    df = spark.read.schema(schema).option("header", True).option("nanValue", "NaN").csv(path)
-    for f in schema.fields:
-        if isinstance(f.dataType, DoubleType):
-            df = df.withColumn(f.name, F.nanvl(F.col(f.name), F.lit(None).cast("double")))
-    return df
+def read_csv_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """CSV source; NaN -> NULL in float and double columns. With a schema there is no
+    inference pass; without one the types come from the file."""
+    reader = spark.read.option("header", True).option("nanValue", "NaN")
+    df = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
+    return df.select(*[
+        F.nanvl(F.col(f"`{f.name}`"), F.lit(None).cast(f.dataType)).alias(f.name)
+        if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
+def survey_path(folder: str, country: str, kind: str, split: str) -> str:
+    """The reference's file layout: ``{A,B,C}_{hhold,indiv}_{train,test}.csv``."""
+    return f"{folder.rstrip('/')}/{country}_{kind}_{split}.csv"
+
+
+def write_survey(df: DataFrame, folder: str, kind: str, split: str, countries: Sequence[str] = ("A", "B", "C")) -> str:
+    """Write one kind and split as a CSV with header per country."""
+    for c in countries:
+        df.where(F.col("country") == c).write.option("header", True).csv(survey_path(folder, c, kind, split))
+    return folder
+
+
+def read_survey(spark: SparkSession, folder: str, kind: str, split: str, schema: StructType | None = None,
+                countries: Sequence[str] = ("A", "B", "C")) -> DataFrame:
+    """One kind and split of all countries, concatenated by column name (a
+    country's own columns are NULL for the others)."""
+    return union_frames([read_csv_table(spark, survey_path(folder, c, kind, split), schema) for c in countries])
+
+
+def survey_roundtrip(spark: SparkSession, df: DataFrame, kind: str, split: str) -> DataFrame:
+    """Write the layout into the shared checkpoint folder and read it back."""
+    return read_survey(spark, write_survey(df, scratch_path(spark, "survey"), kind, split), kind, split, df.schema)
 
 
 def write_submission(df: DataFrame, path: str, partition_by_country: bool = False) -> str:
