@@ -2,7 +2,7 @@
 
 Folds are a column (R3/R4), so a fold's train and validation parts are
 filters of one frame. Household sizes come from the individuals of the
-country's households (J2 semi join, J1 count) once, not once per fold, and
+country's households (J1) once, not once per fold, and
 the coverage check (J3) reads them. Metrics of every fold come back as one
 ``(country, fold, metric, value)`` frame.
 """
@@ -40,8 +40,7 @@ def cross_validate(recipe: Recipe, hhold_train: DataFrame, indiv: DataFrame, k:
                    model: dict | None = None, parallel: bool = True) -> DataFrame:
     """M10 ``skfCV_*``: stratified k-fold CV of a country's recipe.
 
-    Household sizes are counted once (J1 on the individuals of the country's
-    households, J2) and persisted with the fold column; per fold the
+    Household sizes are counted once (J1) and persisted with the fold column; per fold the
     validation households are fold f and the train households the others.
     Features are built with each part's own scaling statistics (reference
     parity) and a joint vocabulary; the train part is optionally resampled;
@@ -49,7 +48,7 @@ def cross_validate(recipe: Recipe, hhold_train: DataFrame, indiv: DataFrame, k:
     """
     h = hhold_train.where(F.col("country") == recipe.country)
     ind = schema.rename_columns(schema.drop_columns(indiv, recipe.drop_indiv), recipe.rename_indiv)
-    h = joins.num_indiv(h, joins.indiv_of(ind.select("id"), h))
+    h = joins.num_indiv(h, ind.select("id"))  # a left join from h: other households' individuals fall away
     h = sampling.stratified_kfold(h, k=k, seed=seed).persist()
     spec = model or recipe.model
 
@@ -63,11 +62,13 @@ def cross_validate(recipe: Recipe, hhold_train: DataFrame, indiv: DataFrame, k:
         rep = metrics.classification_report(val, "poor", "p").withColumn("fold", F.lit(f).cast("long"))
         return rep.withColumn("country", F.lit(recipe.country))
 
-    rep = schema.union_frames(parallel_map(one_fold, range(k), parallel))
-    out = metrics.long_metrics(rep, ["country", "fold"], REPORT_METRICS)
-    # the metrics are k x 5 numbers: materialise them before releasing the cache
-    rows = out.collect()
-    h.unpersist()
+    try:
+        rep = schema.union_frames(parallel_map(one_fold, range(k), parallel))
+        out = metrics.long_metrics(rep, ["country", "fold"], REPORT_METRICS)
+        # the metrics are k x 5 numbers: materialise them before releasing the cache
+        rows = out.collect()
+    finally:
+        h.unpersist()
     return out.sparkSession.createDataFrame(rows, out.schema)
 
 
@@ -76,13 +77,20 @@ def holdout_validate(recipe: Recipe, hhold_train: DataFrame, indiv: DataFrame, t
     """M10 holdout form (with or without resampling): one stratified holdout (R5), the
     confusion counts and metrics of the validation part."""
     h = hhold_train.where(F.col("country") == recipe.country)
-    h = sampling.stratified_holdout(h, test_size=test_size, seed=seed, split_col="_split")
-    ind_h = joins.indiv_of(indiv, h)
-    ff = build_features(recipe, h, ind_h)
-    train = resample(label_column(ff.df.where(F.col("_split") == "train")), how)
-    fitted = fit_model(train, ff.feature_cols, model or recipe.model, cat_cols=ff.cat_cols)
-    val = score(fitted, ff.df.where(F.col("_split") == "test"))
-    return metrics.classification_report(val, "poor", "p").withColumn("country", F.lit(recipe.country))
+    ind = schema.rename_columns(schema.drop_columns(indiv, recipe.drop_indiv), recipe.rename_indiv)
+    h = joins.num_indiv(h, ind.select("id"))  # a left join from h: other households' individuals fall away
+    h = sampling.stratified_holdout(h, test_size=test_size, seed=seed, split_col="_split").persist()
+    try:
+        check_coverage(h.where(F.col("_split") == "train"))
+        ff = build_features(recipe, h, None)
+        train = resample(label_column(ff.df.where(F.col("_split") == "train")), how)
+        fitted = fit_model(train, ff.feature_cols, model or recipe.model, cat_cols=ff.cat_cols)
+        val = score(fitted, ff.df.where(F.col("_split") == "test"))
+        out = metrics.classification_report(val, "poor", "p").withColumn("country", F.lit(recipe.country))
+        rows = out.collect()  # one row
+    finally:
+        h.unpersist()
+    return out.sparkSession.createDataFrame(rows, out.schema)
 
 
 def run_cv(df: DataFrame, spec: dict, func: Callable[[DataFrame], DataFrame] | None = None, n_splits: int = 3,
@@ -107,7 +115,9 @@ def run_cv(df: DataFrame, spec: dict, func: Callable[[DataFrame], DataFrame] | N
         fitted = fit_model(label_column(tr_p, label), cols, spec)
         return metrics.log_loss(score(fitted, va_p), label, "p").withColumn("fold", F.lit(f).cast("long"))
 
-    out = schema.union_frames(parallel_map(one_fold, range(n_splits), parallel)).select("fold", "log_loss")
-    rows = out.collect()
-    folds.unpersist()
+    try:
+        out = schema.union_frames(parallel_map(one_fold, range(n_splits), parallel)).select("fold", "log_loss")
+        rows = out.collect()  # one row per fold
+    finally:
+        folds.unpersist()
     return out.sparkSession.createDataFrame(rows, out.schema)

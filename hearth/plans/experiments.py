@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from hearth.operators import metrics, sampling, schema
 from hearth.plans.features import FeatureFrame
-from hearth.plans.models import assemble, fit_model, label_column, make_estimator, score
+from hearth.plans.models import assemble, fit_model, label_column, make_estimator, score, sparse_encoder_stages
 from hearth.plans.recipes import FOLD_SEED, N_FOLDS
 from hearth.plans.train import parallel_map
 from hearth.session import checkpoint_root
@@ -44,10 +44,13 @@ def grid_search(ff: FeatureFrame, spec: dict, grid: Mapping[str, Sequence], k: i
     maps = pgb.build()
     ev = MulticlassClassificationEvaluator(metricName="logLoss", labelCol="label",
                                            probabilityCol="probability")
-    cv = CrossValidator(estimator=Pipeline(stages=[assemble(ff.feature_cols), est]), estimatorParamMaps=maps,
+    front = sparse_encoder_stages(ff.cat_cols, ff.feature_cols) if ff.cat_cols else [assemble(ff.feature_cols)]
+    cv = CrossValidator(estimator=Pipeline(stages=[*front, est]), estimatorParamMaps=maps,
                         evaluator=ev, foldCol="fold", numFolds=k, parallelism=parallelism, seed=seed)
-    fitted = cv.fit(train)
-    train.unpersist()
+    try:
+        fitted = cv.fit(train)
+    finally:
+        train.unpersist()
     rows = []
     best = min(range(len(maps)), key=lambda i: fitted.avgMetrics[i])
     for i, pm in enumerate(maps):
@@ -75,7 +78,7 @@ def stack(ff: FeatureFrame, base_specs: Sequence[dict], meta_spec: dict | None =
     def fit_one(job):
         i, f = job
         rows = folds if f is None else folds.where(F.col("fold") != f)
-        return fit_model(rows, ff.feature_cols, base_specs[i])
+        return fit_model(rows, ff.feature_cols, base_specs[i], cat_cols=ff.cat_cols)
 
     fitted = dict(zip(jobs, parallel_map(fit_one, jobs)))
     for i, name in enumerate(names):
@@ -95,6 +98,6 @@ def adversarial_validation(ff: FeatureFrame, spec: dict, test_size: float = 0.25
     d = ff.df.withColumn("is_test", F.col("_split") == "test").drop("poor")
     d = sampling.stratified_holdout(d, test_size=test_size, label="is_test", seed=seed, split_col="_adv")
     d = d.withColumn("label", F.col("is_test").cast("double"))
-    m = fit_model(d.where(F.col("_adv") == "train"), ff.feature_cols, spec)
+    m = fit_model(d.where(F.col("_adv") == "train"), ff.feature_cols, spec, cat_cols=ff.cat_cols)
     s = score(m, d.where(F.col("_adv") == "test"))
     return metrics.roc_auc(s, "is_test", "p")

@@ -23,13 +23,17 @@ from hearth.plans.recipes import RESAMPLE_SEED, Recipe
 from hearth.session import scratch_path
 
 
-def parallel_map(fn, items, parallel: bool = True):
+#: Fits that run side by side at most.
+MAX_CONCURRENT = 4
+
+
+def parallel_map(fn, items, parallel: bool = True, max_concurrent: int = MAX_CONCURRENT):
     """Run independent fits concurrently from driver threads (each is its own
     set of Spark jobs, scheduled side by side by the cluster); in order."""
     items = list(items)
     if not parallel or len(items) < 2:
         return [fn(x) for x in items]
-    with ThreadPoolExecutor(max_workers=len(items)) as ex:
+    with ThreadPoolExecutor(max_workers=min(len(items), max_concurrent)) as ex:
         return list(ex.map(fn, items))
 
 
