@@ -88,7 +88,8 @@ class Recipe:
 
 
 def reference_recipes() -> dict[str, Recipe]:
-    """The reference's recipes, for household data with its schema."""
+    """The reference's recipes, for household data with its schema. Its hundreds of
+    categories, decimal numbers among them, go into sparse vectors."""
     out = {}
     for c in ("A", "B", "C"):
         d = REFERENCE_DROPS[c]
@@ -101,7 +102,7 @@ def reference_recipes() -> dict[str, Recipe]:
                         standardize=list(f.get("standardize", [])), as_category=list(f.get("as_category", [])),
                         log=list(f.get("log", [])), bin_num_indiv=f.get("bin_num_indiv", False),
                         encode_all_but_numeric=f.get("encode_all_but_numeric", False),
-                        model=dict(REFERENCE_MODELS[c]))
+                        model=dict(REFERENCE_MODELS[c]), sparse=True)
     return out
 
 

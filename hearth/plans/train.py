@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearth.operators import joins, metrics, sampling, schema
@@ -21,6 +21,7 @@ from hearth.plans.features import build_features
 from hearth.plans.models import fit_model, label_column, score
 from hearth.plans.recipes import RESAMPLE_SEED, Recipe
 from hearth.session import scratch_path
+from hearth.sources import io
 
 
 #: Fits that run side by side at most.
@@ -83,3 +84,20 @@ def run_all(recipes: Mapping[str, Recipe], hhold: DataFrame, indiv: DataFrame,
     staged = stage_households(hhold, indiv)
     subs = parallel_map(lambda r: train_and_score(r, staged, None), recipes.values(), parallel)
     return schema.union_frames(subs)
+
+
+def read_country(spark: SparkSession, folder: str, country: str, kind: str) -> DataFrame:
+    """One country's train and test file of the survey layout, tagged by ``_split``
+    (the test file has no target); types come from the files."""
+    return schema.union_frames([
+        io.read_csv_table(spark, io.survey_path(folder, country, kind, split)).withColumn("_split", F.lit(split))
+        for split in ("train", "test")])
+
+
+def submit_survey(spark: SparkSession, folder: str, recipes: Mapping[str, Recipe], parallel: bool = True) -> DataFrame:
+    """M12 on files ``{A,B,C}_{hhold,indiv}_{train,test}.csv``: one submission frame."""
+    def one(r: Recipe) -> DataFrame:
+        return train_and_score(r, read_country(spark, folder, r.country, "hhold"),
+                               read_country(spark, folder, r.country, "indiv").drop("_split"))
+
+    return schema.union_frames(parallel_map(one, recipes.values(), parallel))
