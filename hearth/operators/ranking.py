@@ -14,7 +14,7 @@ partition, so the heavy window work is spread over many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,6 +113,34 @@ def hash_rank(df: DataFrame, key_cols: Sequence[str], seed: int | str, by: Seque
     return d.drop(h, b, off, g)
 
 
+def hash_first(df: DataFrame, key_cols: Sequence[str], seed: int | str, take: Callable[[Column], Column],
+               by: Sequence[str] = (), out: str = "_first", digits: int = 4) -> DataFrame:
+    """Mark the rows with the smallest ``md5(key || seed)`` of each group: ``take`` of the
+    group's size of them (as ``hash_rank(..) <= take(n)``, without ranking all rows).
+
+    Counts per (group, hash bucket) give the one bucket of a group in which the
+    cut lies. Buckets before it are taken and those after it left by a filter;
+    only the cut bucket's rows are shuffled and ranked.
+    """
+    h, b = "__h", "__b"
+    d, groups, one = _with_group(df.withColumn(h, hash_hex(key_cols, seed)), by)
+    d = d.withColumn(b, hex_prefix_int(F.col(h), digits))
+    counts = d.groupBy(*groups, b).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*groups).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = counts.select(*groups, b, "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
+                          F.sum("__n").over(Window.partitionBy(*groups)).alias("__tot"))
+    want = F.least(take(F.col("__tot")), F.col("__tot"))
+    cuts = (sizes.withColumn("__want", want).where((F.col("__off") < F.col("__want"))
+                                                  & (F.col("__want") <= F.col("__off") + F.col("__n")))
+            .select(*groups, F.col(b).alias("__cut"), (F.col("__want") - F.col("__off")).alias("__need")))
+    j = attach_grouped(d, cuts, groups)
+    clear = j.where(F.col("__cut").isNull() | (F.col(b) != F.col("__cut")))
+    clear = clear.withColumn(out, F.coalesce(F.col(b) < F.col("__cut"), F.lit(False)))
+    place = F.row_number().over(Window.partitionBy(*groups).orderBy(h, *key_cols))
+    edge = j.where(F.col(b) == F.col("__cut")).withColumn(out, place <= F.col("__need"))
+    return clear.unionByName(edge).select(*df.columns, out)
+
+
 def _bucket_of(bounds: Column, n_used: Column, v: Column, steps: int) -> Column:
     """Index of the first of the ``n_used`` chosen bounds that is >= v, by
     binary search (``steps`` = ceil(log2(max buckets))), O(log B) per row.

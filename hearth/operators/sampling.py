@@ -2,8 +2,8 @@
 
 Every draw is a function of ``md5(key || seed)``, never of row order or
 partitioning, so the result is the same after a repartition, a retry or an
-executor loss. Ranks come from :func:`hearth.operators.ranking.hash_rank`
-(two-level, exact), so no step runs a whole class in one task; no sample is
+executor loss. Ranks come from :func:`hearth.operators.ranking.hash_rank` and
+cuts from :func:`hearth.operators.ranking.hash_first` (two-level, exact), so no step runs a whole class in one task; no sample is
 taken by ``limit`` (which would funnel rows through one task).
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearth.functions.exprs import hash_hex, hex_prefix_int
-from hearth.operators.ranking import attach_grouped, hash_rank, join_nullsafe, ordered_cumulative
+from hearth.operators.ranking import hash_first, hash_rank, join_nullsafe, ordered_cumulative
 
 
 def _class_counts(df: DataFrame, label: str) -> dict:
@@ -34,8 +34,7 @@ def downsample(df: DataFrame, label: str = "poor", seed: int = 144, minority=Tru
     n_min = counts.get(minority, 0)
     maj = df.where(F.col(label) != F.lit(minority))
     mino = df.where(F.col(label) == F.lit(minority))
-    ranked = hash_rank(maj, list(key), seed, rank_col="__r")
-    picked = ranked.where(F.col("__r") <= n_min).drop("__r")
+    picked = hash_first(maj, list(key), seed, lambda n: F.lit(n_min), out="__p").where("__p").drop("__p")
     return picked.unionByName(mino)
 
 
@@ -99,9 +98,5 @@ def stratified_holdout(df: DataFrame, test_size: float = 0.05, label: str = "poo
     """R5 ``train_test_split(stratify=y, test_size)``: per class (and group),
     the ``ceil(test_size * n_class)`` rows with the smallest hash are 'test'.
     The seed is required (ledger D19)."""
-    g = [*by, label]
-    r = hash_rank(df, list(key), seed, by=g, rank_col="__r")
-    n = df.groupBy(*g).agg(F.ceil(F.count(F.lit(1)) * F.lit(test_size)).alias("__nt"))
-    j = attach_grouped(r, n, g, how="inner")
-    return j.withColumn(split_col, F.when(F.col("__r") <= F.col("__nt"), "test").otherwise("train")) \
-        .drop("__r", "__nt")
+    r = hash_first(df, list(key), seed, lambda n: F.ceil(n * F.lit(test_size)), by=[*by, label], out="__p")
+    return r.withColumn(split_col, F.when(F.col("__p"), "test").otherwise("train")).drop("__p")
