@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -30,6 +32,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def worker_store() -> dict:
+    """A dict that lives as long as the Python worker."""
+    return sys.modules.setdefault("_hearth_llm_store", types.ModuleType("_hearth_llm_store")).__dict__
+
+
 def crc_of(doc_id: int | None) -> int | None:
     """crc32 of a document id written as text (the folds' hash)."""
     return None if doc_id is None else zlib.crc32(str(doc_id).encode())

@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import json
 import re
-import sys
-import types
 from array import array
 
 import numpy as np
 
+from hearth.llm.common import worker_store
+
 #: The pre-tokeniser's pattern of byte-level BPE files with ``use_regex`` (fixed value).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -24,11 +24,6 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 ELSE = re.compile("[^\x00-ɏ]|\\S{1000}|\\s{1000}")
 
 
-def _process_store() -> dict:
-    """A dict that lives as long as the Python worker."""
-    return sys.modules.setdefault("_hearth_llm_store", types.ModuleType("_hearth_llm_store")).__dict__
-
-
 def byte_values() -> dict[str, int]:
     """The byte of each character of a byte-level vocabulary: printable Latin-1
     characters stand for themselves, the other bytes for U+0100 onwards."""
@@ -71,7 +66,7 @@ class ByteBpe:
     @classmethod
     def of(cls, path: str) -> ByteBpe:
         """The worker's one instance for ``path``."""
-        store = _process_store()
+        store = worker_store()
         return store.get(path) or store.setdefault(path, cls(path))
 
     def raw(self, text: str) -> bytes:

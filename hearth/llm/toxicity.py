@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from hearth.llm.common import map_rows, texts
+from hearth.llm.common import map_rows, staged, texts, worker_store
 
 ORDER = 5
 SYMBOLS = 28  # 0 space and other marks, 1-26 letters, 27 anything else that is a letter or digit
@@ -164,22 +165,50 @@ def evidence(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> tupl
     return logs[0] - logs[1], rest[0] - rest[1]
 
 
+@dataclass(frozen=True)
+class Evidence:
+    """The evidence of all n-grams as tasks receive it: values of seen n-grams, and of
+    contexts for unseen ones. A worker spreads it once to one value per n-gram."""
+
+    name: str
+    parts: object  # a broadcast variable of (grams, seen, rest)
+
+    @classmethod
+    def of(cls, spark: SparkSession, grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Evidence:
+        order = np.argsort(grams)
+        seen, rest = evidence(grams[order], toxic[order], ordinary[order])
+        parts = (grams[order].astype(np.int32), seen.astype(np.float32), rest.astype(np.float32))
+        return cls(uuid.uuid4().hex, spark.sparkContext.broadcast(parts))
+
+    def table(self) -> np.ndarray:
+        """``SYMBOLS ** ORDER`` numbers, kept by the worker (those of three models at most)."""
+        kept = worker_store().setdefault("toxicity", {})
+        if self.name not in kept:
+            grams, seen, rest = self.parts.value
+            full = np.repeat(rest, SYMBOLS)
+            full[grams] = seen
+            while len(kept) > 2:
+                kept.pop(next(iter(kept)))
+            kept[self.name] = full
+        return kept[self.name]
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
-    """``table`` is indexed by n-gram code: the log-likelihood difference of its last
-    symbol. ``slope`` and ``intercept`` calibrate the evidence."""
+    """``evidence`` gives the log-likelihood difference of an n-gram's last symbol;
+    ``slope`` and ``intercept`` calibrate a passage's mean."""
 
-    table: object  # a broadcast variable of a float32 array
+    evidence: Evidence
     intercept: float
     slope: float
 
     def score_of(self, text: Column) -> Column:
         """Score column: 0 to 1, higher for likelier toxic."""
-        symbols, table, a, b = symbol_table(), self.table, self.intercept, self.slope
+        symbols, evidence, a, b = symbol_table(), self.evidence, self.intercept, self.slope
 
         @F.pandas_udf(DoubleType())
         def score(column: pd.Series) -> pd.Series:
-            values = table.value
+            values = evidence.table()
             return pd.Series([1 / (1 + math.exp(-max(-700.0, min(700.0, a + b * worst_passage(t, symbols, values)))))
                               for t in column], dtype="float64")
 
@@ -196,22 +225,14 @@ def worst_passage(text: str | None, symbols: np.ndarray, table: np.ndarray) -> f
     return float((sums[PASSAGE:] - sums[:-PASSAGE]).max()) / PASSAGE
 
 
-def dense(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
-    """The evidence of all ``SYMBOLS ** ORDER`` n-grams."""
-    order = np.argsort(grams)
-    seen, rest = evidence(grams[order], toxic[order], ordinary[order])
-    table = np.repeat(rest.astype(np.float32), SYMBOLS)
-    table[grams[order]] = seen
-    return table
-
-
-def _scored(rows: DataFrame, tables: list) -> DataFrame:
+def _scored(rows: DataFrame, tables: list[Evidence]) -> DataFrame:
     """``rows(text, toxic, half)`` scored by the model of the other half."""
     symbols = symbol_table()
 
     @F.pandas_udf(DoubleType())
     def raw(text: pd.Series, half: pd.Series) -> pd.Series:
-        return pd.Series([worst_passage(t, symbols, tables[1 - h].value) for t, h in zip(text, half, strict=True)],
+        own = [t.table() for t in tables]
+        return pd.Series([worst_passage(t, symbols, own[1 - h]) for t, h in zip(text, half, strict=True)],
                          dtype="float64")
 
     return rows.select(raw("text", "half").alias("x"), "toxic")
@@ -233,21 +254,20 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(spark: SparkSession, labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> ToxicityModel:
     """Learn from ``labelled(text, toxic)`` (toxic 0 or 1)."""
-    rows = (labelled.where(F.col("toxic").isNotNull())
-            .select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-            .withColumn("half", half_of(F.col("text"))))
+    rows = staged(labelled.where(F.col("toxic").isNotNull())
+                  .select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+                  .withColumn("half", half_of(F.col("text"))), "labelled")
     counts = count_grams(rows).toArrow().to_pandas()  # at most 2 * SYMBOLS ** ORDER rows
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total, positive = sum(n.values()), n.get(1, 0)
     if not positive or positive == total or not counts["toxic"].sum() or not counts["ordinary"].sum():
         share = positive / total if total else 0.0
-        none = spark.sparkContext.broadcast(np.zeros(SYMBOLS ** ORDER, np.float32))
-        return ToxicityModel(none, math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0)
+        none = np.zeros(0, np.int64)
+        return ToxicityModel(Evidence.of(spark, none, none, none), math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0)
     halves = []
     for h in (0, 1):
         part = counts[counts["half"] == h]
-        halves.append(spark.sparkContext.broadcast(
-            dense(*(part[c].to_numpy(np.int64) for c in ("gram", "toxic", "ordinary")))))
+        halves.append(Evidence.of(spark, *(part[c].to_numpy(np.int64) for c in ("gram", "toxic", "ordinary"))))
     sample = rows
     if total > calibration_rows:  # a row's own hash decides, so the sample doesn't depend on the partitions
         share = int(calibration_rows / total * (1 << 30))
@@ -256,18 +276,18 @@ def fit(spark: SparkSession, labelled: DataFrame, calibration_rows: int = CALIBR
     y = held["toxic"].to_numpy(float)
     intercept, slope = _logistic(held["x"].to_numpy(float), y) if 0 < y.sum() < len(y) else (0.0, 1.0)
     both = counts.groupby("gram", as_index=False)[["toxic", "ordinary"]].sum()
-    table = dense(*(both[c].to_numpy(np.int64) for c in ("gram", "toxic", "ordinary")))
     for h in halves:
-        h.unpersist()
-    return ToxicityModel(spark.sparkContext.broadcast(table), intercept, slope)
+        h.parts.unpersist()
+    whole = Evidence.of(spark, *(both[c].to_numpy(np.int64) for c in ("gram", "toxic", "ordinary")))
+    return ToxicityModel(whole, intercept, slope)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, use: Column) -> DataFrame:
     """``(text, toxic)`` of the documents for which ``use`` holds and that have a label.
-    Labels are few columns of few rows: they are joined by document id."""
+    Labels grow with the documents, so both are sorted and merged by document id at any size."""
     marks = labels.select(F.col("doc_id").alias("_id"), "toxic").where(F.col("toxic").isNotNull())
     return (docs.select("doc_id", "text").where(use)
-            .join(marks, F.col("doc_id") == F.col("_id")).select("text", "toxic"))
+            .join(marks.hint("merge"), F.col("doc_id") == F.col("_id")).select("text", "toxic"))
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
