@@ -10,12 +10,13 @@ are candidates, and candidates are verified by the exact Jaccard similarity of
 their 5-word shingle sets.
 
 Scale and skew: equal texts are one node, found by a 128-bit key. A bucket
-never emits all its pairs: every member is compared with the bucket's first and
-last member, and where a bucket still holds several classes, further rounds
-draw classes of the bucket and compare all its members with a member of each,
-until a round links nothing. So candidate pairs stay linear in the bucket's size and all members
-that belong together are linked through some of their (up to 25) buckets. Only
-texts of candidates are fetched, once per pair, never gathered by group.
+never emits all its pairs: every member is compared with the bucket's middle,
+the text that shares buckets with most others, and where a bucket still holds
+several classes, ``ROUNDS`` further rounds draw ``DRAWS`` of its classes and
+compare all its members with a member of each. So candidate pairs stay linear in
+the bucket's size, while a text meets its family in up to 25 buckets. Only
+texts of candidates are kept for verification, one per node, and a pair's texts
+meet by joins on keys, never gathered by group.
 
 Defined cases: equal texts share a class, null counts as empty. Texts without
 words have no shingles and no other links; texts of 1 to 4 words have one
@@ -39,7 +40,8 @@ from hearth.llm.components import components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
-DRAWS = 3
+DRAWS, ROUNDS = 3, 2
+FEW_PAIRS = 200_000  # of two 16-byte keys and two labels each: at most some 16 MB
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _KEPT_WORDS = 300_000
 
@@ -150,25 +152,21 @@ def similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
 
 
 def _pairs(rows: DataFrame, *centres: str) -> DataFrame:
-    """Distinct ``(member, centre)`` with the lesser key first."""
+    """Distinct pairs ``(member, centre)`` of ``rows(key, ..)`` with the lesser key as centre."""
     each = F.explode(F.array(*centres))
     pairs = rows.select("key", each.alias("centre")).where(F.col("key") != F.col("centre"))
     return pairs.select(F.greatest("key", "centre").alias("member"), F.least("key", "centre").alias("centre")).distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose exact similarity reaches the threshold, as links ``(a, b)``."""
-    needed = pairs.select(F.explode(F.array("member", "centre")).alias("key")).distinct()
-    wanted = needed.join(nodes.select("key", "doc_id"), "key").select(
-        F.col("key").alias("_key"), F.col("doc_id").alias("_doc_id"))
-    # one row per node: the key alone would draw all copies of a text into one task
-    found = (docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
-             .join(wanted, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")))
-             .select("key", "text"))
-    left = pairs.join(found.select(F.col("key").alias("member"), F.col("text").alias("_a")), "member")
-    both = left.join(found.select(F.col("key").alias("centre"), F.col("text").alias("_b")), "centre")
-    return (both.where(similarity("_a", "_b") >= SIMILARITY)
-            .select(F.col("member").alias("a"), F.col("centre").alias("b")).distinct())
+def _verified(pairs: DataFrame, texts: DataFrame, few: bool = False) -> DataFrame:
+    """The rows of ``pairs`` whose texts reach the threshold, by joins on the keys; ``few``
+    pairs are broadcast, so only their texts move."""
+    own, centres = pairs, pairs.select("centre").distinct()
+    if few:
+        own, centres = F.broadcast(own), F.broadcast(centres)
+    left = texts.withColumnsRenamed({"key": "member", "text": "_a"}).join(own, "member")
+    right = texts.withColumnsRenamed({"key": "centre", "text": "_b"}).join(centres, "centre")
+    return left.join(right, "centre").where(similarity("_a", "_b") >= SIMILARITY).select(*pairs.columns)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -183,35 +181,52 @@ def classes(rows: DataFrame, docs: DataFrame) -> DataFrame:
     :func:`signatures`."""
     nodes = staged(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "nodes")
     banded = nodes.select("key", F.explode("bands").alias("band"))
-    buckets = (banded.groupBy("band").agg(F.min("key").alias("first"), F.max("key").alias("last"))
-               .where(F.col("first") != F.col("last")))
-    shared = staged(banded.join(buckets, "band").select("band", "key", "first", "last"), "shared")
-    tested = staged(_pairs(shared, "first", "last"), "pairs")
-    links = staged(_verified(tested, docs, nodes), "links")
+    buckets = banded.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    shared = staged(banded.join(buckets, "band"), "shared")
+    # the text that meets most others is nearest to all of its family
+    weight = shared.groupBy("key").agg(F.sum("n").alias("met"))
+    weighed = shared.select("band", "key").join(weight, "key")
+    middle = weighed.groupBy("band").agg(F.max(F.struct("met", "key"))["key"].alias("middle"))
+    # one text per candidate key; copies of a text are collapsed in each task
+    texts = staged(docs.select(text_key(F.col("text")).alias("key"), "text").groupBy("key")
+                   .agg(F.first("text").alias("text"))
+                   .join(shared.select("key").distinct(), "key", "left_semi"), "texts")
+    tested = staged(_pairs(shared.join(middle, "band"), "middle"), "pairs")
+    links = staged(_verified(tested, texts).select(F.col("member").alias("a"), F.col("centre").alias("b")), "links")
+    found = components(links).withColumnsRenamed({"node": "key"})
+    open_rows = shared.select("band", "key").join(found, "key", "left").select(
+        "band", "key", F.coalesce("component", "key").alias("component"))
     turn = 0
-    while True:
-        found = components(links)
-        classed = shared.select("band", "key").join(
-            found.select(F.col("node").alias("key"), "component"), "key", "left").select(
-            "band", "key", F.coalesce("component", "key").alias("component"))
+    while turn < ROUNDS:
         # a draw takes a class at random, then a member of it: a lone text faces all of a large class
         draws = [F.min(F.struct(F.xxhash64(F.lit(DRAWS * turn + i), "component").alias("c"),
-                                F.xxhash64(F.lit(DRAWS * turn + i), "key").alias("h"), "key")).alias(f"d{i}")
+                                F.xxhash64(F.lit(DRAWS * turn + i), "key").alias("h"), "key", "component")).alias(f"d{i}")
                  for i in range(DRAWS)]
-        mixed = (classed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *draws)
-                 .where(F.col("lo") != F.col("hi"))
-                 .select("band", *[F.col(f"d{i}.key").alias(f"d{i}") for i in range(DRAWS)]))
-        fresh = _pairs(classed.select("band", "key").join(mixed, "band"), *[f"d{i}" for i in range(DRAWS)])
-        fresh = fresh.join(tested, ["member", "centre"], "left_anti")
-        for side in ("member", "centre"):  # pairs of one class are linked already
-            fresh = fresh.join(found.select(F.col("node").alias(side), F.col("component").alias(f"_{side}")), side, "left")
-        fresh = staged(fresh.where(F.coalesce("_member", "member") != F.coalesce("_centre", "centre"))
-                       .select("member", "centre"), "pairs")
-        new = staged(_verified(fresh, docs, nodes), "links")
+        mixed = (open_rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *draws)
+                 .where(F.col("lo") != F.col("hi")).select("band", F.array(*[f"d{i}" for i in range(DRAWS)]).alias("draws")))
+        # buckets of one class are done; the others go on with fewer rows each round
+        open_rows = staged(open_rows.join(mixed, "band"), "open")
+        met = open_rows.select("key", "component", F.explode("draws").alias("d")).where(
+            F.col("component") != F.col("d.component"))
+        ahead = F.col("key") > F.col("d.key")  # a pair's lesser key is its centre
+        fresh = met.select(*[F.when(ahead, x).otherwise(y).alias(name) for x, y, name in (
+            (F.col("key"), F.col("d.key"), "member"), (F.col("component"), F.col("d.component"), "_member"),
+            (F.col("d.key"), F.col("key"), "centre"), (F.col("d.component"), F.col("component"), "_centre"))]).distinct()
+        fresh = staged(fresh.join(tested, ["member", "centre"], "left_anti"), "pairs")
+        few = fresh.count() <= FEW_PAIRS
+        new = staged(_verified(fresh, texts, few), "links")
         if new.isEmpty():
             break
-        tested, links, turn = tested.union(fresh), links.union(new), turn + 1
-    return nodes.select("key", "doc_id").join(found.select(F.col("node").alias("key"), "component"), "key", "left").select(
+        merged = components(new.select(F.col("_member").alias("a"), F.col("_centre").alias("b")))
+        merged = merged.select(F.col("node").alias("component"), F.col("component").alias("now"))
+        open_rows = open_rows.select("band", "key", "component").join(
+            F.broadcast(merged) if few else merged, "component", "left").select(
+            "band", "key", F.coalesce("now", "component").alias("component"))
+        tested, turn = tested.union(fresh.select("member", "centre")), turn + 1
+        links = links.union(new.select(F.col("member").alias("a"), F.col("centre").alias("b")))
+    if turn:
+        found = components(links).withColumnsRenamed({"node": "key"})
+    return nodes.select("key", "doc_id").join(found, "key", "left").select(
         "key", "doc_id", F.coalesce("component", "key").alias("class_key"))
 
 

@@ -79,7 +79,7 @@ def test_classes_equal_brute_force(spark):
     got = {}
     for r in neardup.near_duplicates(docs).collect():
         got.setdefault(r.class_id, []).append(r.doc_id)
-    assert sorted(map(sorted, got.values())) == brute_classes(rows)
+    assert sorted(sorted(v, key=repr) for v in got.values()) == brute_classes(rows)
 
 
 def _rows():
@@ -96,10 +96,10 @@ def test_edge_rows(spark):
     assert len(got) == len(_rows())
     by = dict(got)
     assert all(by[i] == 10 for i in [50, 51, 52, 90, *range(10, 21)])
-    assert by[1] == by[2] == 1 and by[3] == 3 and by[4] == by[5] == 4 and by[60] == 60 and by[61] == 61
+    assert by[1] == by[2] == 1 and by[3] == 3 and by[4] == by[5] == 4 and by[60] == 60 and by[61] == 10
     kept = neardup.keep_one(df)
     assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 10, 60, 61]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 10, 60]
 
 
 def test_all_ids_null_and_empty_table(spark):
@@ -115,7 +115,7 @@ def test_a_large_family_stays_linear_in_pairs(spark):
     rows = [(k, " ".join(base[:k] + [f"y{k}"] + base[k + 1:])) for k in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     nodes = neardup.signatures(df).select("key", F.explode("bands").alias("band"))
-    buckets = nodes.groupBy("band").agg(F.min("key").alias("first"), F.max("key").alias("last"))
-    pairs = neardup._pairs(nodes.join(buckets, "band"), "first", "last").count()
-    assert pairs <= 300 * 2 * neardup.BANDS
+    buckets = nodes.groupBy("band").agg(F.max("key").alias("middle"))
+    pairs = neardup._pairs(nodes.join(buckets, "band"), "middle").count()
+    assert pairs <= 300 * neardup.BANDS
     assert neardup.near_duplicates(df).select("class_id").distinct().count() == 1
