@@ -8,10 +8,10 @@ of the response.
 
 The as-of join works on moments, not records: all records of one URL in one
 second are a single row, so an hour of one URL has at most 3600 rows. Within
-the hour a window finds the latest earlier response; between hours a second
-window, over one row per URL and hour, carries the last response forward. A
-URL that holds a third of all records is thus spread over its hours, and equal
-moments are summed before the shuffle. Payloads are not shuffled: their digest
+the hour a window finds the latest earlier response; the last responses of the
+hours are carried forward within months (at most 720 rows), and those of the
+months between them (12 rows a year). A URL that holds a third of all records
+is thus spread over its hours, and equal moments are summed before the shuffle. Payloads are not shuffled: their digest
 is taken where they are read.
 
 ``records``: ``record_id`` long, ``kind`` (``response`` or ``revisit``), ``url``,
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from hearth.llm.common import staged
 
-HOUR = 3600
+#: Seconds of an hour, hours of a month.
+SPANS = (3600, 720)
 
 #: Headers of a 304 that update the stored ones (fixed values).
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -66,15 +67,23 @@ def _etag(headers: Column) -> Column:
 def earlier_responses(moments: DataFrame) -> DataFrame:
     """``moments(url_key, ts, response_id)``, unique by ``(url_key, ts)``, with
     ``earlier_id``: the response of the latest earlier moment that has one."""
-    rows = moments.withColumn("hour", F.floor(F.col("ts") / HOUR))
-    inside = Window.partitionBy("url_key", "hour").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    over_hours = Window.partitionBy("url_key").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    last = rows.groupBy("url_key", "hour").agg(
-        F.max(F.when(F.col("response_id").isNotNull(), F.struct("ts", "response_id")))["response_id"].alias("last"))
-    carried = last.select("url_key", "hour", F.last("last", ignorenulls=True).over(over_hours).alias("carried"))
-    near = rows.withColumn("near", F.last("response_id", ignorenulls=True).over(inside))
-    return near.join(carried, ["url_key", "hour"]).select(
-        "url_key", "ts", F.coalesce("near", "carried").alias("earlier_id"))
+    found = _latest_before(moments.select("url_key", F.col("ts").alias("at"), "response_id"), SPANS)
+    return found.select("url_key", F.col("at").alias("ts"), F.col("before").alias("earlier_id"))
+
+
+def _latest_before(rows: DataFrame, spans: tuple[int, ...]) -> DataFrame:
+    """``rows(url_key, at, response_id)`` with ``before``: the last id at an earlier ``at`` of
+    the URL. The last id inside the row's span, else the last one of an earlier span."""
+    earlier = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    if not spans:
+        return rows.withColumn("before", F.last("response_id", ignorenulls=True).over(earlier.partitionBy("url_key")))
+    rows = rows.withColumn("span", F.floor(F.col("at") / spans[0]))
+    ends = rows.groupBy("url_key", F.col("span").alias("at")).agg(
+        F.max(F.when(F.col("response_id").isNotNull(), F.struct("at", "response_id")))["response_id"].alias("response_id"))
+    carried = _latest_before(ends, spans[1:]).select("url_key", F.col("at").alias("span"), F.col("before").alias("carried"))
+    near = rows.withColumn("near", F.last("response_id", ignorenulls=True).over(earlier.partitionBy("url_key", "span")))
+    return near.join(carried, ["url_key", "span"]).select(
+        "url_key", "at", "response_id", F.coalesce("near", "carried").alias("before"))
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
