@@ -3,11 +3,12 @@
 Every vector is projected on ``PROJECTIONS`` random lines; each line is one
 sorted array. A query opens a window around its own projection on every line;
 a vector collides on a line when it lies in that window. Virtual rehashing
-widens all windows step by step (only newly covered entries are counted), and
-a vector that collides on more than ``COLLISIONS`` of the lines is verified by
+widens all windows step by step. What is counted are the entries outside the
+first windows, less those that each wider window newly covers; a vector that
+collides on more than ``COLLISIONS`` of the lines is verified by
 its true inner product. A query ends when its k-th best verified vector lies
 within the radius that the windows stand for, or when a set share of the block
-has been verified.
+and a set multiple of k vectors have been verified.
 
 Largest inner product becomes smallest distance: data are scaled by the largest
 length and given one more component that makes them unit vectors, queries are
@@ -34,11 +35,11 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from hearth.llm.common import staged
 
-PROJECTIONS = 128
+PROJECTIONS = 64
 COLLISIONS = 0.77  # share of the lines
-FIRST_HALF_WIDTH, WIDEN, STEPS = 0.9, 1.1, 12
+FIRST_HALF_WIDTH, WIDEN, STEPS = 1.4, 1.1, 12
 RADIUS = 1.36  # half a window's width in units of the radius it stands for
-VERIFIED_SHARE = 0.2
+VERIFIED_SHARE, VERIFIED_PER_RESULT = 0.2, 12
 BLOCK, QUERY_BLOCK = 8192, 512
 K = 20
 
@@ -68,7 +69,7 @@ class Lines:
         last = np.sqrt(np.maximum(0.0, 1 - np.einsum("ij,ij->i", unit, unit)))
         self.lines = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, PROJECTIONS))
         p = unit @ self.lines[:-1] + last[:, None] * self.lines[-1]
-        self.order = np.argsort(p, axis=0).T.astype(np.int32).copy()
+        self.order = np.argsort(p, axis=0).T.copy()
         self.sorted = np.take_along_axis(p, self.order.T, 0).T.copy()
         self.longest = longest
 
@@ -83,29 +84,31 @@ class Lines:
         high = np.stack([[np.searchsorted(self.sorted[j], at[:, j] + h, "right") for j in range(PROJECTIONS)]
                          for h in widths])
         needed = int(np.ceil(COLLISIONS * PROJECTIONS))
+        lines = list(self.order)
         out = []
         for q in range(len(queries)):
-            counts = np.zeros(n, np.int64)
+            lo, hi = low[:, :, q].tolist(), high[:, :, q].tolist()
+            missed = np.zeros(n, np.int64)
             for s, h in enumerate(widths):
-                parts = []
-                for j in range(PROJECTIONS):
-                    if s == 0:
-                        parts.append(self.order[j, low[0, j, q]:high[0, j, q]])
-                    else:
-                        parts.append(self.order[j, low[s, j, q]:low[s - 1, j, q]])
-                        parts.append(self.order[j, high[s - 1, j, q]:high[s, j, q]])
-                counts += np.bincount(np.concatenate(parts), minlength=n)
-                found = np.flatnonzero(counts >= needed)
-                if len(found) >= min(n, k + VERIFIED_SHARE * n):
+                if s == 0:
+                    parts = [part for line, a, b in zip(lines, lo[0], hi[0], strict=True) for part in (line[:a], line[b:])]
+                else:
+                    ends = zip(lines, lo[s], lo[s - 1], hi[s - 1], hi[s], strict=True)
+                    parts = [part for line, a, b, c, d in ends for part in (line[a:b], line[c:d])]
+                change = np.bincount(np.concatenate(parts), minlength=n)
+                missed = change if s == 0 else missed - change
+                found = np.flatnonzero(missed <= PROJECTIONS - needed)
+                if len(found) >= min(n, VERIFIED_PER_RESULT * k + VERIFIED_SHARE * n):
                     break
                 if len(found) >= k:
-                    best = np.partition(self.x[found] @ queries[q], len(found) - k)[len(found) - k]
+                    score = self.x.take(found, 0) @ queries[q]
+                    best = np.partition(score, len(found) - k)[len(found) - k]
                     # distance of unit vectors: |a - b|^2 = 2 - 2 ab
                     if 2 - 2 * best / (size[q] * self.longest) <= (h / RADIUS) ** 2:
                         break
             else:
                 found = np.arange(n)  # the widest windows were not enough: verify the whole block
-            out.append((found, self.x[found] @ queries[q]))
+            out.append((found, self.x.take(found, 0) @ queries[q]))
         return out
 
 
