@@ -7,10 +7,23 @@ continuation counts shared by both, so a rare or unseen expression backs off
 to the same place in both models and says little. The two log-likelihoods are
 compared per symbol, passage by passage: a text's evidence is the largest
 length-normalised difference over all passages of :data:`PASSAGE` symbols, so a
-single expression counts alike in a short and a very long text. A logistic
-calibration turns the evidence into a score from 0 to 1.
-
-Texts are reduced to :data:`SYMBOLS` symbol classes, so an n-gram table has at
+single expression counts alike in a short and a very long text.
+
+Beside it stands a model of whole words over their real characters, of any
+script and length: each symbol of a word, its end included, is predicted from
+the whole word so far, again by two class models with one shared backoff (the
+continuation counts of three symbols). A word's evidence is the sum along its
+symbols, up to the first beginning that one of the classes has never met. The
+text's most telling word and the sum of its clear words (:data:`CLEAR`) over
+the root of its number of words add up what several expressions say. A logistic
+calibration of the three turns the evidence into a score from 0 to 1.
+
+The beginnings of words are 64-bit keys, counted and joined as Spark tables that
+grow with the vocabulary. Tasks receive those that both classes have met as
+contexts, so what the driver and a worker hold grows with the vocabulary of the
+toxic training texts.
+
+For the passages texts are reduced to :data:`SYMBOLS` symbol classes, so an n-gram table has at
 most ``SYMBOLS ** ORDER`` entries whatever the corpus: counting gathers n-grams
 of every labelled training text (partially summed in each task), yet the model
 that tasks receive has that proven bound.
@@ -28,18 +41,21 @@ text every score is the share of toxic labels (0 without labels).
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 import uuid
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from hearth.llm.common import map_rows, staged, texts, worker_store
+from hearth.llm.neardup import _GOLDEN, _mix
 
 ORDER = 5
 SYMBOLS = 28  # 0 space and other marks, 1-26 letters, 27 anything else that is a letter or digit
@@ -47,10 +63,20 @@ DISCOUNT = 0.9
 PASSAGE = 10
 CALIBRATION_ROWS = 20_000
 FLUSH = 1 << 22
+CLEAR = 2.0  # log-likelihood difference beyond which a word counts
+UNSPACED = 8  # symbols of a word in scripts that set no spaces; one starts at every symbol
+_KEPT_WORDS = 300_000
 
 _COUNTS = StructType([StructField("gram", LongType(), False), StructField("half", IntegerType(), False),
                       StructField("toxic", LongType(), False), StructField("ordinary", LongType(), False)])
 
+_CLASSES = ("t0", "o0", "t1", "o1")  # toxic and ordinary counts of each half
+_WORDS = StructType([StructField("word", BinaryType(), False), *(StructField(c, LongType(), False) for c in _CLASSES)])
+_NODES = StructType([*(StructField(c, LongType(), False) for c in ("node", "context", "tail")), *_WORDS.fields[1:]])
+_WORD = re.compile(r"[^\s\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\xbf\u2000-\u206f\u3000-\u303f]+")
+_NO_SPACES = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+                        r"\U00020000-\U0003ffff]")
+
 
 def _symbol(c: int) -> int:
     """Class of a code point: accents are dropped, letters beyond a-z share a class."""
@@ -123,6 +149,113 @@ def count_grams(labelled: DataFrame) -> DataFrame:
             .groupBy("gram", "half").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text in order, composed and in lower case."""
+    if text.isascii():
+        return _WORD.findall(text.lower())
+    found = _WORD.findall(unicodedata.normalize("NFKC", text).lower())
+    out = []
+    for w in found:
+        if _NO_SPACES.search(w):
+            out.extend(w[i:i + UNSPACED] for i in range(len(w)))
+        else:
+            out.append(w)
+    return out
+
+
+def walk(words: list[str], go: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple]:
+    """All beginnings of the words, symbol by symbol: which words, the keys of their
+    beginning and of the one before it, and the last three symbols. ``go`` tells which
+    words go on from the beginning they have reached."""
+    flat = np.frombuffer("".join(w + "\n" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    start = np.cumsum(size) - size
+    at, depth = np.arange(len(words)), 0
+    context, tail = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
+    while len(at):
+        if go is not None:
+            on = go(at, context)
+            at, context, tail = at[on], context[on], tail[on]
+        symbol = flat[start[at] + depth]
+        node = _mix(context * _GOLDEN + symbol + np.uint64(1))
+        tail = ((tail << np.uint64(21)) | symbol) & np.uint64((1 << 63) - 1)
+        yield at, node, context, tail
+        depth += 1
+        on = size[at] > depth
+        at, context, tail = at[on], node[on], tail[on]
+
+
+def count_words(labelled: DataFrame) -> DataFrame:
+    """``(node, context, tail, *_CLASSES)``: how often every beginning of a word occurs in
+    ``labelled(text, toxic, half)``. Words are summed in each task, then by word."""
+    def words(batches: Iterator[dict]) -> Iterator[dict]:
+        parts = [Counter() for _ in _CLASSES]
+
+        def flush() -> dict:
+            known = list(set().union(*parts))
+            out = {"word": [w.encode("utf-8", "surrogatepass") for w in known]}
+            out |= {c: [p[w] for w in known] for c, p in zip(_CLASSES, parts, strict=True)}
+            for p in parts:
+                p.clear()
+            return out
+
+        for b in batches:
+            for t, label, h in zip(texts(b["text"]), b["toxic"].to_pylist(), b["half"].to_pylist(), strict=True):
+                parts[2 * h + (not label)].update(words_of(t))
+                if sum(map(len, parts)) >= _KEPT_WORDS:
+                    yield flush()
+        if any(parts):
+            yield flush()
+
+    def nodes(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            counts = [b[c].to_numpy(zero_copy_only=False) for c in _CLASSES]
+            for at, node, context, tail in walk([w.decode("utf-8", "surrogatepass") for w in b["word"].to_pylist()]):
+                yield {"node": node.view(np.int64), "context": context.view(np.int64), "tail": tail.view(np.int64),
+                       **{c: n[at] for c, n in zip(_CLASSES, counts, strict=True)}}
+
+    sums = [F.sum(c).alias(c) for c in _CLASSES]
+    by_word = map_rows(labelled.select("text", "toxic", "half"), _WORDS, words).groupBy("word").agg(*sums)
+    return map_rows(by_word, _NODES, nodes).groupBy("node").agg(
+        F.first("context").alias("context"), F.first("tail").alias("tail"), *sums)
+
+
+#: Toxic and ordinary counts that the models of the halves and of all rows are made of.
+_MODELS = (("t0", "o0"), ("t1", "o1"), ("t0 + t1", "o0 + o1"))
+
+
+def word_evidence(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of :func:`count_words`: ``(node, e0, e1, e2)``, the log-likelihood difference of a
+    beginning's last symbol in the models of half 0, half 1 and all rows, and
+    ``(context, r0, r1, r2)``, that of a symbol neither class has there. Null where one
+    of the classes has not met the context."""
+    pairs = [(F.expr(t), F.expr(o)) for t, o in _MODELS]
+    sums = [x for m, pair in enumerate(pairs) for c, n in zip("to", pair, strict=True)
+            for x in (F.sum(n).alias(f"{c}{m}_all"), F.count_if(n > 0).alias(f"{c}{m}_kinds"))]
+    contexts = staged(nodes.groupBy("context").agg(*sums).where("t2_all > 0 and o2_all > 0"), "contexts")
+    before = F.shiftright("tail", 21)
+    tails = nodes.groupBy("tail").agg(F.count("*").alias("n")).withColumn("before", before)
+    kinds = tails.groupBy("before").agg(F.sum("n").alias("n_all"), F.count("*").alias("n_kinds"))
+    shared = tails.join(kinds, "before").select("tail", (
+        (F.col("n") - DISCOUNT + DISCOUNT * F.col("n_kinds") / (1 << 16)) / F.col("n_all")).alias("shared"))
+    rows = nodes.join(contexts, "context").join(shared, "tail")
+
+    def known(m: int, value: Column) -> Column:
+        return F.when((F.col(f"t{m}_all") > 0) & (F.col(f"o{m}_all") > 0), value)
+
+    def chance(m: int, c: str, n: Column) -> Column:
+        return F.greatest(n - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"{c}{m}_kinds") * F.col("shared")
+
+    def over(m: int) -> Column:
+        return F.log(F.col(f"o{m}_all") / F.col(f"t{m}_all"))
+
+    seen = rows.select("node", *[known(m, F.log(chance(m, "t", t) / chance(m, "o", o)) + over(m)).alias(f"e{m}")
+                                 for m, (t, o) in enumerate(pairs)])
+    rest = contexts.select("context", *[known(m, F.log(F.col(f"t{m}_kinds") / F.col(f"o{m}_kinds")) + over(m)).alias(f"r{m}")
+                                        for m in range(len(pairs))])
+    return seen, rest
+
+
 def shared_backoff(grams: np.ndarray) -> np.ndarray:
     """Kneser-Ney probability of each top-order n-gram's last symbol after the
     shortened context, from continuation counts pooled over both classes:
@@ -193,24 +326,88 @@ class Evidence:
         return kept[self.name]
 
 
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` among sorted ``keys``, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+@dataclass(frozen=True)
+class Words:
+    """The evidence of words as tasks receive it."""
+
+    name: str
+    parts: object  # a broadcast variable of sorted (nodes, seen, contexts, rest)
+
+    @classmethod
+    def of(cls, spark: SparkSession, seen: pd.DataFrame, rest: pd.DataFrame) -> Words:
+        parts = []
+        for frame in (seen, rest):
+            keys = frame.iloc[:, 0].to_numpy(np.int64).view(np.uint64)
+            order = np.argsort(keys)
+            parts += [keys[order], frame.iloc[:, 1].to_numpy(np.float32)[order]]
+        return cls(uuid.uuid4().hex, spark.sparkContext.broadcast(tuple(parts)))
+
+    def values(self, words: set[str]) -> dict[str, float]:
+        """The evidence of at least these words; a bounded number is kept by the worker."""
+        stores = worker_store().setdefault("toxic words", {})
+        while len(stores) > 2 and self.name not in stores:
+            stores.pop(next(iter(stores)))
+        kept = stores.setdefault(self.name, {})
+        if len(kept) > _KEPT_WORDS:
+            kept.clear()
+            fresh = list(words)
+        else:
+            fresh = [w for w in words if w not in kept]
+        nodes, seen, contexts, rest = self.parts.value
+        total, other = np.zeros(len(fresh)), np.zeros(len(fresh))
+
+        def known(at: np.ndarray, context: np.ndarray) -> np.ndarray:
+            i, there = _find(contexts, context)
+            other[at[there]] = rest[i[there]]
+            return there
+
+        for at, node, _, _ in walk(fresh, known):
+            i, there = _find(nodes, node)
+            total[at] += np.where(there, seen[i] if len(seen) else 0.0, other[at])
+        kept.update(zip(fresh, total.tolist(), strict=True))
+        return kept
+
+    def features(self, text: str | None) -> tuple[float, float]:
+        """Evidence of the most telling word (0 at least), and of all clear words over the
+        root of the number of words."""
+        found = Counter(words_of(text or ""))
+        values = self.values(set(found))
+        clear = [(values[w] - CLEAR, n) for w, n in found.items() if values[w] > CLEAR]
+        top = max((values[w] for w in found), default=0.0)
+        return max(top, 0.0), sum(v * n for v, n in clear) / math.sqrt(max(sum(found.values()), 1))
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
-    """``evidence`` gives the log-likelihood difference of an n-gram's last symbol;
-    ``slope`` and ``intercept`` calibrate a passage's mean."""
+    """``evidence`` gives the log-likelihood difference of an n-gram's last symbol, ``words``
+    that of words; ``slopes`` and ``intercept`` calibrate the three features."""
 
     evidence: Evidence
+    words: Words
     intercept: float
-    slope: float
+    slopes: tuple[float, float, float]
 
     def score_of(self, text: Column) -> Column:
         """Score column: 0 to 1, higher for likelier toxic."""
-        symbols, evidence, a, b = symbol_table(), self.evidence, self.intercept, self.slope
+        symbols, evidence, words, a, b = symbol_table(), self.evidence, self.words, self.intercept, self.slopes
 
         @F.pandas_udf(DoubleType())
         def score(column: pd.Series) -> pd.Series:
             values = evidence.table()
-            return pd.Series([1 / (1 + math.exp(-max(-700.0, min(700.0, a + b * worst_passage(t, symbols, values)))))
-                              for t in column], dtype="float64")
+            out = []
+            for t in column:
+                x = (worst_passage(t, symbols, values), *words.features(t))
+                z = a + sum(k * v for k, v in zip(b, x, strict=True))
+                out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, z)))))
+            return pd.Series(out, dtype="float64")
 
         return score(text)
 
@@ -225,31 +422,33 @@ def worst_passage(text: str | None, symbols: np.ndarray, table: np.ndarray) -> f
     return float((sums[PASSAGE:] - sums[:-PASSAGE]).max()) / PASSAGE
 
 
-def _scored(rows: DataFrame, tables: list[Evidence]) -> DataFrame:
-    """``rows(text, toxic, half)`` scored by the model of the other half."""
+def _scored(rows: DataFrame, tables: list[Evidence], words: list[Words]) -> DataFrame:
+    """The features of ``rows(text, toxic, half)`` by the models of the other half."""
     symbols = symbol_table()
 
-    @F.pandas_udf(DoubleType())
+    @F.pandas_udf(ArrayType(DoubleType()))
     def raw(text: pd.Series, half: pd.Series) -> pd.Series:
         own = [t.table() for t in tables]
-        return pd.Series([worst_passage(t, symbols, own[1 - h]) for t, h in zip(text, half, strict=True)],
-                         dtype="float64")
+        return pd.Series([[worst_passage(t, symbols, own[1 - h]), *words[1 - h].features(t)]
+                          for t, h in zip(text, half, strict=True)], dtype=object)
 
     return rows.select(raw("text", "half").alias("x"), "toxic")
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton's method with a light ridge on the scaled input."""
-    scale = float(x.std()) or 1.0
-    z, w = np.stack([np.ones_like(x), x / scale], 1), np.zeros(2)
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[float, ...]]:
+    """Intercept and slopes by Newton's method with a light ridge on the scaled inputs."""
+    scale = np.where(x.std(0) > 0, x.std(0), 1.0)
+    z, w = np.concatenate([np.ones((len(x), 1)), x / scale], 1), np.zeros(x.shape[1] + 1)
+    ridge = np.full(len(w), 1e-2)
+    ridge[0] = 1e-6
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag([1e-6, 1e-2])
-        step = np.linalg.solve(h, z.T @ (y - p) - np.array([1e-6, 1e-2]) * w)
+        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge)
+        step = np.linalg.solve(h, z.T @ (y - p) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(w[1] / scale)
+    return float(w[0]), tuple((w[1:] / scale).tolist())
 
 
 def fit(spark: SparkSession, labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> ToxicityModel:
@@ -262,8 +461,12 @@ def fit(spark: SparkSession, labelled: DataFrame, calibration_rows: int = CALIBR
     total, positive = sum(n.values()), n.get(1, 0)
     if not positive or positive == total or not counts["toxic"].sum() or not counts["ordinary"].sum():
         share = positive / total if total else 0.0
-        none = np.zeros(0, np.int64)
-        return ToxicityModel(Evidence.of(spark, none, none, none), math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0)
+        none, no_words = np.zeros(0, np.int64), pd.DataFrame({"key": [], "e": []})
+        return ToxicityModel(Evidence.of(spark, none, none, none), Words.of(spark, no_words, no_words),
+                             math.log(max(share, 1e-9) / max(1 - share, 1e-9)), (0.0, 0.0, 0.0))
+    seen, rest = (t.toArrow().to_pandas() for t in word_evidence(staged(count_words(rows), "word-nodes")))
+    words = [Words.of(spark, seen[["node", f"e{m}"]].dropna(), rest[["context", f"r{m}"]].dropna())
+             for m in range(len(_MODELS))]
     halves = []
     for h in (0, 1):
         part = counts[counts["half"] == h]
@@ -272,14 +475,15 @@ def fit(spark: SparkSession, labelled: DataFrame, calibration_rows: int = CALIBR
     if total > calibration_rows:  # a row's own hash decides, so the sample doesn't depend on the partitions
         share = int(calibration_rows / total * (1 << 30))
         sample = rows.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < share)
-    held = _scored(sample, halves).toArrow().to_pandas()
+    held = _scored(sample, halves, words[:2]).toArrow().to_pandas()
     y = held["toxic"].to_numpy(float)
-    intercept, slope = _logistic(held["x"].to_numpy(float), y) if 0 < y.sum() < len(y) else (0.0, 1.0)
+    intercept, slopes = (_logistic(np.stack(held["x"].to_list()), y) if 0 < y.sum() < len(y)
+                         else (0.0, (1.0, 0.0, 0.0)))
     both = counts.groupby("gram", as_index=False)[["toxic", "ordinary"]].sum()
-    for h in halves:
+    for h in (*halves, *words[:2]):
         h.parts.unpersist()
     whole = Evidence.of(spark, *(both[c].to_numpy(np.int64) for c in ("gram", "toxic", "ordinary")))
-    return ToxicityModel(whole, intercept, slope)
+    return ToxicityModel(whole, words[2], intercept, slopes)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, use: Column) -> DataFrame:

@@ -10,6 +10,7 @@ from hearth.llm import common, langid, toxicity
 from hearth.llm.queries import op3_language_id, op8_toxicity
 from tests.conftest import SF_MID
 
+SF_LARGE = "/root/testdata/sf0.1"
 FRAME = "doc_id long, text string, score string, lang string"
 
 
@@ -156,3 +157,22 @@ def test_document_frequencies_equal_plain(spark):
         expected[langid.gram_counts(t or "")[0]] += 1
     df = spark.createDataFrame([(t,) for t in rows], "text string")
     assert (langid.document_frequencies(df) == expected).all()
+
+
+def test_toxicity_finds_every_language(spark):
+    """Held-out recall per language: expressions of any script, spread over a text."""
+    got = op8_toxicity(spark, SF_LARGE).where("held_out")
+    labels = spark.read.parquet(f"{SF_LARGE}/labels.parquet").select("doc_id", "toxic")
+    lang = spark.read.parquet(f"{SF_LARGE}/documents.parquet").select("doc_id", "lang")
+    by = {r.lang: r for r in got.join(labels, "doc_id").join(lang, "doc_id").groupBy("lang").agg(
+        F.count_if(F.expr("toxic = 1")).alias("toxic"), F.count_if(F.expr("toxic = 1 and predicted = 1")).alias("found"),
+        F.count_if(F.expr("toxic = 0")).alias("clean"), F.count_if(F.expr("toxic = 0 and predicted = 1")).alias("wrong")).collect()}
+    assert set(by) == {"en", "de", "fr", "es"}
+    for r in by.values():
+        assert r.found >= 0.75 * r.toxic and r.wrong <= 0.05 * r.clean, r
+
+
+def test_words_of_any_script():
+    assert toxicity.words_of("Ab-c \u00c9t\u00e9 E\u0301te\u0301") == ["ab", "c", "\u00e9t\u00e9", "\u00e9t\u00e9"]
+    assert toxicity.words_of("\u043f\u0440\u0438\u0432\u0435\u0442, \u0645\u0631\u062d\u0628\u0627") == ["\u043f\u0440\u0438\u0432\u0435\u0442", "\u0645\u0631\u062d\u0628\u0627"]
+    assert toxicity.words_of("\u4f60\u597d\u5417") == ["\u4f60\u597d\u5417", "\u597d\u5417", "\u5417"]
