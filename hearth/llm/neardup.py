@@ -10,12 +10,13 @@ are candidates, and candidates are verified by the exact Jaccard similarity of
 their 5-word shingle sets.
 
 Scale and skew: equal texts are one node, found by a 128-bit key. A bucket
-never emits all its pairs: every member is compared with the bucket's middle,
-the text that shares buckets with most others, and where a bucket still holds
-several classes, ``ROUNDS`` further rounds draw ``DRAWS`` of its classes and
-compare all its members with a member of each. So candidate pairs stay linear in
-the bucket's size, while a text meets its family in up to 25 buckets. Only
-texts of candidates are kept for verification, one per node, and a pair's texts
+first links what few pairs can link: every member is compared with the bucket's
+middle, the text that shares buckets with most others, and where a bucket still
+holds several classes, ``ROUNDS`` further rounds draw ``DRAWS`` of its classes and
+compare all its members with a member of each. Then every pair of a bucket that is
+still of different classes is compared, so no candidate link is missed; the pairs
+grow with the square of a bucket only where its texts are truly of many classes,
+and are dealt by band and part of the bucket. Only texts of candidates are kept for verification, one per node, and a pair's texts
 meet by joins on keys, never gathered by group.
 
 Defined cases: equal texts share a class, null counts as empty. Texts without
@@ -41,6 +42,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 DRAWS, ROUNDS = 3, 2
+PART = 256  # members of a bucket in one part when all its open pairs are made
 FEW_PAIRS = 200_000  # of two 16-byte keys and two labels each: at most some 16 MB
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _KEPT_WORDS = 300_000
@@ -169,6 +171,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, few: bool = False) -> DataFram
     return left.join(right, "centre").where(similarity("_a", "_b") >= SIMILARITY).select(*pairs.columns)
 
 
+def _open_pairs(rows: DataFrame) -> DataFrame:
+    """All distinct pairs ``(member, centre)`` of ``rows(band, key, component)`` that share a
+    band and not the component. A bucket's members are dealt to parts and meet the whole
+    bucket there, so a large bucket is many join keys."""
+    parts = (rows.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .where(F.col("lo") != F.col("hi")).select("band", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
+    dealt = rows.join(parts, "band")
+    left = dealt.select("band", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"),
+                        F.col("key").alias("member"), F.col("component").alias("_member"))
+    right = dealt.select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+                         F.col("key").alias("centre"), F.col("component").alias("_centre"))
+    met = left.join(right, ["band", "part"]).where((F.col("member") > F.col("centre")) & (F.col("_member") != F.col("_centre")))
+    return met.select("member", "centre").distinct()
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``key`` and ``bands`` of every row of ``docs(doc_id, text)``."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"),
@@ -215,6 +232,7 @@ def classes(rows: DataFrame, docs: DataFrame) -> DataFrame:
         fresh = staged(fresh.join(tested, ["member", "centre"], "left_anti"), "pairs")
         few = fresh.count() <= FEW_PAIRS
         new = staged(_verified(fresh, texts, few), "links")
+        tested = tested.union(fresh.select("member", "centre"))
         if new.isEmpty():
             break
         merged = components(new.select(F.col("_member").alias("a"), F.col("_centre").alias("b")))
@@ -222,9 +240,12 @@ def classes(rows: DataFrame, docs: DataFrame) -> DataFrame:
         open_rows = open_rows.select("band", "key", "component").join(
             F.broadcast(merged) if few else merged, "component", "left").select(
             "band", "key", F.coalesce("now", "component").alias("component"))
-        tested, turn = tested.union(fresh.select("member", "centre")), turn + 1
+        turn += 1
         links = links.union(new.select(F.col("member").alias("a"), F.col("centre").alias("b")))
-    if turn:
+    last = staged(_open_pairs(open_rows).join(tested, ["member", "centre"], "left_anti"), "pairs")
+    new = staged(_verified(last, texts, last.count() <= FEW_PAIRS), "links")
+    links = links.union(new.select(F.col("member").alias("a"), F.col("centre").alias("b")))
+    if turn or not new.isEmpty():
         found = components(links).withColumnsRenamed({"node": "key"})
     return nodes.select("key", "doc_id").join(found, "key", "left").select(
         "key", "doc_id", F.coalesce("component", "key").alias("class_key"))

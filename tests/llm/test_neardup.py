@@ -119,3 +119,19 @@ def test_a_large_family_stays_linear_in_pairs(spark):
     pairs = neardup._pairs(nodes.join(buckets, "band"), "middle").count()
     assert pairs <= 300 * neardup.BANDS
     assert neardup.near_duplicates(df).select("class_id").distinct().count() == 1
+
+
+def test_every_pair_of_a_bucket_is_compared(spark):
+    """150 pairs of twins that share their buckets with a whole family below the threshold."""
+    rows, draw = [], np.random.default_rng(5)
+    for k in range(150):
+        words = [f"w{i}" for i in range(300)]
+        for i, at in enumerate(draw.choice(np.arange(5, 290, 5), 5, replace=False)):
+            words[at] = f"x{k}_{i}"
+        rows.append((2 * k, " ".join(words)))
+        rows.append((2 * k + 1, " ".join(words[:-1] + [f"z{k}"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in neardup.near_duplicates(df).collect():
+        got.setdefault(r.class_id, []).append(r.doc_id)
+    assert sorted(sorted(v, key=repr) for v in got.values()) == brute_classes(rows)
