@@ -3,7 +3,9 @@
 A text is cut into sentences (at line ends, and after ``.``, ``!`` or ``?``
 before white space), every sentence is normalised (lower case, runs of anything
 but letters and digits become one space) and looked up in a table of known
-licence sentences. The identifiers found, in text order, are matched against
+licence sentences; a known sentence may run over several such pieces (wrapped
+lines, with or without comment marks) unless a line without words lies between,
+and the longest one is taken. The identifiers found, in text order, are matched against
 ordered rules: a rule is a sequence of identifiers that has to occur without
 another known sentence between; at each place the first rule in order that
 matches wins, and matching goes on after it.
@@ -88,6 +90,28 @@ RULES = (
     ("CC0-1.0", ("cc0-short",)),
 )
 
+#: Whole sentences of the licences' own texts (fixed values) where :data:`SENTENCES` has their beginning.
+WHOLE_SENTENCES = (
+    ("mit-granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and"
+                    " associated documentation files the software to deal in the software without restriction including"
+                    " without limitation the rights to use copy modify merge publish distribute sublicense and or sell"
+                    " copies of the software and to permit persons to whom the software is furnished to do so subject to"
+                    " the following conditions"),
+    ("as-is", "the software is provided as is without warranty of any kind express or implied including but not limited"
+              " to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("isc-granted", "permission to use copy modify and or distribute this software for any purpose with or without fee"
+                    " is hereby granted provided that the above copyright notice and this permission notice appear in"
+                    " all copies"),
+    ("as-is", "the software is provided as is and the author disclaims all warranties with regard to this software"
+              " including all implied warranties of merchantability and fitness"),
+)
+
+#: Rules before :data:`RULES`: the line of rights that heads a BSD notice belongs to it.
+HEADED_RULES = (
+    ("BSD-3-Clause", ("all-rights", "bsd-redistribution", "bsd-endorse")),
+    ("BSD-2-Clause", ("all-rights", "bsd-redistribution")),
+)
+
 _END = re.compile(r"(?<=[.!?])[\x20\x09-\x0d]+|\n")
 _MARKS = re.compile(r"[^0-9a-z]+")
 SCAN = StructType([StructField("sentences", ArrayType(StringType()), False),
@@ -111,8 +135,10 @@ def normalise(sentence: str) -> str:
 class Scanner:
     """Sentence table and rules, the rules grouped by their first identifier."""
 
-    def __init__(self, known=SENTENCES, rules=RULES):
+    def __init__(self, known=SENTENCES + WHOLE_SENTENCES, rules=HEADED_RULES + RULES):
         self.known = {s: i for i, s in known}
+        words = [s.split() for s in self.known]
+        self.beginnings = {" ".join(w[:i]) for w in words for i in range(1, len(w) + 1)}
         self.hints = re.compile("|".join(sorted({re.escape(max(s.split(), key=len)) for s in self.known})))
         self.rules: dict[str, list] = {}
         for rank, (name, ids) in enumerate(rules):
@@ -122,10 +148,20 @@ class Scanner:
         """Identifiers of the known sentences, licences by rule, and where those start."""
         found = []
         if text and self.hints.search(text.lower()):  # every known sentence holds one of the hints
-            for start, s in sentences(text):
-                i = self.known.get(normalise(s)) if self.hints.search(s.lower()) else None
-                if i is not None:
-                    found.append((start, i))
+            pieces = [(start, normalise(s)) for start, s in sentences(text)]
+            at = 0
+            while at < len(pieces):
+                start, s = pieces[at]
+                end, here = at + 1, None
+                while s in self.beginnings:
+                    if s in self.known:
+                        here = (end, self.known[s])
+                    if end == len(pieces) or not pieces[end][1]:
+                        break
+                    s, end = f"{s} {pieces[end][1]}", end + 1
+                if here:
+                    found.append((start, here[1]))
+                at = here[0] if here else at + 1
         ids = [i for _, i in found]
         names, starts, at = [], [], 0
         while at < len(ids):
