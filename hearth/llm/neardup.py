@@ -5,7 +5,9 @@ Every shingle runs a Poisson process at the rate of its weight; each arrival
 falls into one of the signature's registers, which keeps the earliest. A
 shingle's process stops once it passes the latest register, so later arrivals
 are never drawn. Two texts agree on a register with the chance of their
-probability Jaccard similarity. Registers are banded; texts that share a band
+probability Jaccard similarity. A text that repeats shingles has a second
+signature with all weights 1, since pairs are verified by plain similarity.
+Registers are banded; texts that share a band
 are candidates, and candidates are verified by the exact Jaccard similarity of
 their 5-word shingle sets.
 
@@ -114,15 +116,21 @@ def probminhash(elements: np.ndarray, weights: np.ndarray, registers: int) -> np
 
 
 def band_hashes(text: str | None, words: WordHashes) -> np.ndarray:
-    """One 64-bit hash per band; none for a text without words."""
+    """One 64-bit hash per band; none for a text without words. A text that repeats
+    shingles has the bands of weight 1 as well, the only ones of a text that doesn't: with
+    equal weights, registers agree with the chance of the plain Jaccard similarity."""
     found, counts = np.unique(words.shingles(text), return_counts=True)
     if not len(found):
         return np.zeros(0, np.int64)
-    signature = probminhash(found, 1 + np.log(counts), BANDS * ROWS).reshape(BANDS, ROWS)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for r in range(ROWS):
-        h = _mix(h * _GOLDEN + signature[:, r])
-    return h.view(np.int64)
+    weights = [np.ones(len(found))] + ([1 + np.log(counts)] if counts.max() > 1 else [])
+    out = []
+    for w in weights:
+        signature = probminhash(found, w, BANDS * ROWS).reshape(BANDS, ROWS)
+        h = np.arange(1, BANDS + 1, dtype=np.uint64)
+        for r in range(ROWS):
+            h = _mix(h * _GOLDEN + signature[:, r])
+        out.append(h)
+    return np.unique(np.concatenate(out)).view(np.int64)
 
 
 @F.pandas_udf(ArrayType(LongType()))

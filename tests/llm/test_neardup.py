@@ -122,16 +122,23 @@ def test_a_large_family_stays_linear_in_pairs(spark):
 
 
 def test_every_pair_of_a_bucket_is_compared(spark):
-    """150 pairs of twins that share their buckets with a whole family below the threshold."""
-    rows, draw = [], np.random.default_rng(5)
-    for k in range(150):
-        words = [f"w{i}" for i in range(300)]
-        for i, at in enumerate(draw.choice(np.arange(5, 290, 5), 5, replace=False)):
-            words[at] = f"x{k}_{i}"
-        rows.append((2 * k, " ".join(words)))
-        rows.append((2 * k + 1, " ".join(words[:-1] + [f"z{k}"])))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    """60 pairs of twins, unrelated otherwise, in one bucket."""
+    rows = []
+    for k in range(60):
+        text = " ".join(f"x{k}_{i}" for i in range(40))
+        rows += [(2 * k, text), (2 * k + 1, f"{text} tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    banded = docs.select("doc_id", neardup.text_key(F.col("text")).alias("key"), F.array(F.lit(1)).cast("array<long>").alias("bands"))
     got = {}
-    for r in neardup.near_duplicates(df).collect():
-        got.setdefault(r.class_id, []).append(r.doc_id)
+    for r in neardup.classes(banded, docs).collect():
+        got.setdefault(r.class_key, []).append(r.doc_id)
     assert sorted(sorted(v, key=repr) for v in got.values()) == brute_classes(rows)
+
+
+def test_repeated_passages_keep_candidates():
+    """Texts with the same shingles share a band however often one repeats a passage."""
+    words = neardup.WordHashes()
+    for k in range(40):
+        rest, passage = (" ".join(f"{c}{k}_{i}" for i in range(n)) for c, n in (("a", 300), ("b", 100)))
+        once, often = f"{passage} {passage} {rest}", " ".join([passage] * 300 + [rest])
+        assert len(set(neardup.band_hashes(once, words)) & set(neardup.band_hashes(often, words))) >= neardup.BANDS
