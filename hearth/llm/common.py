@@ -54,16 +54,17 @@ def text_key(text: Column) -> Column:
 
 
 def map_rows(df: DataFrame, schema: StructType,
-             fn: Callable[[Iterator[dict[str, pa.Array]]], Iterator[dict[str, list]]]) -> DataFrame:
+             fn: Callable[[Iterator[dict[str, pa.Array]]], Iterator[dict]]) -> DataFrame:
     """``mapInArrow`` whose function sees each batch as ``{column: Arrow array}`` and
-    yields ``{column: values}``; partitions stream, one batch at a time."""
+    yields ``{column: values}`` (lists, numpy or Arrow arrays); partitions stream, one batch at a time."""
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ({n: b.column(i) for i, n in enumerate(b.schema.names)} for b in batches)
         for out in fn(columns):
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x := out[f.name], pa.Array)
+                                              else pa.array(x, f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

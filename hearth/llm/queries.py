@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from hearth.llm import ann, bpe, langid, licenses, neardup, packing, quality, sql, toxicity, urls, warc
+from hearth.llm import ann, bpe, langid, licenses, neardup, packing, phrases, quality, sql, toxicity, urls, warc
 from hearth.llm.common import held_out, read
 from hearth.llm.tokens import ByteBpe
 
@@ -128,10 +128,17 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_toivonen_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 best collocations of two and three words."""
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_rules, op2_bpe_chunk_reuse, op3_language_id, op4_url_rules, op5_warc_revisits,
-    op6_collision_counting_ann, op7_best_fit_packing, op8_toxicity, op9_license_scan, op10_minhash_near_dedup)}
+    op6_collision_counting_ann, op7_best_fit_packing, op8_toxicity, op9_license_scan, op10_minhash_near_dedup,
+    op11_toivonen_phrases)}
 
 #: The other operators are held against brute force, a round trip or held-out accuracy in tests.
 SQL: dict[str, str] = {"op1_quality_rules": sql.quality_sql(), "op4_url_rules": sql.urls_sql(),
-                       "op5_warc_revisits": sql.warc_sql(), "op9_license_scan": sql.licenses_sql()}
+                       "op5_warc_revisits": sql.warc_sql(), "op9_license_scan": sql.licenses_sql(),
+                       "op11_toivonen_phrases": sql.phrases_sql()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hearth.llm import licenses, quality, urls, warc
+from hearth.llm import licenses, phrases, quality, urls, warc
 
 _WS = r"\x20\x09-\x0D"
 
@@ -163,3 +163,37 @@ o AS (SELECT rid, string_agg(r.name, ' ' ORDER BY i) AS licenses, min_by(r.name,
   FROM h JOIN (VALUES {named}) AS r(hit, name) USING (hit) GROUP BY rid)
 SELECT doc_id, coalesce(sentences, '') AS sentences, coalesce(licenses, '') AS licenses, license
 FROM d LEFT JOIN m USING (rid) LEFT JOIN o USING (rid)"""
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def phrases_sql() -> str:
+    """All phrases counted, all cuts, 128-bit arithmetic."""
+    least, top = phrases.MIN_COUNT, phrases.TOP
+    return rf"""
+WITH p AS MATERIALIZED (SELECT lang, row_number() OVER () AS piece, words FROM (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM (
+    SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+      '[.,;:!?\x0A-\x0D]')) AS piece FROM documents))),
+w AS MATERIALIZED (SELECT lang, piece, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM p),
+t AS (SELECT lang, w, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM w WINDOW o AS (PARTITION BY piece ORDER BY i)),
+f AS MATERIALIZED (SELECT lang, 1 AS k, w AS phrase, count(*) AS n FROM t GROUP BY ALL
+  UNION ALL SELECT lang, 2, w || ' ' || w1, count(*) FROM t WHERE w1 IS NOT NULL GROUP BY ALL HAVING count(*) >= {least}
+  UNION ALL SELECT lang, 3, w || ' ' || w1 || ' ' || w2, count(*) FROM t WHERE w2 IS NOT NULL GROUP BY ALL
+    HAVING count(*) >= {least}),
+n AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS x FROM f WHERE k > 1),
+cut AS (SELECT c.*, j, array_to_string(x[1:j], ' ') AS first, array_to_string(x[j + 1:k], ' ') AS rest
+  FROM c, (VALUES (1), (2)) AS s(j) WHERE j < k),
+key AS MATERIALIZED (SELECT lang || chr(9) || phrase AS id, n FROM f),
+s AS (SELECT lang, k, phrase, a, j, l.n AS l, r.n AS r, (1000000::HUGEINT * a * a) // (l.n::HUGEINT * r.n) AS score
+  FROM cut JOIN key l ON l.id = lang || chr(9) || first JOIN key r ON r.id = lang || chr(9) || rest),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (SELECT lang, phrase, max(a) AS longer FROM (
+  SELECT lang, x[1] || ' ' || x[2] AS phrase, a FROM c WHERE k = 3
+  UNION ALL SELECT lang, x[2] || ' ' || x[3], a FROM c WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+  CAST(n.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= {top}"""
