@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from hearth.llm import ann, bpe, langid, licenses, neardup, packing, phrases, quality, sql, toxicity, urls, warc
+from hearth.llm import (ann, bpe, contamination, langid, licenses, neardup, packing, phrases, quality, sql, toxicity,
+                        urls, warc)
 from hearth.llm.common import held_out, read
 from hearth.llm.tokens import ByteBpe
 
@@ -133,12 +134,19 @@ def op11_toivonen_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read(spark, sf_dir, "documents"))
 
 
+def op12_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words that stand in windows of benchmark items, and those items."""
+    found = contamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_rules, op2_bpe_chunk_reuse, op3_language_id, op4_url_rules, op5_warc_revisits,
     op6_collision_counting_ann, op7_best_fit_packing, op8_toxicity, op9_license_scan, op10_minhash_near_dedup,
-    op11_toivonen_phrases)}
+    op11_toivonen_phrases, op12_positional_index)}
 
 #: The other operators are held against brute force, a round trip or held-out accuracy in tests.
 SQL: dict[str, str] = {"op1_quality_rules": sql.quality_sql(), "op4_url_rules": sql.urls_sql(),
                        "op5_warc_revisits": sql.warc_sql(), "op9_license_scan": sql.licenses_sql(),
-                       "op11_toivonen_phrases": sql.phrases_sql()}
+                       "op11_toivonen_phrases": sql.phrases_sql(), "op12_positional_index": sql.contamination_sql()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hearth.llm import licenses, phrases, quality, urls, warc
+from hearth.llm import contamination, licenses, phrases, quality, urls, warc
 
 _WS = r"\x20\x09-\x0D"
 
@@ -197,3 +197,26 @@ kept AS (SELECT low.* FROM low LEFT JOIN inside USING (lang, phrase) WHERE longe
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
   CAST(n.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= {top}"""
+
+
+def contamination_sql() -> str:
+    """Every run of 1 to 10 document words against every window of the items."""
+    k = contamination.WINDOW
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {words} AS words FROM documents),
+i AS MATERIALIZED (SELECT row_number() OVER () AS seq, CAST(item_id AS VARCHAR) AS id, {words} AS words FROM benchmark),
+iw AS (SELECT seq, id, least(len(words), {k}) AS k, unnest(words) AS w, generate_subscripts(words, 1) AS p FROM i),
+il AS (SELECT id, k, list(w) OVER (PARTITION BY seq ORDER BY p ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING) AS l FROM iw),
+win AS MATERIALIZED (SELECT DISTINCT id, k, array_to_string(l[1:k], ' ') AS t FROM il WHERE len(l) >= k),
+dw AS (SELECT rid, unnest(words) AS w, generate_subscripts(words, 1) AS p FROM d),
+dl AS MATERIALIZED (SELECT rid, p,
+  list(w) OVER (PARTITION BY rid ORDER BY p ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING) AS l FROM dw),
+g AS (SELECT rid, p, k, array_to_string(l[1:k], ' ') AS t FROM dl, (SELECT DISTINCT k FROM win) WHERE len(l) >= k),
+m AS MATERIALIZED (SELECT rid, p, win.k, id FROM g JOIN win ON g.k = win.k AND g.t = win.t),
+h AS (SELECT rid, count(DISTINCT p + j) AS n FROM m, generate_series(0, {k - 1}) AS s(j) WHERE j < k GROUP BY rid),
+t AS (SELECT rid, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT rid, id FROM m WHERE id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(t.n, 0) AS BIGINT) AS n_items, sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)"""
