@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from hearth.llm import (ann, bpe, contamination, langid, licenses, neardup, packing, phrases, quality, sql, toxicity,
-                        urls, warc)
+                        urls, warc, whitening)
 from hearth.llm.common import held_out, read
 from hearth.llm.tokens import ByteBpe
 
@@ -141,10 +141,15 @@ def op12_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op13_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first 8 components, scaled to variance 1."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_rules, op2_bpe_chunk_reuse, op3_language_id, op4_url_rules, op5_warc_revisits,
     op6_collision_counting_ann, op7_best_fit_packing, op8_toxicity, op9_license_scan, op10_minhash_near_dedup,
-    op11_toivonen_phrases, op12_positional_index)}
+    op11_toivonen_phrases, op12_positional_index, op13_exact_whitening)}
 
 #: The other operators are held against brute force, a round trip or held-out accuracy in tests.
 SQL: dict[str, str] = {"op1_quality_rules": sql.quality_sql(), "op4_url_rules": sql.urls_sql(),
