@@ -15,11 +15,13 @@ counted exactly as well, which costs time and changes no result. What has been
 counted is decided by the bits themselves, so no occurrence is counted twice.
 
 Scale: a task cuts its texts into blocks of about ``BLOCK`` bytes (at piece
-ends, since no phrase crosses one), counts a block in arrays and passes on one
-row for each phrase of it; Spark sums them by key, with a partial sum before
-the shuffle. A bit set has 16 bits for each proposed phrase of the sample up to
-``MOST_BITS`` (32 MB); beyond, it admits more. Nothing else is sent to the tasks
-or the driver.
+ends, since no phrase crosses one) and counts a block in arrays. What it counted
+is dealt by phrase hash into groups, one row for each group of a block with the
+phrases and counts as bytes; Spark brings a group's rows together and a task adds
+them up. There are so many groups that one holds about ``GROUP`` occurrences at most, as
+the sample tells; a frequent phrase is one entry for each block. A bit set has 16
+bits for each proposed phrase of the sample up to ``MOST_BITS`` (32 MB); beyond, it
+admits more. Nothing else is sent to the tasks or the driver.
 
 Defined cases: a null text is empty, a null language is ``und`` (one group with
 a language of that name); rows that repeat count again; an empty table gives no
@@ -36,19 +38,22 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ByteType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, ByteType, IntegerType, LongType, StringType, StructField, StructType
 
 from hearth.llm.common import map_rows, staged
 
 MIN_COUNT, MAX_WORDS, TOP = 10, 3, 2000
 #: The sample holds one document in so many; a phrase is proposed from so large a share of its expected count there.
 SAMPLE, LOWERED = 4, 0.8
-BLOCK = 4 << 20
+BLOCK, GROUP = 4 << 20, 1_000_000
 MOST_BITS, LEAST_BITS = 28, 16
 PIECE_ENDS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
 
 COUNTS = StructType([StructField("lang", StringType()), StructField("k", IntegerType()),
                      StructField("phrase", StringType()), StructField("n", LongType())])
+#: Counts of one block's phrases of one group: the phrases, each ended by a line end, and 64-bit numbers.
+PACKED = StructType([StructField("lang", StringType()), StructField("k", IntegerType()), StructField("grp", IntegerType()),
+                     StructField("phrases", BinaryType()), StructField("counts", BinaryType())])
 #: Words of 64 bits of a bit set.
 BITS = StructType([StructField("k", ByteType()), StructField("slot", IntegerType()), StructField("bits", LongType())])
 
@@ -134,68 +139,87 @@ def _tokens(text: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def _count_block(lang: str, text: bytes, old: list[BitSet], new: list[BitSet], most: int,
-                 words_too: bool) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(phrase length, phrases, counts) of a block: all words if ``words_too`` (and their number, as
-    length 0), and the phrases of two to ``most`` words that ``new`` admits and ``old`` did not."""
+                 words_too: bool) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+    """(phrase length, phrases, counts, hashes) of a block: all words if ``words_too`` (and their
+    number, as length 0), and the phrases of two to ``most`` words that ``new`` admits and ``old`` did not."""
     words, code, follows = _tokens(text)
     if not len(code):
         return
+    hashes = _word_hashes(lang, words.to_pylist())
     if words_too:
-        yield 0, pa.array([b""], pa.large_binary()), np.array([len(code)])
-        yield 1, words, np.bincount(code, minlength=len(words))
-    hashes = None
-    alive = np.arange(len(code))  # starts of phrases of the present length whose ends are admitted
-    ident, whole = code, None  # an id of the phrase at each start; its hash
-    counted = np.full(len(code), bool(old))  # whether an earlier pass counted it
-    for k in range(2, most + 1):
-        if k - 2 >= len(new):
-            return
-        if hashes is None:
-            hashes = _word_hashes(lang, words.to_pylist())
-            in_new, in_old = (x[k - 2].holds(hashes)[code] if len(x) > k - 2 else np.zeros(len(code), bool)
-                              for x in (new, old))
-            whole = hashes[code]
+        yield 0, pa.array([b""], pa.large_binary()), np.array([len(code)]), np.zeros(1, np.uint64)
+        yield 1, words, np.bincount(code, minlength=len(words)), hashes
+    at = np.arange(len(code))  # starts of the phrases of k - 1 words that may be part of a longer one
+    whole = hashes[code]  # their hashes
+    counted = np.full(len(code), bool(old))  # whether an earlier pass counted them
+    for k in range(2, min(most, len(new) + 1) + 1):
+        if k == 2:
+            in_new = new[0].holds(hashes)[code]
+            in_old = old[0].holds(hashes)[code] if old else np.zeros(len(code), bool)
         else:
             in_new = new[k - 2].holds(whole)
             in_old = old[k - 2].holds(whole) if len(old) > k - 2 else np.zeros(len(whole), bool)
-        # alive: starts of (k-1)-word phrases; pair each with the one that starts at the next token
-        nxt = np.searchsorted(alive, alive + 1)
-        has = nxt < len(alive)
-        has[has] = alive[nxt[has]] == alive[has] + 1
-        first = np.flatnonzero(has)
-        first = first[follows[alive[first] + k - 2]]
-        second = nxt[first]
-        keep = in_new[first] & in_new[second]
-        first, second = first[keep], second[keep]
-        last = code[alive[first] + k - 1]
-        counted = counted[first] & counted[second] & in_old[first] & in_old[second]
-        longer = _longer(whole[first], hashes[last])
-        pair, ident = np.unique(ident[first] << 32 | last, return_inverse=True)
-        alive, whole = alive[first], longer
-        fresh = ~counted
-        if fresh.any():
-            n = np.bincount(ident[fresh], minlength=len(pair))
-            at = np.zeros(len(pair), np.int64)
-            at[ident] = alive
-            met = np.flatnonzero(n)
-            parts = [words.take(pa.array(code[at[met] + j])) for j in range(k)]
-            yield k, pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())), n[met]
+        at, whole, counted = at[in_new], whole[in_new], counted[in_new] & in_old[in_new]
+        first = np.flatnonzero(at[1:] == at[:-1] + 1)
+        first = first[follows[at[first] + k - 2]]
+        counted = counted[first] & counted[first + 1]
+        at = at[first]
+        last = code[at + k - 1]
+        whole = _longer(whole[first], hashes[last])
+        start, hashed = at[~counted], whole[~counted]
+        if len(start):
+            ident = code[start]
+            for j in range(1, k):
+                _, met, ident, n = np.unique(ident << 32 | code[start + j], return_index=True, return_inverse=True,
+                                             return_counts=True)
+            parts = [words.take(pa.array(code[start[met] + j])) for j in range(k)]
+            yield k, pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())), n, hashed[met]
+
+
+def _pack(lang: str, k: int, phrases: pa.Array, n: np.ndarray, hashes: np.ndarray, groups: int) -> dict[str, list]:
+    """The counts of a block as one row a group."""
+    group = ((hashes * _MIX) >> np.uint64(32)).astype(np.int64) % groups
+    order = np.argsort(group, kind="stable")
+    group, n = group[order], n[order].astype("<i8")
+    ended = pc.binary_join_element_wise(phrases.take(pa.array(order)), pa.scalar(b"", pa.large_binary()),
+                                        pa.scalar(b"\n", pa.large_binary()))
+    offsets = np.frombuffer(ended.buffers()[1], np.int64, len(ended) + 1, ended.offset * 8)
+    data = memoryview(ended.buffers()[2])
+    cut = np.flatnonzero(np.diff(group, prepend=-1, append=groups))
+    spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+    return {"lang": [lang] * len(spans), "k": [k] * len(spans), "grp": group[cut[:-1]],
+            "phrases": [bytes(data[offsets[i]:offsets[j]]) for i, j in spans], "counts": [n[i:j].tobytes() for i, j in spans]}
+
+
+def _add_up(rows: pa.Table, least: int) -> pa.Table:
+    """The phrases of one group with their summed counts, at ``least`` or more (all of length 0)."""
+    raw = np.frombuffer(b"".join(rows["phrases"].to_pylist()), np.uint8)
+    n = np.frombuffer(b"".join(rows["counts"].to_pylist()), "<i8")
+    ends = np.flatnonzero(raw == 10)
+    offsets = np.concatenate([[0], ends + 1 - np.arange(1, len(ends) + 1)]).astype(np.int64)
+    entries = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [
+        None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw[raw != 10]))]).dictionary_encode()
+    code = entries.indices.to_numpy(zero_copy_only=False)
+    total = np.zeros(len(entries.dictionary), np.int64)
+    np.add.at(total, code, n)
+    lang, k = rows["lang"][0].as_py(), rows["k"][0].as_py()
+    kept = np.flatnonzero(total >= (least if k else 0))
+    return pa.table({"lang": pa.array([lang] * len(kept), pa.string()), "k": pa.array([k] * len(kept), pa.int32()),
+                     "phrase": entries.dictionary.take(pa.array(kept)).cast(pa.binary()).cast(pa.string()),
+                     "n": pa.array(total[kept], pa.int64())})
 
 
 def _counted(docs: DataFrame, old: list[BitSet], new: list[BitSet], most: int, words_too: bool, least: int,
-             block: int) -> DataFrame:
+             block: int, groups: int) -> DataFrame:
     """Sums of one pass, at ``least`` or more; length 0 holds the number of words."""
     old, new = (docs.sparkSession.sparkContext.broadcast(x) for x in (old, new))
 
-    def run(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict[str, pa.Array]]:
+    def run(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict]:
         for lang, text in _blocks(batches, block):
-            for k, phrases, n in _count_block(lang, text, old.value, new.value, most, words_too):
-                size = len(n)
-                yield {"lang": pa.array([lang], pa.string()).take(pa.array(np.zeros(size, np.int64))),
-                       "k": np.full(size, k, np.int32), "phrase": phrases.cast(pa.binary()).cast(pa.string()), "n": n}
+            for k, phrases, n, hashes in _count_block(lang, text, old.value, new.value, most, words_too):
+                yield _pack(lang, k, phrases, n, hashes, groups)
 
-    found = map_rows(docs, COUNTS, run).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
-    return found.where((F.col("n") >= least) | (F.col("k") == 0))
+    return map_rows(docs, PACKED, run).groupBy("lang", "k", "grp").applyInArrow(lambda t: _add_up(t, least), COUNTS)
 
 
 def _missing(counts: DataFrame, k: int, bits: BitSet) -> pa.Table:
@@ -239,16 +263,20 @@ def frequent_phrases(docs: DataFrame, *, min_count: int = MIN_COUNT, max_words:
     least = max(1, int(lowered * min_count / sample))
     # the sample, length by length
     proposed: list[BitSet] = []
+    groups = 16
     for k in range(1, max_words):
-        found = staged(_counted(drawn, proposed[:-1], proposed, k, k == 1, least, block).where(F.col("k") == k),
-                       f"phrases-sample{k}")
+        found = staged(_counted(drawn, proposed[:-1], proposed, k, k == 1, least, block, groups), f"phrases-sample{k}")
+        if k == 1:
+            words = found.where("k = 0").agg(F.sum("n")).first()[0] or 0
+            groups = max(groups, -(-words * sample // GROUP))
+        found = found.where(F.col("k") == k)
         size = min(most_bits, max(LEAST_BITS, (16 * found.count()).bit_length()))
         proposed.append(_widened(empty := BitSet(size), _missing(found, k, empty)))
     # passes over all documents until no border phrase fails
     old: list[BitSet] = []
     parts: list[DataFrame] = []
     while True:
-        parts.append(staged(_counted(rows, old, proposed, max_words, not parts, min_count, block),
+        parts.append(staged(_counted(rows, old, proposed, max_words, not parts, min_count, block, groups),
                             f"phrases-pass{len(parts)}"))
         failed = [_missing(parts[-1], k, proposed[k - 1]) for k in range(1, max_words)]
         if not any(f.num_rows for f in failed):
