@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearth.functions.exprs import hash_hex, hex_prefix_int
+from hearth.operators.neighbors import k_nearest
 from hearth.operators.ranking import hash_first, hash_rank, join_nullsafe, ordered_cumulative
 
 
@@ -100,3 +101,38 @@ def stratified_holdout(df: DataFrame, test_size: float = 0.05, label: str = "poo
     The seed is required (ledger D19)."""
     r = hash_first(df, list(key), seed, lambda n: F.ceil(n * F.lit(test_size)), by=[*by, label], out="__p")
     return r.withColumn(split_col, F.when(F.col("__p"), "test").otherwise("train")).drop("__p")
+
+
+def smote(df: DataFrame, features: Sequence[str], label: str = "poor", seed: int = 144, k: int = 5, minority=True,
+          key: str = "id") -> DataFrame:
+    """R6 SMOTE: all rows, and as many synthetic minority rows as the majority has more.
+
+    Draw ``i`` takes the minority row of rank ``md5(i || seed) mod n_min + 1``, one of its ``k`` nearest
+    minority rows (by ``md5(i || seed || 'neighbor')``), and a point on the line between them (by
+    ``md5(i || seed || 'gap')``). Neighbours are exact (``neighbors.k_nearest``). Returns ``key, label``, the
+    features as doubles and ``_draw`` (NULL on given rows; a synthetic row has its base row's key).
+    A minority row without neighbours is repeated; rows with a NULL feature are kept and not drawn.
+    """
+    values = [F.col(c).cast("double").alias(c) for c in features]
+    own = df.select(key, label, *values).withColumn("_draw", F.lit(None).cast("long"))
+    rows = own.where(F.col(label) == F.lit(minority)).drop("_draw")
+    for c in features:
+        rows = rows.where(F.col(c).isNotNull() & ~F.isnan(c))
+    n_min, n_maj = rows.count(), df.where(F.col(label) != F.lit(minority)).count()
+    more = n_maj - _class_counts(df, label).get(minority, 0)
+    if more <= 0 or n_min == 0:
+        return own
+    near = k_nearest(rows, features, k, key)
+    near = near.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "neighbor"))).alias("__near"))
+    base = hash_rank(rows, [key], seed, rank_col="__r").join(near, key, "left")
+    draws = df.sparkSession.range(0, more, numPartitions=max(df.sparkSession.sparkContext.defaultParallelism, more // 1_000_000))
+    number = lambda what, digits: hex_prefix_int(hash_hex([F.col("_draw")], f"{seed}{what}"), digits)
+    draws = draws.select(F.col("id").alias("_draw")).select(
+        "_draw", (F.pmod(number("", 15), F.lit(n_min)) + 1).alias("__r"), number("neighbor", 15).alias("__pick"),
+        (number("gap", 8) / F.lit(float(16**8))).alias("__gap"))
+    size = F.coalesce(F.size("__near"), F.lit(0))
+    pick = F.when(size > 0, F.get("__near", F.pmod(F.col("__pick"), F.greatest(size, F.lit(1))).cast("int"))["neighbor"])
+    drawn = draws.join(base, "__r").withColumn("__to", F.coalesce(pick, F.col(key)))
+    ends = rows.select(F.col(key).alias("__to"), *[F.col(c).alias(f"__to_{i}") for i, c in enumerate(features)])
+    moved = [(F.col(c) + F.col("__gap") * (F.col(f"__to_{i}") - F.col(c))).alias(c) for i, c in enumerate(features)]
+    return own.unionByName(drawn.join(ends, "__to").select(key, label, *moved, "_draw"))

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from hearth.operators import encode, joins, metrics, sampling, schema
-from hearth.plans.features import KEYS, build_features
+from hearth.plans.features import KEYS, FeatureFrame, build_features
 from hearth.plans.models import fit_model, label_column, score
 from hearth.plans.recipes import FOLD_SEED, N_FOLDS, Recipe
 from hearth.plans.train import parallel_map, resample
@@ -35,9 +36,25 @@ def check_coverage(hhold_with_sizes: DataFrame) -> None:
         raise CoverageError("no household of the fold has an individual")
 
 
+def fold_households(recipe: Recipe, hhold_train: DataFrame, indiv: DataFrame, k: int = N_FOLDS,
+                    seed: int = FOLD_SEED) -> DataFrame:
+    """A country's households with their size and fold (R3), persisted."""
+    h = hhold_train.where(F.col("country") == recipe.country)
+    ind = schema.rename_columns(schema.drop_columns(indiv, recipe.drop_indiv), recipe.rename_indiv)
+    h = joins.num_indiv(h, ind.select("id"))  # a left join from h: other households' individuals fall away
+    return sampling.stratified_kfold(h, k=k, seed=seed).persist()
+
+
+def fold_features(recipe: Recipe, h: DataFrame, f: int) -> FeatureFrame:
+    """Features of fold ``f``: its own rows are the test part, all others the train part."""
+    part = h.withColumn("_split", F.when(F.col("fold") == f, "test").otherwise("train")).drop("fold")
+    check_coverage(part.where(F.col("_split") == "train"))
+    return build_features(recipe, part, None)
+
+
 def cross_validate(recipe: Recipe, hhold_train: DataFrame, indiv: DataFrame, k: int = N_FOLDS,
                    seed: int = FOLD_SEED, how: str | None = None,
-                   model: dict | None = None, parallel: bool = True) -> DataFrame:
+                   model: dict | Estimator | None = None, parallel: bool = True) -> DataFrame:
     """M10 ``skfCV_*``: stratified k-fold CV of a country's recipe.
 
     Household sizes are counted once (J1) and persisted with the fold column; per fold the
@@ -46,18 +63,12 @@ def cross_validate(recipe: Recipe, hhold_train: DataFrame, indiv: DataFrame, k:
     parity) and a joint vocabulary; the train part is optionally resampled;
     the model is fitted and the validation part scored.
     """
-    h = hhold_train.where(F.col("country") == recipe.country)
-    ind = schema.rename_columns(schema.drop_columns(indiv, recipe.drop_indiv), recipe.rename_indiv)
-    h = joins.num_indiv(h, ind.select("id"))  # a left join from h: other households' individuals fall away
-    h = sampling.stratified_kfold(h, k=k, seed=seed).persist()
-    spec = model or recipe.model
+    h = fold_households(recipe, hhold_train, indiv, k, seed)
 
     def one_fold(f: int) -> DataFrame:
-        part = h.withColumn("_split", F.when(F.col("fold") == f, "test").otherwise("train")).drop("fold")
-        check_coverage(part.where(F.col("_split") == "train"))
-        ff = build_features(recipe, part, None)
+        ff = fold_features(recipe, h, f)
         train = resample(label_column(ff.df.where(F.col("_split") == "train")), how)
-        fitted = fit_model(train, ff.feature_cols, spec, cat_cols=ff.cat_cols)
+        fitted = fit_model(train, ff.feature_cols, model or recipe.model, cat_cols=ff.cat_cols)
         val = score(fitted, ff.df.where(F.col("_split") == "test"))
         rep = metrics.classification_report(val, "poor", "p").withColumn("fold", F.lit(f).cast("long"))
         return rep.withColumn("country", F.lit(recipe.country))
@@ -73,7 +84,7 @@ def cross_validate(recipe: Recipe, hhold_train: DataFrame, indiv: DataFrame, k:
 
 
 def holdout_validate(recipe: Recipe, hhold_train: DataFrame, indiv: DataFrame, test_size: float = 0.05,
-                     seed: int = 0, how: str | None = None, model: dict | None = None) -> DataFrame:
+                     seed: int = 0, how: str | None = None, model: dict | Estimator | None = None) -> DataFrame:
     """M10 holdout form (with or without resampling): one stratified holdout (R5), the
     confusion counts and metrics of the validation part."""
     h = hhold_train.where(F.col("country") == recipe.country)
@@ -93,7 +104,7 @@ def holdout_validate(recipe: Recipe, hhold_train: DataFrame, indiv: DataFrame, t
     return out.sparkSession.createDataFrame(rows, out.schema)
 
 
-def run_cv(df: DataFrame, spec: dict, func: Callable[[DataFrame], DataFrame] | None = None, n_splits: int = 3,
+def run_cv(df: DataFrame, spec: dict | Estimator, func: Callable[[DataFrame], DataFrame] | None = None, n_splits: int = 3,
            how: str | None = "up", categorical: str = "label_encoder", label: str = "poor",
            keys: Sequence[str] = KEYS, parallel: bool = True) -> DataFrame:
     """M11 generic harness ``run_CV``: unshuffled stratified folds (R4) ->

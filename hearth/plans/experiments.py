@@ -2,7 +2,7 @@
 
 * grid search: ``CrossValidator`` over a fold column (R3), so the folds are
   the same stratified, seeded folds as everywhere else;
-* stacking: out-of-fold base-model scores joined on ``id`` -> meta model;
+* stacking: out-of-fold base-model scores, each row scored by its own fold's model -> meta model;
 * adversarial validation: classify train vs test rows; AUC near 0.5 means
   the two come from the same distribution.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 
 from hearth.operators import metrics, sampling, schema
 from hearth.plans.features import FeatureFrame
-from hearth.plans.models import assemble, fit_model, label_column, make_estimator, score, sparse_encoder_stages
+from hearth.plans.models import (assemble, dealt, fit_model, label_column, make_estimator, score, score_routed,
+                                 sparse_encoder_stages)
 from hearth.plans.recipes import FOLD_SEED, N_FOLDS
 from hearth.plans.train import parallel_map
-from hearth.session import checkpoint_root
+from hearth.session import checkpoint_root, written
 
 
-def grid_search(ff: FeatureFrame, spec: dict, grid: Mapping[str, Sequence], k: int = N_FOLDS,
+def grid_search(ff: FeatureFrame, spec: dict | Estimator, grid: Mapping[str, Sequence], k: int = N_FOLDS,
                 seed: int = FOLD_SEED, parallelism: int = 4) -> DataFrame:
     """Mean validation log loss of every parameter combination.
 
@@ -35,9 +36,10 @@ def grid_search(ff: FeatureFrame, spec: dict, grid: Mapping[str, Sequence], k: i
     spark = ff.df.sparkSession
     checkpoint_root(spark)
     train = label_column(ff.df.where(F.col("_split") == "train"))
-    train = sampling.stratified_kfold(train, k=k, seed=seed).persist()
+    train = sampling.stratified_kfold(train, k=k, seed=seed)
     n = train.count()
-    est = make_estimator(spec, n_rows=n)
+    train = dealt(train, n, len(ff.feature_cols) + 8 * len(ff.cat_cols)).persist()
+    est = spec if isinstance(spec, Estimator) else make_estimator(spec, n_rows=n)
     pgb = ParamGridBuilder()
     for name, values in grid.items():
         pgb = pgb.addGrid(est.getParam(name), list(values))
@@ -61,43 +63,60 @@ def grid_search(ff: FeatureFrame, spec: dict, grid: Mapping[str, Sequence], k: i
 
 def stack(ff: FeatureFrame, base_specs: Sequence[dict], meta_spec: dict | None = None, k: int = N_FOLDS,
           seed: int = FOLD_SEED) -> DataFrame:
-    """Stacking. Each base model's out-of-fold scores on the train rows
-    (k fits) train the meta model; base models refitted on all train rows
-    score the test rows, and the meta model combines them. Returns
-    ``(id, p)`` for the test rows."""
+    """M14 for one country: ``(id, p)`` of the test rows (see ``stack_all``)."""
+    return stack_all({"": ff}, base_specs, meta_spec, k, seed).drop("country")
+
+
+def stack_all(frames: Mapping[str, FeatureFrame], base_specs: Sequence[dict], meta_spec: dict | None = None,
+              k: int = N_FOLDS, seed: int = FOLD_SEED) -> DataFrame:
+    """Stacking, for all countries side by side. Each base model is fitted once without
+    each fold and once on all train rows; every fit of every country is one item of a
+    single parallel run. Then each row is scored in one projection, train rows by
+    the model that has not seen their fold, test rows by the full one; that written table
+    trains and feeds the country's meta model. Returns ``(country, id, p)``."""
     meta_spec = meta_spec or {"kind": "logistic", "C": 1.0}
-    train = label_column(ff.df.where(F.col("_split") == "train"))
-    folds = sampling.stratified_kfold(train, k=k, seed=seed).persist()
-    test = ff.df.where(F.col("_split") == "test")
-    meta_train = folds.select("id", "label")
-    meta_test = test.select("id")
     names = [f"base_{i}" for i in range(len(base_specs))]
-    # every (base model, fold) fit and every full refit is independent: run them side by side
-    jobs = [(i, f) for i in range(len(base_specs)) for f in [*range(k), None]]
-
-    def fit_one(job):
-        i, f = job
-        rows = folds if f is None else folds.where(F.col("fold") != f)
-        return fit_model(rows, ff.feature_cols, base_specs[i], cat_cols=ff.cat_cols)
-
-    fitted = dict(zip(jobs, parallel_map(fit_one, jobs)))
-    for i, name in enumerate(names):
-        parts = [score(fitted[(i, f)], folds.where(F.col("fold") == f)).select("id", F.col("p").alias(name))
-                 for f in range(k)]
-        meta_train = meta_train.join(schema.union_frames(parts), "id")
-        meta_test = meta_test.join(score(fitted[(i, None)], test).select("id", F.col("p").alias(name)), "id")
-    meta = fit_model(meta_train, names, meta_spec)
-    out = score(meta, meta_test).select("id", "p")
-    folds.unpersist()
-    return out
-
-
-def adversarial_validation(ff: FeatureFrame, spec: dict, test_size: float = 0.25, seed: int = 0) -> DataFrame:
+
+    def with_folds(ff: FeatureFrame) -> DataFrame:
+        train = sampling.stratified_kfold(label_column(ff.df.where(F.col("_split") == "train")), k=k, seed=seed)
+        test = label_column(ff.df.where(F.col("_split") == "test")).withColumn("fold", F.lit(None).cast("int"))
+        return train.unionByName(test).persist()
+
+    rows = {c: with_folds(ff) for c, ff in frames.items()}
+    try:
+        jobs = [(c, i, f) for i in range(len(base_specs)) for f in [*range(k), None] for c in frames]
+
+        def fit_one(job):
+            c, i, f = job
+            seen = rows[c].where(F.col("fold").isNotNull() if f is None else F.col("fold") != f)
+            return fit_model(seen, frames[c].feature_cols, base_specs[i], cat_cols=frames[c].cat_cols)
+
+        fitted = dict(zip(jobs, parallel_map(fit_one, jobs)))
+
+        def meta(c: str) -> DataFrame:
+            d = rows[c]
+            for i, name in enumerate(names):
+                d = score_routed({f: fitted[c, i, f] for f in [*range(k), None]}, d, F.col("fold"), name)
+            scored = written(d.select("id", "label", "fold", *names), "stacked")
+            m = fit_model(scored.where(F.col("fold").isNotNull()), names, meta_spec)
+            out = score(m, scored.where(F.col("fold").isNull()))
+            return out.select(F.lit(c).alias("country"), "id", "p")
+
+        return schema.union_frames(parallel_map(meta, frames))
+    finally:
+        for d in rows.values():
+            d.unpersist()
+
+
+def adversarial_validation(ff: FeatureFrame, spec: dict | Estimator, test_size: float = 0.25, seed: int = 0) -> DataFrame:
     """Can a model tell train rows from test rows? Returns the holdout
     ROC AUC of that classifier (0.5 = indistinguishable)."""
     d = ff.df.withColumn("is_test", F.col("_split") == "test").drop("poor")
     d = sampling.stratified_holdout(d, test_size=test_size, label="is_test", seed=seed, split_col="_adv")
-    d = d.withColumn("label", F.col("is_test").cast("double"))
-    m = fit_model(d.where(F.col("_adv") == "train"), ff.feature_cols, spec, cat_cols=ff.cat_cols)
-    s = score(m, d.where(F.col("_adv") == "test"))
+    d = d.withColumn("label", F.col("is_test").cast("double")).persist()
+    try:
+        m = fit_model(d.where(F.col("_adv") == "train"), ff.feature_cols, spec, cat_cols=ff.cat_cols)
+        s = written(score(m, d.where(F.col("_adv") == "test")).select("is_test", "p"), "adversarial")
+    finally:
+        d.unpersist()
     return metrics.roc_auc(s, "is_test", "p")

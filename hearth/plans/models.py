@@ -9,22 +9,31 @@ and ``reg_lambda`` have no counterpart and are ignored. Node-id caching is
 used only for deep trees (> 8 levels), where it pays off; shallow trees are
 cheaper to ship to the executors. Every 10 iterations the boosting state is
 checkpointed into the shared folder, which bounds the lineage of 400-tree fits.
+
+Training rows are dealt by a hash of their id into as many partitions as their
+bytes need, and sorted inside. A fit's jobs (one a tree level) then have one task
+on small data, and bags, which Spark ML draws by partition, are the same for
+every layout of the input.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearth.functions.exprs import logistic, prob_of_class
 from hearth.session import checkpoint_root
 
+#: Bytes of training values (8 each) that a partition of a fit holds.
+PARTITION_BYTES = 32 << 20
+
 
 def make_estimator(spec: dict, n_rows: int | None = None, features: str = "features",
                    label: str = "label") -> Estimator:
@@ -79,6 +88,16 @@ def sparse_encoder_stages(cat_cols: Sequence[str], num_cols: Sequence[str], out:
     return stages
 
 
+def dealt(train: DataFrame, n_rows: int, n_values: int, key: Sequence[str] = ("id", "_draw")) -> DataFrame:
+    """``train`` in partitions of about ``PARTITION_BYTES``, rows placed by a hash of
+    ``key`` and sorted by it: the same partitions whatever the layout of the input. Frames without the key columns are left as they are."""
+    by = [c for c in key if c in train.columns]
+    if not by:
+        return train
+    parts = max(1, math.ceil(n_rows * max(1, n_values) * 8 / PARTITION_BYTES))
+    return train.repartition(parts, *by).sortWithinPartitions(*by)
+
+
 def fit_model(train: DataFrame, feature_cols: Sequence[str], spec: dict | Estimator, label: str = "label",
               cat_cols: Sequence[str] = ()) -> PipelineModel:
     """Fit ``assemble -> classifier`` on prepared training rows (with the
@@ -86,24 +105,27 @@ def fit_model(train: DataFrame, feature_cols: Sequence[str], spec: dict | Estima
     ``spec`` is a model spec (see ``make_estimator``) or any ``pyspark.ml``
     classifier reading ``features``/``label`` (the model plug-in surface).
 
-    The training frame is persisted for the iterative fit and the shared
-    checkpoint folder is registered so long tree lineages are cut.
+    The rows are counted, dealt (``dealt``), checkpointed to the shared folder and persisted:
+    each of the fit's many small jobs then ships a short lineage instead of the whole
+    feature plan, and a lost executor's rows come back from files.
     """
     checkpoint_root(train.sparkSession)
     owned = not train.is_cached  # a frame the caller persisted stays persisted
-    cached = train.persist() if owned else train
+    rows = train.persist() if owned else train
+    n = rows.count()
+    if not isinstance(spec, Estimator):  # a caller's classifier may read other columns as well
+        keys = [c for c in ("id", "_draw") if c in train.columns]
+        train = train.select(*dict.fromkeys([*keys, *cat_cols, *feature_cols, label]))
+    cached = dealt(train, n, len(feature_cols) + 8 * len(cat_cols)).checkpoint().persist()
+    if owned:
+        rows.unpersist()
     try:
-        if isinstance(spec, Estimator):
-            est = spec
-        else:
-            n = cached.count() if spec.get("kind") == "logistic" else None
-            est = make_estimator(spec, n_rows=n, label=label)
+        est = spec if isinstance(spec, Estimator) else make_estimator(spec, n_rows=n, label=label)
         front = sparse_encoder_stages(cat_cols, feature_cols) if cat_cols else [assemble(feature_cols)]
         pipe = Pipeline(stages=[*front, est])
         return pipe.fit(cached)
     finally:
-        if owned:
-            cached.unpersist()
+        cached.unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:
@@ -118,5 +140,29 @@ def score(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:
         "features", "rawPrediction", "prediction")
 
 
+def score_routed(models: Mapping[object, PipelineModel], df: DataFrame, route: Column, out: str) -> DataFrame:
+    """``out``: P(class 1) by the model whose key equals ``route``, the model under ``None`` for
+    rows whose ``route`` is null. One projection: a row is scored by its own model only."""
+    columns = df.columns
+    chosen = None
+    for i, (key, model) in enumerate(models.items()):
+        *front, last = model.stages
+        last = last.copy()
+        name = f"__score{i}"
+        read = next((p for p in ("probabilityCol", "rawPredictionCol") if last.hasParam(p)), None)
+        probability = read != "rawPredictionCol"
+        if read:  # only the column that is read, straight from the features
+            for param in ("rawPredictionCol", "predictionCol", "probabilityCol"):
+                if last.hasParam(param):
+                    last.set(last.getParam(param), name if param == read else "")
+        scored = PipelineModel([*front, last]).transform(df)
+        df = scored.select(*columns, F.col(name if read else "probability").alias(name))
+        columns = [*columns, name]
+        value = prob_of_class(name, 1) if probability else logistic(prob_of_class(name, 1))
+        hit = route.isNull() if key is None else route == F.lit(key)
+        chosen = F.when(hit, value) if chosen is None else chosen.when(hit, value)
+    return df.withColumn(out, chosen).drop(*(c for c in columns if c.startswith("__score")))
+
+
 def label_column(df: DataFrame, target: str = "poor", label: str = "label") -> DataFrame:
     return df.withColumn(label, F.col(target).cast("double"))

@@ -98,3 +98,66 @@ def test_any_estimator_plugs_in(spark):
         "num_indiv", F.col("num_indiv").cast("double"))
     m = fit_model(t, ["num_indiv"], NaiveBayes(featuresCol="features", labelCol="label"))
     assert score(m, t).where((F.col("p") < 0) | (F.col("p") > 1)).count() == 0
+
+
+def test_fits_do_not_depend_on_the_input_layout(spark):
+    """Bags are drawn by partition: dealt rows give the same partitions from any layout."""
+    from hearth.plans import models
+    h, i = households(spark, SF_SMALL), individuals(spark, SF_SMALL)
+    from hearth.plans.features import build_features
+    ff = build_features(standin_recipes()["A"], h, i)
+    d = models.label_column(ff.df.where(F.col("_split") == "train"))
+    spec = {"kind": "gbt", "n_estimators": 3, "max_depth": 3, "subsample": 0.5, "seed": 144}
+    out = []
+    for parts in (3, 17):
+        m = models.fit_model(d.repartition(parts), ff.feature_cols, spec)
+        out.append({r.id: r.p for r in models.score(m, ff.df).select("id", "p").collect()})
+    assert out[0] == out[1]
+    many = models.dealt(d.repartition(5), models.PARTITION_BYTES, 3)  # as if there were more rows
+    assert many.rdd.getNumPartitions() == 24
+
+
+def test_routed_scores_equal_each_models_own(spark):
+    from hearth.plans import models
+    from hearth.plans.features import build_features
+    from hearth.plans.rates import CategoryRate
+    h, i = households(spark, SF_MID), individuals(spark, SF_MID)
+    r = standin_recipes()["A"]
+    r.sparse = True
+    ff = build_features(r, h, i)
+    d = models.label_column(ff.df).withColumn("fold", F.when(F.col("_split") == "train", F.col("id") % 2).cast("int"))
+    for spec in ({"kind": "gbt", "n_estimators": 2, "max_depth": 2}, {"kind": "linear_svc"}, CategoryRate("c_nationkey")):
+        fitted = {f: models.fit_model(d.where(F.col("fold") != f), ff.feature_cols, spec, cat_cols=ff.cat_cols) for f in (0, 1)}
+        fitted[None] = models.fit_model(d.where("fold is not null"), ff.feature_cols, spec, cat_cols=ff.cat_cols)
+        routed = models.score_routed(fitted, d, F.col("fold"), "s")
+        assert set(routed.columns) == {*d.columns, "s"}
+        got = {x.id: x.s for x in routed.select("id", "s").collect()}
+        for f, m in fitted.items():
+            own = models.score(m, d.where("fold is null" if f is None else f"fold = {f}")).select("id", "p").collect()
+            assert own and all(abs(got[x.id] - x.p) < 1e-12 for x in own)
+
+
+def test_stacking_scores_rows_in_one_projection(spark):
+    """No join on id between the feature frame and the base models' scores."""
+    from hearth.plans import models
+    from hearth.plans.features import build_features
+    from hearth.session import written
+    from tests.test_plans import _plan
+    h, i = households(spark, SF_SMALL), individuals(spark, SF_SMALL)
+    ff = build_features(standin_recipes()["A"], h, i)
+    d = written(models.label_column(ff.df).withColumn("fold", F.when(F.col("_split") == "train", F.col("id") % 2).cast("int")), "t")
+    spec = {"kind": "gbt", "n_estimators": 2, "max_depth": 2}
+    fitted = {f: models.fit_model(d.where("fold is not null"), ff.feature_cols, spec) for f in (0, 1, None)}
+    plan = _plan(models.score_routed(fitted, d, F.col("fold"), "s"))
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_logistic_optimality_is_measured_on_the_rows(spark):
+    from hearth.plans import certify, models
+    rows = spark.createDataFrame([(i, float(i % 7), float(i % 3), float(i % 5 < 2)) for i in range(200)],
+                                 "id long, a double, b double, label double")
+    m = models.fit_model(rows, ["a", "b"], {"kind": "logistic", "C": 1.0})
+    n, g = certify.largest_gradient(m, rows)
+    assert n == 200 and g < certify.TOLERANCE
+    _, g = certify.largest_gradient(m, rows.where("a > 2"))  # not the rows it was fitted on
+    assert g > certify.TOLERANCE
