@@ -32,9 +32,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def worker_store() -> dict:
-    """A dict that lives as long as the Python worker."""
-    return sys.modules.setdefault("_hearth_llm_store", types.ModuleType("_hearth_llm_store")).__dict__
+def worker_store(owner: str) -> dict:
+    """A dict of an operator that lives in the Python worker until another operator asks for
+    its own: workers are reused by the stages of a pipeline, and one stage's tables go with it."""
+    store = sys.modules.setdefault("_hearth_llm_store", types.ModuleType("_hearth_llm_store"))
+    if store.__dict__.get("owner") != owner:
+        store.owner, store.kept = owner, {}
+    return store.kept
 
 
 def crc_of(doc_id: int | None) -> int | None:

@@ -11,15 +11,22 @@ Registers are banded; texts that share a band
 are candidates, and candidates are verified by the exact Jaccard similarity of
 their 5-word shingle sets.
 
-Scale and skew: equal texts are one node, found by a 128-bit key. A bucket
-first links what few pairs can link: every member is compared with the bucket's
-middle, the text that shares buckets with most others, and where a bucket still
-holds several classes, ``ROUNDS`` further rounds draw ``DRAWS`` of its classes and
-compare all its members with a member of each. Then every pair of a bucket that is
-still of different classes is compared, so no candidate link is missed; the pairs
-grow with the square of a bucket only where its texts are truly of many classes,
-and are dealt by band and part of the bucket. Only texts of candidates are kept for verification, one per node, and a pair's texts
-meet by joins on keys, never gathered by group.
+Scale and skew: equal texts are one node, found by a 128-bit key. Every member of a
+bucket is compared with the bucket's anchor, its text that shares buckets with most
+others; texts with a common anchor form a group. Where a group still holds several
+classes, rounds draw ``DRAWS`` of its classes and compare all members with a member
+of each, as long as that links. Then every pair of a group that could still link two
+classes is compared, so no candidate link is missed: in groups of up to ``FEW`` members
+all pairs of different classes, in larger ones those whose differences from the anchor
+overlap enough. Let da be the set difference of a and the anchor: a and b differ
+in |da| + |db| - 2 |da & db| shingles and link if that is at most (|a| + |b|) / 9, so
+they must share (s(a) + s(b)) / 2 elements of da and db, with s(x) = |dx| - |x| / 9.
+(Where that is not above 0 both link to the anchor.) With the rarest elements of
+a group first, two such sets meet within |a| / 9 - (s(b) - s(a)) / 2 + 1 and |b| / 9 +
+(s(b) - s(a)) / 2 + 1 elements. Near copies whose edits are their own share no element that
+early, so a large family just under the threshold makes few pairs. Only texts of
+candidates are kept for verification, one per node, and a pair's texts meet by joins on
+keys, never gathered by group.
 
 Defined cases: equal texts share a class, null counts as empty. Texts without
 words have no shingles and no other links; texts of 1 to 4 words have one
@@ -33,18 +40,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from hearth.llm.common import staged, text_key
+from hearth.llm.common import staged, text_key, worker_store
 from hearth.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
-DRAWS, ROUNDS = 3, 2
-PART = 256  # members of a bucket in one part when all its open pairs are made
+DRAWS, ROUNDS = 3, 6
+PROGRESS = 0.02  # a round that links a smaller share of its pairs is the last
+FEW = 64  # members of a group whose pairs of different classes are all compared
 FEW_PAIRS = 200_000  # of two 16-byte keys and two labels each: at most some 16 MB
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _KEPT_WORDS = 300_000
@@ -135,6 +143,7 @@ def band_hashes(text: str | None, words: WordHashes) -> np.ndarray:
 
 @F.pandas_udf(ArrayType(LongType()))
 def bands_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    worker_store("near-duplicates")
     words = WordHashes()
     for batch in batches:
         yield pd.Series([band_hashes(t, words) for t in batch], dtype=object)
@@ -151,6 +160,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 @F.pandas_udf(DoubleType())
 def similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Exact shingle Jaccard of two texts; the second one's set is kept while it repeats."""
+    worker_store("near-duplicates")
     words, last, kept = WordHashes(), None, np.zeros(0, np.uint64)
     for left, right in batches:
         out = []
@@ -179,19 +189,68 @@ def _verified(pairs: DataFrame, texts: DataFrame, few: bool = False) -> DataFram
     return left.join(right, "centre").where(similarity("_a", "_b") >= SIMILARITY).select(*pairs.columns)
 
 
-def _open_pairs(rows: DataFrame) -> DataFrame:
-    """All distinct pairs ``(member, centre)`` of ``rows(band, key, component)`` that share a
-    band and not the component. A bucket's members are dealt to parts and meet the whole
-    bucket there, so a large bucket is many join keys."""
-    parts = (rows.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where(F.col("lo") != F.col("hi")).select("band", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
-    dealt = rows.join(parts, "band")
-    left = dealt.select("band", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"),
-                        F.col("key").alias("member"), F.col("component").alias("_member"))
-    right = dealt.select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-                         F.col("key").alias("centre"), F.col("component").alias("_centre"))
-    met = left.join(right, ["band", "part"]).where((F.col("member") > F.col("centre")) & (F.col("_member") != F.col("_centre")))
-    return met.select("member", "centre").distinct()
+@F.pandas_udf(StructType([StructField("n", IntegerType()), StructField("delta", ArrayType(LongType()))]))
+def difference(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Size of a text's shingle set, and the shingles that only one of it and its anchor has."""
+    words, last, kept = WordHashes(), None, np.zeros(0, np.uint64)
+    for left, right in batches:
+        n, delta = [], []
+        for a, b in zip(left, right, strict=True):
+            if b != last or last is None:
+                last, kept = b, np.unique(words.shingles(b))
+            own = np.unique(words.shingles(a))
+            n.append(len(own))
+            delta.append(np.setxor1d(own, kept, assume_unique=True).view(np.int64))
+        yield pd.DataFrame({"n": n, "delta": pd.Series(delta, dtype=object)})
+
+
+def _all_pairs(rows: DataFrame) -> DataFrame:
+    """All pairs of different classes of ``rows(anchor, key, component)`` that share an anchor."""
+    other = rows.select("anchor", F.col("key").alias("centre"), F.col("component").alias("_centre"))
+    met = rows.join(other, "anchor").where((F.col("key") > F.col("centre")) & (F.col("component") != F.col("_centre")))
+    return met.select(F.col("key").alias("member"), "centre")
+
+
+def _overlapping_pairs(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs of different classes of ``rows(anchor, key, component)`` whose differences from their
+    anchor share an element as early as those of a link must."""
+    own = texts.withColumnRenamed("text", "_a").join(rows, "key")
+    anchor = texts.withColumnsRenamed({"key": "anchor", "text": "_b"}).join(rows.select("anchor").distinct(), "anchor")
+    apart = staged(own.join(anchor, "anchor").select("anchor", "key", "component", difference("_a", "_b").alias("d"))
+                   .select("anchor", "key", "component", "d.*"), "differences")
+    each = apart.select("anchor", "key", F.explode("delta").alias("e"))
+    often = each.groupBy("anchor", "e").agg(F.count("*").alias("f")).where(F.col("f") > 1)
+    # elements of one text alone come first and meet nothing; the others follow, rarest first
+    member = Window.partitionBy("anchor", "key")
+    shared = each.join(often, ["anchor", "e"]).select(
+        "anchor", "key", "e", F.row_number().over(member.orderBy("f", "e")).alias("at"), F.count("*").over(member).alias("many"))
+    size = apart.select("anchor", "key", "component", "n", F.size("delta").alias("apart"),
+                        (F.size("delta") - F.col("n") / 9).alias("s"))
+    # a link's partner has at most 1.25 n shingles: more than n / 4 + 1 elements are never looked at
+    ranked = (shared.join(size, ["anchor", "key"]).withColumn("at", F.col("at") + F.col("apart") - F.col("many"))
+              .where(F.col("at") <= F.col("n") / 4 + 2).drop("many", "apart"))
+    ranked = staged(ranked, "ranked")
+    lower = ranked.where(F.col("at") <= F.col("n") / 9 + 2).select(
+        "anchor", "e", *[F.col(c).alias(f"_{c}") for c in ("key", "component", "n", "s", "at")])
+    half = (F.col("s") - F.col("_s")) / 2
+    met = ranked.join(lower, ["anchor", "e"]).where(
+        (F.col("component") != F.col("_component"))
+        & ((F.col("_s") < F.col("s")) | ((F.col("_s") == F.col("s")) & (F.col("_key") < F.col("key"))))
+        & (5 * F.least("n", "_n") >= 4 * F.greatest("n", "_n"))
+        & (F.col("at") <= F.col("n") / 9 + half + 2) & (F.col("_at") <= F.col("_n") / 9 - half + 2))
+    return met.select(F.greatest("key", "_key").alias("member"), F.least("key", "_key").alias("centre"))
+
+
+def _open_pairs(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``(member, centre)`` of different classes of ``rows(anchor, key, component)`` that may
+    still link and share an anchor."""
+    size = rows.groupBy("anchor").agg(F.count("*").alias("many"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    rows = staged(rows.join(size.where(F.col("lo") != F.col("hi")).drop("lo", "hi"), "anchor"), "open")
+    small, large = rows.where(F.col("many") <= FEW).drop("many"), rows.where(F.col("many") > FEW).drop("many")
+    pairs = _all_pairs(small)
+    if not large.isEmpty():
+        pairs = pairs.union(_overlapping_pairs(large, texts))
+    return pairs.distinct()
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -216,21 +275,21 @@ def classes(rows: DataFrame, docs: DataFrame) -> DataFrame:
     texts = staged(docs.select(text_key(F.col("text")).alias("key"), "text").groupBy("key")
                    .agg(F.first("text").alias("text"))
                    .join(shared.select("key").distinct(), "key", "left_semi"), "texts")
-    tested = staged(_pairs(shared.join(middle, "band"), "middle"), "pairs")
+    grouped = staged(shared.join(middle, "band").select(F.col("middle").alias("anchor"), "key").distinct(), "grouped")
+    tested = staged(_pairs(grouped, "anchor"), "pairs")
     links = staged(_verified(tested, texts).select(F.col("member").alias("a"), F.col("centre").alias("b")), "links")
     found = components(links).withColumnsRenamed({"node": "key"})
-    open_rows = shared.select("band", "key").join(found, "key", "left").select(
-        "band", "key", F.coalesce("component", "key").alias("component"))
+    open_rows = grouped.join(found, "key", "left").select("anchor", "key", F.coalesce("component", "key").alias("component"))
     turn = 0
     while turn < ROUNDS:
         # a draw takes a class at random, then a member of it: a lone text faces all of a large class
         draws = [F.min(F.struct(F.xxhash64(F.lit(DRAWS * turn + i), "component").alias("c"),
                                 F.xxhash64(F.lit(DRAWS * turn + i), "key").alias("h"), "key", "component")).alias(f"d{i}")
                  for i in range(DRAWS)]
-        mixed = (open_rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *draws)
-                 .where(F.col("lo") != F.col("hi")).select("band", F.array(*[f"d{i}" for i in range(DRAWS)]).alias("draws")))
-        # buckets of one class are done; the others go on with fewer rows each round
-        open_rows = staged(open_rows.join(mixed, "band"), "open")
+        mixed = (open_rows.groupBy("anchor").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *draws)
+                 .where(F.col("lo") != F.col("hi")).select("anchor", F.array(*[f"d{i}" for i in range(DRAWS)]).alias("draws")))
+        # groups of one class are done; the others go on with fewer rows each round
+        open_rows = staged(open_rows.join(mixed, "anchor"), "open")
         met = open_rows.select("key", "component", F.explode("draws").alias("d")).where(
             F.col("component") != F.col("d.component"))
         ahead = F.col("key") > F.col("d.key")  # a pair's lesser key is its centre
@@ -238,23 +297,26 @@ def classes(rows: DataFrame, docs: DataFrame) -> DataFrame:
             (F.col("key"), F.col("d.key"), "member"), (F.col("component"), F.col("d.component"), "_member"),
             (F.col("d.key"), F.col("key"), "centre"), (F.col("d.component"), F.col("component"), "_centre"))]).distinct()
         fresh = staged(fresh.join(tested, ["member", "centre"], "left_anti"), "pairs")
-        few = fresh.count() <= FEW_PAIRS
+        compared = fresh.count()
+        few = compared <= FEW_PAIRS
         new = staged(_verified(fresh, texts, few), "links")
         tested = tested.union(fresh.select("member", "centre"))
-        if new.isEmpty():
-            break
-        merged = components(new.select(F.col("_member").alias("a"), F.col("_centre").alias("b")))
-        merged = merged.select(F.col("node").alias("component"), F.col("component").alias("now"))
-        open_rows = open_rows.select("band", "key", "component").join(
-            F.broadcast(merged) if few else merged, "component", "left").select(
-            "band", "key", F.coalesce("now", "component").alias("component"))
         turn += 1
-        links = links.union(new.select(F.col("member").alias("a"), F.col("centre").alias("b")))
-    last = staged(_open_pairs(open_rows).join(tested, ["member", "centre"], "left_anti"), "pairs")
+        linked = new.count()
+        if linked:
+            merged = components(new.select(F.col("_member").alias("a"), F.col("_centre").alias("b")))
+            merged = merged.select(F.col("node").alias("component"), F.col("component").alias("now"))
+            open_rows = open_rows.select("anchor", "key", "component").join(
+                F.broadcast(merged) if few else merged, "component", "left").select(
+                "anchor", "key", F.coalesce("now", "component").alias("component"))
+            links = links.union(new.select(F.col("member").alias("a"), F.col("centre").alias("b")))
+        if linked <= PROGRESS * compared:
+            break
+    open_rows = open_rows.select("anchor", "key", "component")
+    last = staged(_open_pairs(open_rows, texts).join(tested, ["member", "centre"], "left_anti"), "pairs")
     new = staged(_verified(last, texts, last.count() <= FEW_PAIRS), "links")
     links = links.union(new.select(F.col("member").alias("a"), F.col("centre").alias("b")))
-    if turn or not new.isEmpty():
-        found = components(links).withColumnsRenamed({"node": "key"})
+    found = components(links).withColumnsRenamed({"node": "key"})
     return nodes.select("key", "doc_id").join(found, "key", "left").select(
         "key", "doc_id", F.coalesce("component", "key").alias("class_key"))
 

@@ -66,7 +66,7 @@ class ByteBpe:
     @classmethod
     def of(cls, path: str) -> ByteBpe:
         """The worker's one instance for ``path``."""
-        store = worker_store()
+        store = worker_store("tokens")
         return store.get(path) or store.setdefault(path, cls(path))
 
     def raw(self, text: str) -> bytes:

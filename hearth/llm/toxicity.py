@@ -315,7 +315,7 @@ class Evidence:
 
     def table(self) -> np.ndarray:
         """``SYMBOLS ** ORDER`` numbers, kept by the worker (those of three models at most)."""
-        kept = worker_store().setdefault("toxicity", {})
+        kept = worker_store("toxicity").setdefault("tables", {})
         if self.name not in kept:
             grams, seen, rest = self.parts.value
             full = np.repeat(rest, SYMBOLS)
@@ -352,7 +352,7 @@ class Words:
 
     def values(self, words: set[str]) -> dict[str, float]:
         """The evidence of at least these words; a bounded number is kept by the worker."""
-        stores = worker_store().setdefault("toxic words", {})
+        stores = worker_store("toxicity").setdefault("words", {})
         while len(stores) > 2 and self.name not in stores:
             stores.pop(next(iter(stores)))
         kept = stores.setdefault(self.name, {})

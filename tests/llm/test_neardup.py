@@ -142,3 +142,50 @@ def test_repeated_passages_keep_candidates():
         rest, passage = (" ".join(f"{c}{k}_{i}" for i in range(n)) for c, n in (("a", 300), ("b", 100)))
         once, often = f"{passage} {passage} {rest}", " ".join([passage] * 300 + [rest])
         assert len(set(neardup.band_hashes(once, words)) & set(neardup.band_hashes(often, words))) >= neardup.BANDS
+
+
+def _family(n, edits, seed, shared=0, vocabulary=0):
+    """Copies of one text, each with ``edits`` words replaced by words of its own (or of a small vocabulary),
+    the first ``shared`` replacements the same in all of a third of them."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(300)]
+    for k in range(n):
+        words = list(base)
+        for j, at in enumerate(rng.choice(300, edits, replace=False)):
+            words[at] = f"v{rng.integers(vocabulary)}" if vocabulary else f"u{k}_{j}"
+        if k % 3 == 0:
+            words[:shared] = [f"s{i}" for i in range(shared)]
+        yield k, " ".join(words)
+
+
+def test_open_pairs_hold_every_link(spark):
+    """Overlapping differences miss no link between texts of different classes."""
+    rows = [*_family(60, 3, 1), *((100 + k, t) for k, t in _family(60, 3, 2, 30)), *((200 + k, t) for k, t in _family(50, 4, 3, 0, 3)),
+            *((300 + k, " ".join(f"z{k % 9}_{i}" for i in range(100 + k))) for k in range(40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = docs.select(neardup.text_key(F.col("text")).alias("key"), "text").distinct()
+    anchor = texts.orderBy("key").first().key
+    open_rows = texts.select(F.lit(anchor).alias("anchor"), "key", F.col("key").alias("component"))
+    got = {frozenset((bytes(r.member), bytes(r.centre))) for r in neardup._overlapping_pairs(open_rows, texts).collect()}
+    words = neardup.WordHashes()
+    sets = {bytes(r.key): np.unique(words.shingles(r.text)) for r in texts.collect()}
+    own = sets[bytes(anchor)]
+    keys = sorted(sets)
+    links = {frozenset((a, b)) for i, a in enumerate(keys) for b in keys[:i] if neardup.jaccard(sets[a], sets[b]) >= 0.8}
+    by_anchor = {k for k in keys if k != bytes(anchor) and neardup.jaccard(sets[k], own) >= 0.8}
+    # a pair may be left out only if both link to the anchor
+    assert len(links) > 500 and all(p in got or p <= by_anchor | {bytes(anchor)} for p in links)
+
+
+def test_families_under_the_threshold_make_few_pairs(spark):
+    """Copies of similarity about 0.75 with edits of their own: far fewer pairs than all."""
+    rows = list(_family(400, 9, 7))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = docs.select(neardup.text_key(F.col("text")).alias("key"), "text")
+    anchor = texts.orderBy("key").first().key
+    open_rows = texts.select(F.lit(anchor).alias("anchor"), "key", F.col("key").alias("component"))
+    assert neardup._overlapping_pairs(open_rows, texts).distinct().count() < 0.05 * 400 * 399 / 2
+    got = {}
+    for r in neardup.near_duplicates(docs).collect():
+        got.setdefault(r.class_id, []).append(r.doc_id)
+    assert sorted(sorted(v) for v in got.values()) == brute_classes(rows)
