@@ -134,6 +134,22 @@ kst AS (SELECT c."column", max(abs(cp / tot1 - cq / tot0)) AS ks FROM c JOIN rng
 SELECT ov."column", ov.overlap, kst.ks FROM ov JOIN kst USING ("column")"""
 
 
+#: A hundred numeric columns of the order lines.
+_WIDE = {f"x{i}": f"(l_quantity * {i + 1}) % {7 + i} + l_discount * {i % 5} + l_extendedprice * {i % 3} / 1000" for i in range(100)}
+
+
+@query("a9_correlation_wide", "WITH w AS (SELECT " + ", ".join(
+    f"CAST({e} AS DOUBLE) AS {c}" for c, e in _WIDE.items()) + " FROM lineitem),\nr AS (SELECT " + ", ".join(
+    f"corr(x{i}, x{j}) AS c{i}_{j}" for i in range(100) for j in range(i + 1, 100)) + " FROM w)\n"
+    "SELECT split_part(name, '_', 1) AS col_a, split_part(name, '_', 2) AS col_b, corr FROM (SELECT "
+    "'x' || replace(substr(name, 2), '_', '_x') AS name, corr FROM (UNPIVOT r ON COLUMNS(*) INTO NAME name VALUE corr))",
+    round_cols=["corr"])
+def a9_wide(spark, sf):
+    """A9 over a hundred columns: all pairs from one Gram matrix, added up on the JVM."""
+    li = tables.read_table(spark, sf, "lineitem").selectExpr(*[f"CAST({e} AS DOUBLE) AS {c}" for c, e in _WIDE.items()])
+    return profile.correlation(li, list(_WIDE), method="matrix")
+
+
 @query("a10_class_overlap", _OVERLAP_SQL, round_cols=["overlap", "ks"])
 def a10(spark, sf):
     """A10: class separation per feature: histogram overlap and exact KS."""
@@ -450,6 +466,44 @@ def e4_long(spark, sf):
     return encode.one_hot_long(c, ["name", "segment"])
 
 
+def _name_rows(spark, sf):
+    h = hh(spark, sf).select("id", "_split", "c_nationkey")
+    c = tables.read_table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
+                                                        F.col("c_mktsegment").alias("segment"))
+    return h.join(c, "id")
+
+
+def _places(rows, size):
+    return rows.select("id", F.concat_ws(" ", F.col("places").cast("array<string>")).alias("places"), F.lit(size).cast("long").alias("size"))
+
+
+_NAME_PLACES = f"""WITH {HH},
+r AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, CAST(c_nationkey AS VARCHAR) AS nation FROM customer),
+p AS (SELECT id, dense_rank() OVER (ORDER BY name) - 1 AS n, dense_rank() OVER (ORDER BY segment) - 1 AS s,
+  dense_rank() OVER (ORDER BY nation) - 1 AS k FROM r),
+z AS (SELECT max(n) + 1 AS nn, max(s) + 1 AS ns, max(k) + 1 AS nk FROM p)
+"""
+
+
+@query("e5_joint_encode_names", _NAME_PLACES + """SELECT id, n || ' ' || (nn + s) AS places, CAST(nn + ns AS BIGINT) AS size
+FROM p, z""")
+def e5_names(spark, sf):
+    """E5 without a limit: one vocabulary over train and test rows, a value for nearly every row among them."""
+    d = _name_rows(spark, sf)
+    both = schema.union_frames([d.where(F.col("_split") == s) for s in ("train", "test")])
+    return _places(*encode.one_hot_places(both, ["name", "segment"]))
+
+
+@query("e6_encode_all_but_names", _NAME_PLACES + """
+SELECT id, k || ' ' || (nk + n) || ' ' || (nk + nn + s) AS places, CAST(nk + nn + ns AS BIGINT) AS size FROM p, z""")
+def e6_names(spark, sf):
+    """E6 without a limit: all columns but the keys, numbers included, in one sparse vector; its places."""
+    d = encode.encode_all_but_sparse(_name_rows(spark, sf), [])
+    text = F.col("categories").cast("string")  # (size,[places],[ones])
+    return d.select("id", F.translate(F.regexp_extract(text, r"\[([^\]]*)\]", 1), ",", " ").alias("places"),
+                    F.regexp_extract(text, r"\((\d+),", 1).cast("long").alias("size"))
+
+
 @query("u5_columns_to_encode", f"WITH {HH} SELECT id, country, poor, c_nationkey FROM hh")
 def u5(spark, sf):
     """The columns of one list that another lacks, by name and in order."""

@@ -13,16 +13,18 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.types import (ArrayType, ByteType, DoubleType, IntegerType, NumericType, StringType, StructField,
+                               StructType)
 
 from hearth.functions.exprs import bin_right_closed, hash_hex, hex_prefix_int, safe_ln, stringify
 from hearth.operators.joins import map_lookup
 from hearth.operators.profile import long_form
 from hearth.operators.ranking import attach_grouped, exact_quantile
 from hearth.operators.schema import DEFAULT_KEYS, enforce_cols, string_columns
-from hearth.session import scratch_path
+from hearth.session import written
 
 # Fixed values from the reference: the num_indiv bins of country C (right
 # closed) and their labels, the last one covering (13, 20].
@@ -136,45 +138,104 @@ class Vocabulary:
         return F.create_map(*[x for i, v in enumerate(vals) for x in (F.lit(v), F.lit(i))])
 
 
-def code_table(df: DataFrame, col: str, fit_on: Column | None = None) -> DataFrame:
-    """``(value, code)``: every distinct non-null value of ``col`` and its rank (from 0) in
-    string order, for any number of values.
+def code_table(df: DataFrame, cols: Sequence[str], fit_on: Column | None = None) -> DataFrame:
+    """``(column, value, place, code)``: every distinct non-null value of every column of ``cols``, its
+    ``code``, the rank (from 0) among the column's values in string order, and its ``place`` among all
+    of them, columns in the order given; for any number of columns and values.
 
-    The values are sorted over range partitions and written once to the shared
-    folder; a value's code is its place in its partition plus the sizes of the
-    partitions before (one row a partition)."""
-    values = (_fit_rows(df, fit_on).select(F.col(col).cast("string").alias("value"))
-              .where(F.col("value").isNotNull()).distinct())
-    spark = df.sparkSession
-    path = scratch_path(spark, "codes")
-    values.repartitionByRange("value").select("value", F.spark_partition_id().alias("part")).write.parquet(path)
-    parts = spark.read.parquet(path)
+    All values are sorted over range partitions and written once to the shared folder; a
+    value's place is its rank in its partition plus the sizes of the partitions before (one row
+    a partition), and a column's codes start at its first place (one row a column)."""
+    order = F.create_map(*[F.lit(x) for i, c in enumerate(cols) for x in (c, i)])
+    values = (long_form(_fit_rows(df, fit_on), cols, as_type="string").where(F.col("value").isNotNull())
+              .distinct().withColumn("nth", order[F.col("column")]))
+    sorted_parts = values.repartitionByRange("nth", "value").withColumn("part", F.spark_partition_id())
+    parts = written(sorted_parts, "codes")
     sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("value"))
-    return (parts.withColumn("place", place).join(offsets, "part")
-            .select("value", (F.col("place") - 1 + F.col("offset")).cast("int").alias("code")))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("nth", "value"))
+    placed = (parts.withColumn("rank", rank).join(offsets, "part")
+              .select("column", "value", (F.col("rank") - 1 + F.col("offset")).cast("long").alias("place")))
+    first = placed.groupBy("column").agg(F.min("place").alias("first"))
+    return placed.join(F.broadcast(first), "column").select("column", "value", "place", (F.col("place") - F.col("first")).alias("code"))
 
 
 def label_encode(df: DataFrame, cols: Sequence[str], vocab: Vocabulary | None = None,
                  codes_from: DataFrame | None = None) -> DataFrame:
-    """Each value -> its rank among the sorted distinct values (from 0).
-    Values missing from the vocabulary and NULL become NULL.
+    """Each value -> its rank among the sorted distinct values (from 0), an int (a long
+    where a column has more than 2^31 values). Values missing from the vocabulary and NULL become NULL.
 
-    Codes are joined from :func:`code_table` of ``codes_from`` (default: the frame
-    itself), or looked up in a fitted ``vocab``."""
+    Codes are joined from one :func:`code_table` of ``codes_from`` (default: the frame
+    itself) for all columns, or looked up in a fitted ``vocab``."""
     if vocab is not None:
         return df.select(*[
             F.element_at(vocab.codes(c), F.col(c).cast("string")).alias(c) if c in cols else F.col(c)
             for c in df.columns])
+    codes = written(code_table(df if codes_from is None else codes_from, cols), "code-table")
+    sizes = {r["column"]: r["most"] for r in codes.groupBy("column").agg(F.max("code").alias("most")).collect()}
     out = df
     for c in cols:
-        codes = code_table(df if codes_from is None else codes_from, c)
-        out = map_lookup(out.withColumn(c, F.col(c).cast("string")), c, codes, "value", "code", out_col=c)
+        kind = "long" if sizes.get(c, 0) >= 2**31 else "int"
+        own = codes.where(F.col("column") == c).select("value", F.col("code").cast(kind).alias("code"))
+        out = map_lookup(out.withColumn(c, F.col(c).cast("string")), c, own, "value", "code", out_col=c)
     return out.select(*df.columns)
 
 
+#: How Spark stores a vector column.
+_STORED_VECTOR = StructType([StructField("type", ByteType()), StructField("size", IntegerType()),
+                             StructField("indices", ArrayType(IntegerType())), StructField("values", ArrayType(DoubleType()))])
+
+
+def one_hot_places(df: DataFrame, cols: Sequence[str], key: str = "id",
+                   codes_from: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """For each row of ``df`` with a value in ``cols``, the places of its 1s (``key, places``) among the
+    0/1 columns of all values of all ``cols``, and the number of those columns.
+
+    Cells are joined with the :func:`code_table` of ``codes_from`` (default: the frame itself) by
+    (column, value), and one aggregate per ``key`` (unique) puts a row's places together."""
+    codes = written(code_table(df if codes_from is None else codes_from, cols), "code-table")
+    size = codes.count()
+    if size >= 2**31:
+        raise VocabularyTooLarge(f"a vector holds fewer than 2^31 categories, there are {size}")
+    cells = long_form(df, cols, ids=[key], as_type="string").where(F.col("value").isNotNull())
+    ones = cells.join(codes.select("column", "value", F.col("place").cast("int").alias("place")), ["column", "value"])
+    return ones.groupBy(key).agg(F.array_sort(F.collect_list("place")).alias("places")), size
+
+
+def one_hot_sparse(df: DataFrame, cols: Sequence[str], key: str = "id", codes_from: DataFrame | None = None,
+                   out: str = "categories") -> DataFrame:
+    """E4-E6 without a limit of categories: ``df`` with the 0/1 columns of all values of all ``cols`` as one
+    sparse vector (:func:`one_hot_places`), columns in the order given and values in string order. NULL gives
+    no 1. The vectors are written in the form in which Spark stores them and read back; no value
+    comes to the driver."""
+    rows, size = one_hot_places(df, cols, key, codes_from)
+    places = F.coalesce("places", F.array().cast("array<int>"))
+    vector = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), places.alias("indices"),
+                      F.transform(places, lambda _: F.lit(1.0)).alias("values")).cast(_STORED_VECTOR)
+    rows = rows.select(F.col(key).alias("__key"), "places")
+    made = df.join(rows, df[key] == rows["__key"], "left").select(*[df[c] for c in df.columns], vector.alias(out))
+    field = StructField(out, VectorUDT(), metadata={"ml_attr": {"num_attrs": size}})
+    return written(made, "sparse", StructType([*df.schema, field]))
+
+
+def joint_one_hot_sparse(train: DataFrame, test: DataFrame, cols: Sequence[str], key: str = "id",
+                         split_col: str = "_split", out: str = "categories") -> DataFrame:
+    """E5 for any number of categories: both frames together, tagged, one vocabulary over both."""
+    both = train.withColumn(split_col, F.lit("train")).unionByName(
+        test.withColumn(split_col, F.lit("test")), allowMissingColumns=True)
+    return one_hot_sparse(both, cols, key, out=out)
+
+
+def encode_all_but_sparse(df: DataFrame, numeric: Sequence[str], keys: Sequence[str] = DEFAULT_KEYS, key: str = "id",
+                          null_as: str = "nan", out: str = "categories") -> DataFrame:
+    """E6 for any number of categories: every column outside ``numeric`` and ``keys``, stringified, in one vector."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    cats = [c for c in df.columns if c not in set(numeric) and c not in set(keys)]
+    s = df.select(*[stringify(F.col(c), types[c], null_as).alias(c) if c in cats else F.col(c) for c in df.columns])
+    return one_hot_sparse(s, cats, key, out=out)
+
+
 def one_hot_long(df: DataFrame, cols: Sequence[str], key: str = "id",
                  codes_from: DataFrame | None = None) -> DataFrame:
     """E4 in long form, for any number of categories: one row ``(key, column, code)`` per
@@ -373,7 +434,3 @@ def preprocess(df: DataFrame, normalize_num: str | None = "standardize",
     else:
         raise ValueError(f"unknown fillmean {fillmean!r}")
     return df
-
-
-def is_string(df: DataFrame, col: str) -> bool:
-    return isinstance(df.schema[col].dataType, StringType)

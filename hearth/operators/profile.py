@@ -12,6 +12,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,29 +125,22 @@ def correlation(df: DataFrame, cols: Sequence[str], method: str = "pairs") -> Da
 
 def _pair_sums(df: DataFrame, cols: Sequence[str]) -> list:
     """Per column pair over the rows where both are present: n, sum a, sum b, sum a^2,
-    sum b^2, sum ab. Every task reduces its rows to these matrices; columns are
-    centred on their means first, so the sums don't cancel."""
-    import numpy as np
-    import pandas as pd
+    sum b^2, sum ab: parts of one Gram matrix, of each column's presence (0 or 1), value and square
+    (0 where NULL), which Spark's linear algebra adds up on the JVM. Columns are centred on
+    their means first, so the sums don't cancel."""
     p = len(cols)
-    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    means = x.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    centre = np.array([0.0 if m is None else m for m in means])
-
-    def part(batches):
-        total = np.zeros((6, p, p))
-        for b in batches:
-            v = b.to_numpy(dtype=float, na_value=np.nan) - centre
-            here = (~np.isnan(v)).astype(float)
-            z = np.where(here > 0, v, 0.0)
-            total += [here.T @ here, z.T @ here, here.T @ z, (z * z).T @ here, here.T @ (z * z), z.T @ z]
-        yield pd.DataFrame({"k": range(6 * p * p), "s": total.ravel()})
-
-    parts = x.mapInPandas(part, "k int, s double").groupBy("k").agg(F.sum("s").alias("s"))
-    total = np.zeros(6 * p * p)
-    for r in parts.collect():  # 6 p^2 numbers
-        total[r["k"]] = r["s"]
-    return list(total.reshape(6, p, p))
+    x = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    x = x.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in x.columns])
+    means = x.agg(*[F.avg(c).alias(c) for c in x.columns]).first()
+    centred = [F.col(c) - F.lit(0.0 if means[c] is None else means[c]) for c in x.columns]
+    here = [F.col(c).isNotNull().cast("double") for c in x.columns]
+    value = [F.coalesce(z, F.lit(0.0)) for z in centred]
+    rows = x.select(array_to_vector(F.array(*here, *value, *[v * v for v in value])).alias("v"))
+    if rows.isEmpty():
+        return [[[0.0] * p for _ in range(p)] for _ in range(6)]
+    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "v")).computeGramianMatrix().toArray()
+    h, z, q = slice(0, p), slice(p, 2 * p), slice(2 * p, 3 * p)
+    return [gram[a, b].tolist() for a, b in ((h, h), (z, h), (h, z), (q, h), (h, q), (z, z))]
 
 
 def correlated_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.9,

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from hearth.functions.exprs import hash_hex, hex_prefix_int
+from hearth.session import written
 
 _ALL = "__all"
 
@@ -256,15 +257,44 @@ def quantile_from_cumulative(cum: DataFrame, value_col: str, q: float, by: Seque
 
 
 def exact_quantile(df: DataFrame, value_col: str, q: float, by: Sequence[str] = (),
-                   out_col: str = "quantile", rows_per_bucket: int = 1_000_000) -> DataFrame:
+                   out_col: str = "quantile", rows_per_bucket: int = 1_000_000, accuracy: int = 10_000) -> DataFrame:
     """Exact quantile with linear interpolation between closest ranks.
 
     Same definition as ``percentile``/``median`` in Spark and ``quantile_cont``
-    in DuckDB, but computed without holding a group's values in one buffer:
-    position ``q*(n-1)`` is located on the distributed running count.
+    in DuckDB, by selection between bounds: (1) a sketch of every group gives two values
+    that bracket the wanted rank within ``4 / accuracy`` of the group's rows; (2) one pass counts
+    the rows below and above, and each value between: only those values (after the
+    map-side count) are shuffled, and written; (3) the rank is read off their running
+    count. A group whose bracket misses the rank, should a sketch be further off than it
+    promises, is solved from the running count of all its values.
     """
     if not 0.0 <= q <= 1.0:
         raise ValueError("q must be in [0, 1]")
-    cum = ordered_cumulative(df, value_col, {"n": F.lit(1).cast("long")}, by=by,
-                             rows_per_bucket=rows_per_bucket)
-    return quantile_from_cumulative(cum, value_col, q, by, out_col)
+    base, groups, one = _with_group(df.where(F.col(value_col).isNotNull()).select(*by, value_col), by)
+    ends = [max(0.0, q - 2.0 / accuracy), min(1.0, q + 2.0 / accuracy)]
+    sketch = base.groupBy(*groups).agg(F.percentile_approx(value_col, F.array(*map(F.lit, ends)), accuracy).alias("__ends"))
+    sketch = sketch.select(*groups, F.col("__ends")[0].alias("__from"), F.col("__ends")[1].alias("__to"))
+    v = F.col(value_col)
+    side = F.when(v < F.col("__from"), -1).when(v > F.col("__to"), 1).otherwise(0)
+    counts = attach_grouped(base, sketch, groups).withColumn("__side", side)
+    counts = written(counts.groupBy(*groups, "__side", F.when(F.col("__side") == 0, v).alias(value_col))
+                     .agg(F.count(F.lit(1)).alias("n")), "bracket")
+    held = lambda s: F.coalesce(F.sum(F.when(F.col("__side") == s, F.col("n"))), F.lit(0))
+    place = counts.groupBy(*groups).agg(held(-1).alias("__below"), F.sum("n").alias("tot_n"), held(0).alias("__in"))
+    rank = F.lit(q) * (F.col("tot_n") - 1)
+    hit = (F.floor(rank) >= F.col("__below")) & (F.ceil(rank) < F.col("__below") + F.col("__in"))
+    inside = counts.where("__side = 0").drop("__side")
+    if inside.count() <= rows_per_bucket:  # few values in all: one running count a group
+        w = Window.partitionBy(*groups).orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
+        cum = inside.withColumn("cum_n", F.sum("n").over(w)).withColumn("n_before", F.col("cum_n") - F.col("n"))
+    else:
+        cum = ordered_cumulative(inside, value_col, {"n": F.col("n")}, by=groups, rows_per_bucket=rows_per_bucket).drop("tot_n")
+    cum = attach_grouped(cum, place.where(hit).drop("__in"), groups, how="inner")
+    cum = cum.withColumn("cum_n", F.col("cum_n") + F.col("__below")).withColumn("n_before", F.col("n_before") + F.col("__below"))
+    out = quantile_from_cumulative(cum.drop("__below"), value_col, q, groups, out_col)
+    missed = place.where(~hit).select(*groups)
+    if not missed.isEmpty():
+        rest = join_nullsafe(base, missed, groups)
+        whole = ordered_cumulative(rest, value_col, {"n": F.lit(1).cast("long")}, by=groups, rows_per_bucket=rows_per_bucket)
+        out = out.unionByName(quantile_from_cumulative(whole, value_col, q, groups, out_col))
+    return out.drop(_ALL) if one else out

@@ -18,12 +18,15 @@ from hearth.plans.recipes import Recipe
 
 KEYS = ("id", "country", "poor", "_split", "fold", "label", "_holdout", "_draw")
 
+#: The vector of a sparse recipe's categories.
+CATEGORIES = "categories"
+
 
 @dataclass
 class FeatureFrame:
     df: DataFrame
     feature_cols: list[str]
-    #: string columns left for the model's sparse encoder (``Recipe.sparse``)
+    #: string columns left for encoders inside the model's pipeline (which new rows then pass through)
     cat_cols: list[str] = field(default_factory=list)
 
 
@@ -68,9 +71,11 @@ def build_features(recipe: Recipe, hhold: DataFrame, indiv: DataFrame | None, sp
             and (c in to_str or c in binned or isinstance(types.get(c), StringType))]
     if recipe.sparse:
         h = schema.stringify_columns(h, [c for c in cats if c not in to_str], null_as=None)
+        if cats:  # the categories of train and test rows, in one vector (the columns stay beside it)
+            h = encode.one_hot_sparse(h, cats, out=CATEGORIES)
     else:
         h = encode.one_hot(h, cats, max_categories=recipe.max_categories)
     feats = [f.name for f in h.schema.fields if f.name not in KEYS and f.name not in cats
              and isinstance(f.dataType, NumericType)]
     h = h.fillna(0, subset=feats)
-    return FeatureFrame(h, feats, cats if recipe.sparse else [])
+    return FeatureFrame(h, [*([CATEGORIES] if recipe.sparse and cats else []), *feats])

@@ -82,7 +82,7 @@ class Recipe:
     model: dict = field(default_factory=lambda: {"kind": "gbt", "n_estimators": 100, "max_depth": 5})
     resample: str | None = None
     max_categories: int = 1000
-    #: wide data: categories go into a sparse vector (StringIndexer + OneHotEncoder)
+    #: wide data: categories of train and test rows go into one sparse vector, for any number of them,
     #: instead of one dense 0/1 column each
     sparse: bool = False
 

@@ -7,8 +7,11 @@ import os
 import shutil
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -95,8 +98,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return _WRITTEN[-1]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: the lineage ends at the files."""
+def written(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back (as ``schema``, if given, of the same
+    stored types): the lineage ends at the files."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
+
+
+#: Job sets that run side by side for each core of the cluster, and at most.
+SETS_PER_CORE, MAX_CONCURRENT = 1, 64
+
+
+def parallel_map(fn, items, parallel: bool = True, max_concurrent: int | None = None):
+    """Run independent sets of jobs (such as fits) concurrently from driver threads, results in order. Each is its
+    own set of Spark jobs, in a scheduler pool of its own, so that where the cluster schedules
+    fairly (``spark.scheduler.mode``) a short fit doesn't wait for a long one's tasks."""
+    items = list(items)
+    if not parallel or len(items) < 2:
+        return [fn(x) for x in items]
+    sc = SparkSession.active().sparkContext
+    most = max_concurrent or min(MAX_CONCURRENT, max(4, SETS_PER_CORE * sc.defaultParallelism))
+    pool = sc.getLocalProperty("spark.scheduler.pool") or "set"
+
+    def run(at: int):
+        sc.setLocalProperty("spark.scheduler.pool", f"{pool}-{at}")
+        try:
+            return fn(items[at])
+        finally:
+            sc.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max_workers=min(len(items), most)) as ex:
+        return list(ex.map(inheritable_thread_target(SparkSession.active())(run), range(len(items))))

@@ -112,3 +112,32 @@ def test_no_machine_local_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(ValueError):
         session.checkpoint_root(Session())
+
+
+def test_median_shuffles_only_the_bracket(spark, monkeypatch):
+    """Of 200,000 distinct values, the values that move lie within the sketch's bounds; the rank is exact."""
+    import statistics
+    from hearth.operators import ranking
+    tables = []
+    real = ranking.written
+    monkeypatch.setattr(ranking, "written", lambda df, name: tables.append(real(df, name)) or tables[-1])
+    df = spark.range(200_000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 200_003 * 1.5).alias("v"))
+    got = {r.g: r.m for r in ranking.exact_quantile(df, "v", 0.5, by=["g"], out_col="m").collect()}
+    rows = {}
+    for r in df.collect():
+        rows.setdefault(r.g, []).append(r.v)
+    assert got == {g: statistics.median(v) for g, v in rows.items()}
+    (counts,) = tables
+    assert counts.count() < 0.002 * 200_000
+    assert counts.agg(F.sum("n")).first()[0] == 200_000
+
+
+def test_median_survives_a_bad_sketch(spark, monkeypatch):
+    """Groups whose bracket misses the rank are solved from all their values."""
+    from hearth.operators import ranking
+    df = spark.createDataFrame([(g, float(v)) for g in ("a", None) for v in range(40)] + [("c", None)], "g string, v double")
+    real = F.percentile_approx
+    monkeypatch.setattr(ranking.F, "percentile_approx", lambda c, *a: F.array(F.lit(30.0), F.lit(31.0)) if c == "v" else real(c, *a))
+    monkeypatch.setattr(ranking, "value_buckets", lambda dist, *a: dist.withColumn("__bk", F.lit(0)))
+    got = {r.g: r.m for r in ranking.exact_quantile(df, "v", 0.5, by=["g"], out_col="m").collect()}
+    assert got == {"a": 19.5, None: 19.5}
