@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
@@ -52,6 +53,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 DRAWS, ROUNDS = 3, 6
 PROGRESS = 0.02  # a round that links a smaller share of its pairs is the last
+MOST_ELEMENTS = 1_000_000  # elements of differences that one task holds
 FEW = 64  # members of a group whose pairs of different classes are all compared
 FEW_PAIRS = 200_000  # of two 16-byte keys and two labels each: at most some 16 MB
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -211,13 +213,58 @@ def _all_pairs(rows: DataFrame) -> DataFrame:
     return met.select(F.col("key").alias("member"), "centre")
 
 
+def _pairs_within(rows: pa.Table) -> pa.Table:
+    """:func:`_overlapping_pairs` of one group of at most ``MOST_ELEMENTS`` elements, in arrays."""
+    keys, n = rows["key"].to_pylist(), rows["n"].to_numpy()
+    _, component = np.unique(np.array([c.hex() for c in rows["component"].to_pylist()]), return_inverse=True)
+    delta = rows["delta"].combine_chunks()
+    flat, size = delta.flatten().to_numpy(), np.diff(delta.offsets.to_numpy())
+    s = size - n / 9
+    owner = np.repeat(np.arange(len(keys)), size)
+    _, element, often = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.lexsort((element, often[element], owner))  # of each text, the rarest first
+    owner, element = owner[order], element[order]
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + 1
+    probe = (often[element] > 1) & (at <= n[owner] / 4 + 2)
+    owner, element, at = owner[probe], element[probe], at[probe]
+    low = np.flatnonzero(at <= n[owner] / 9 + 2)
+    low = low[np.argsort(element[low], kind="stable")]
+    first, last = (np.searchsorted(element[low], element, side) for side in ("left", "right"))
+    found = np.zeros(0, np.int64)
+    width = np.concatenate([[0], np.cumsum(last - first)])
+    start = 0
+    while start < len(owner):  # as many entries at a time as meet some MOST_ELEMENTS others
+        stop = max(start + 1, int(np.searchsorted(width, width[start] + MOST_ELEMENTS, "right")) - 1)
+        each = np.repeat(np.arange(start, stop), (last - first)[start:stop])
+        other = low[np.arange(len(each)) - np.repeat(width[start:stop] - width[start], (last - first)[start:stop]) + first[each]]
+        b, a = owner[each], owner[other]
+        half = (s[b] - s[a]) / 2
+        met = ((component[a] != component[b]) & ((s[a] < s[b]) | ((s[a] == s[b]) & (a < b)))
+               & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
+               & (at[each] <= n[b] / 9 + half + 2) & (at[other] <= n[a] / 9 - half + 2))
+        found = np.union1d(found, a[met].astype(np.int64) * len(keys) + b[met])
+        start = stop
+    pairs = [(keys[i], keys[j]) for i, j in zip(found // max(len(keys), 1), found % max(len(keys), 1), strict=True)]
+    return pa.table({"member": pa.array([max(p) for p in pairs], pa.binary()), "centre": pa.array([min(p) for p in pairs], pa.binary())})
+
+
 def _overlapping_pairs(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs of different classes of ``rows(anchor, key, component)`` whose differences from their
-    anchor share an element as early as those of a link must."""
+    anchor share an element as early as those of a link must. Groups of at most ``MOST_ELEMENTS``
+    elements in all are worked on in a task each, larger ones by joins on (anchor, element)."""
     own = texts.withColumnRenamed("text", "_a").join(rows, "key")
     anchor = texts.withColumnsRenamed({"key": "anchor", "text": "_b"}).join(rows.select("anchor").distinct(), "anchor")
     apart = staged(own.join(anchor, "anchor").select("anchor", "key", "component", difference("_a", "_b").alias("d"))
                    .select("anchor", "key", "component", "d.*"), "differences")
+    size = apart.groupBy("anchor").agg(F.sum(F.size("delta")).alias("elements"))
+    small, large = (apart.join(size.where(keep).select("anchor"), "anchor", "left_semi")
+                    for keep in (F.col("elements") <= MOST_ELEMENTS, F.col("elements") > MOST_ELEMENTS))
+    pairs = small.groupBy("anchor").applyInArrow(_pairs_within, "member binary, centre binary")
+    return pairs if large.isEmpty() else pairs.union(_pairs_by_joins(large))
+
+
+def _pairs_by_joins(apart: DataFrame) -> DataFrame:
+    """:func:`_overlapping_pairs` of groups of any size, of ``apart(anchor, key, component, n, delta)``."""
     each = apart.select("anchor", "key", F.explode("delta").alias("e"))
     often = each.groupBy("anchor", "e").agg(F.count("*").alias("f")).where(F.col("f") > 1)
     # elements of one text alone come first and meet nothing; the others follow, rarest first

@@ -1,6 +1,8 @@
 """ProbMinHash, components and near-duplicate classes against brute force."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from hearth.llm import neardup
@@ -158,15 +160,30 @@ def _family(n, edits, seed, shared=0, vocabulary=0):
         yield k, " ".join(words)
 
 
-def test_open_pairs_hold_every_link(spark):
-    """Overlapping differences miss no link between texts of different classes."""
+def own_differences(texts, anchor):
+    """The differences from the anchor as one Arrow table, each text a class of its own."""
+    words = neardup.WordHashes()
+    rows = [(bytes(r.key), np.unique(words.shingles(r.text))) for r in texts.collect()]
+    own = dict(rows)[bytes(anchor)]
+    return pa.table({"key": [k for k, _ in rows], "component": [k for k, _ in rows], "n": pa.array([len(x) for _, x in rows], pa.int32()),
+                     "delta": pa.array([np.setxor1d(x, own).view(np.int64) for _, x in rows], pa.list_(pa.int64()))})
+
+
+@pytest.mark.parametrize("most", [neardup.MOST_ELEMENTS, 3000, 0])
+def test_open_pairs_hold_every_link(spark, monkeypatch, most):
+    """Overlapping differences miss no link between texts of different classes, in tasks and by joins."""
+    monkeypatch.setattr(neardup, "MOST_ELEMENTS", most)
     rows = [*_family(60, 3, 1), *((100 + k, t) for k, t in _family(60, 3, 2, 30)), *((200 + k, t) for k, t in _family(50, 4, 3, 0, 3)),
             *((300 + k, " ".join(f"z{k % 9}_{i}" for i in range(100 + k))) for k in range(40))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     texts = docs.select(neardup.text_key(F.col("text")).alias("key"), "text").distinct()
     anchor = texts.orderBy("key").first().key
     open_rows = texts.select(F.lit(anchor).alias("anchor"), "key", F.col("key").alias("component"))
-    got = {frozenset((bytes(r.member), bytes(r.centre))) for r in neardup._overlapping_pairs(open_rows, texts).collect()}
+    open_pairs = neardup._overlapping_pairs(open_rows, texts)
+    got = {frozenset((bytes(r.member), bytes(r.centre))) for r in open_pairs.collect()}
+    apart = own_differences(texts, anchor)
+    assert {tuple(sorted(p)) for p in got} == {tuple(sorted((bytes(a), bytes(b)))) for a, b in zip(
+        *(neardup._pairs_within(apart)[c].to_pylist() for c in ("member", "centre")), strict=True)}
     words = neardup.WordHashes()
     sets = {bytes(r.key): np.unique(words.shingles(r.text)) for r in texts.collect()}
     own = sets[bytes(anchor)]
