@@ -45,7 +45,7 @@ import re
 import unicodedata
 import uuid
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,6 +64,7 @@ PASSAGE = 10
 CALIBRATION_ROWS = 20_000
 FLUSH = 1 << 22
 CLEAR = 2.0  # log-likelihood difference beyond which a word counts
+PORTION = 1 << 21  # characters of the texts whose words are looked up together
 UNSPACED = 8  # symbols of a word in scripts that set no spaces; one starts at every symbol
 _KEPT_WORDS = 300_000
 
@@ -87,25 +88,26 @@ def _symbol(c: int) -> int:
 
 
 def symbol_table() -> np.ndarray:
-    """Classes of the Basic Multilingual Plane's first part; beyond it, class 27."""
-    return np.array([_symbol(c) for c in range(0x2000)], np.uint8)
+    """Classes of the Basic Multilingual Plane's first part; the last entry, class 27, is for what lies beyond it."""
+    return np.array([*map(_symbol, range(0x2000)), 27], np.uint8)
 
 
 def grams_of(text: str, table: np.ndarray) -> np.ndarray:
     """Codes of all ``ORDER``-grams of a text, one per symbol: base-``SYMBOLS`` numbers
     of the last ``ORDER`` symbols. Runs of class 0 become one; the text is padded with it."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = np.where(points < len(table), table[np.minimum(points, len(table) - 1)], 27).astype(np.int64)
+    s = table[np.minimum(points, len(table) - 1)]  # beyond the table: as its last entry
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
     s = s[keep]
     if not s.any():
-        return np.zeros(0, np.int64)
-    s = np.concatenate([np.zeros(ORDER - 1, np.int64), s, np.zeros(1, np.int64)])
+        return np.zeros(0, np.int32)
+    s = np.concatenate([np.zeros(ORDER - 1, np.int32), s, np.zeros(1, np.int32)], dtype=np.int32)
     n = len(s) - ORDER + 1
-    codes = np.zeros(n, np.int64)
-    for i in range(ORDER):
-        codes = codes * SYMBOLS + s[i:i + n]
+    codes = s[:n].copy()
+    for i in range(1, ORDER):  # SYMBOLS ** ORDER is below 2^31
+        codes *= SYMBOLS
+        codes += s[i:i + n]
     return codes
 
 
@@ -375,14 +377,30 @@ class Words:
         kept.update(zip(fresh, total.tolist(), strict=True))
         return kept
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        """Evidence of the most telling word (0 at least), and of all clear words over the
-        root of the number of words."""
-        found = Counter(words_of(text or ""))
-        values = self.values(set(found))
-        clear = [(values[w] - CLEAR, n) for w, n in found.items() if values[w] > CLEAR]
-        top = max((values[w] for w in found), default=0.0)
-        return max(top, 0.0), sum(v * n for v, n in clear) / math.sqrt(max(sum(found.values()), 1))
+    def features_of(self, texts: Sequence[str | None]) -> list[tuple[float, float]]:
+        """For each text, the evidence of its most telling word (0 at least), and of all clear words over
+        the root of the number of words. The words of all texts are looked up together."""
+        found = [words_of(t or "") for t in texts]
+        values = self.values(set().union(*found))
+        out = []
+        for words in found:
+            top = max(map(values.__getitem__, words), default=0.0)
+            total = sum(v - CLEAR for v in map(values.__getitem__, words) if v > CLEAR) if top > CLEAR else 0.0
+            out.append((max(top, 0.0), total / math.sqrt(max(len(words), 1))))
+        return out
+
+
+def _portions(texts: pd.Series) -> Iterator[list[str | None]]:
+    """The texts in order, in portions of about ``PORTION`` characters."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t or "")
+        if size >= PORTION:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 @dataclass(frozen=True)
@@ -403,10 +421,11 @@ class ToxicityModel:
         def score(column: pd.Series) -> pd.Series:
             values = evidence.table()
             out = []
-            for t in column:
-                x = (worst_passage(t, symbols, values), *words.features(t))
-                z = a + sum(k * v for k, v in zip(b, x, strict=True))
-                out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, z)))))
+            for part in _portions(column):
+                for t, told in zip(part, words.features_of(part), strict=True):
+                    x = (worst_passage(t, symbols, values), *told)
+                    z = a + sum(k * v for k, v in zip(b, x, strict=True))
+                    out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, z)))))
             return pd.Series(out, dtype="float64")
 
         return score(text)
@@ -428,9 +447,13 @@ def _scored(rows: DataFrame, tables: list[Evidence], words: list[Words]) -> Data
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def raw(text: pd.Series, half: pd.Series) -> pd.Series:
-        own = [t.table() for t in tables]
-        return pd.Series([[worst_passage(t, symbols, own[1 - h]), *words[1 - h].features(t)]
-                          for t, h in zip(text, half, strict=True)], dtype=object)
+        out = pd.Series([None] * len(text), dtype=object)
+        for h in (0, 1):
+            at, table = np.flatnonzero(half == h), tables[1 - h].table()
+            told = [x for part in _portions(text.iloc[at]) for x in words[1 - h].features_of(part)]
+            for i, x in zip(at, told, strict=True):
+                out.iloc[i] = [worst_passage(text.iloc[i], symbols, table), *x]
+        return out
 
     return rows.select(raw("text", "half").alias("x"), "toxic")
 
@@ -452,9 +475,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[float, ...]]:
 
 
 def fit(spark: SparkSession, labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> ToxicityModel:
-    """Learn from ``labelled(text, toxic)`` (toxic 0 or 1)."""
+    """Learn from ``labelled(text, toxic)`` (toxic 0 or 1); with a ``doc_id``, calibration rows are drawn by it."""
+    drawn_by = "doc_id" if "doc_id" in labelled.columns else "text"
     rows = staged(labelled.where(F.col("toxic").isNotNull())
-                  .select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+                  .select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"),
+                          F.xxhash64(drawn_by, F.lit(7)).alias("draw"))
                   .withColumn("half", half_of(F.col("text"))), "labelled")
     counts = count_grams(rows).toArrow().to_pandas()  # at most 2 * SYMBOLS ** ORDER rows
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -472,9 +497,9 @@ def fit(spark: SparkSession, labelled: DataFrame, calibration_rows: int = CALIBR
         part = counts[counts["half"] == h]
         halves.append(Evidence.of(spark, *(part[c].to_numpy(np.int64) for c in ("gram", "toxic", "ordinary"))))
     sample = rows
-    if total > calibration_rows:  # a row's own hash decides, so the sample doesn't depend on the partitions
-        share = int(calibration_rows / total * (1 << 30))
-        sample = rows.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < share)
+    if total > calibration_rows:  # the hash of the document's id decides, so copies of a text are drawn singly,
+        share = int(calibration_rows / total * (1 << 30))  # and of rows that repeat an id one is drawn
+        sample = rows.where(F.pmod("draw", F.lit(1 << 30)) < share).dropDuplicates(["draw"])
     held = _scored(sample, halves, words[:2]).toArrow().to_pandas()
     y = held["toxic"].to_numpy(float)
     intercept, slopes = (_logistic(np.stack(held["x"].to_list()), y) if 0 < y.sum() < len(y)
@@ -487,11 +512,11 @@ def fit(spark: SparkSession, labelled: DataFrame, calibration_rows: int = CALIBR
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, use: Column) -> DataFrame:
-    """``(text, toxic)`` of the documents for which ``use`` holds and that have a label.
+    """``(doc_id, text, toxic)`` of the documents for which ``use`` holds and that have a label.
     Labels grow with the documents, so both are sorted and merged by document id at any size."""
     marks = labels.select(F.col("doc_id").alias("_id"), "toxic").where(F.col("toxic").isNotNull())
     return (docs.select("doc_id", "text").where(use)
-            .join(marks.hint("merge"), F.col("doc_id") == F.col("_id")).select("text", "toxic"))
+            .join(marks.hint("merge"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic"))
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:

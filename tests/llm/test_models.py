@@ -176,3 +176,34 @@ def test_words_of_any_script():
     assert toxicity.words_of("Ab-c \u00c9t\u00e9 E\u0301te\u0301") == ["ab", "c", "\u00e9t\u00e9", "\u00e9t\u00e9"]
     assert toxicity.words_of("\u043f\u0440\u0438\u0432\u0435\u0442, \u0645\u0631\u062d\u0628\u0627") == ["\u043f\u0440\u0438\u0432\u0435\u0442", "\u0645\u0631\u062d\u0628\u0627"]
     assert toxicity.words_of("\u4f60\u597d\u5417") == ["\u4f60\u597d\u5417", "\u597d\u5417", "\u5417"]
+
+
+def test_words_of_a_batch_are_told_as_one_by_one(spark):
+    """Texts looked up together have the features of each alone, whatever the portions."""
+    import numpy as np
+    import pandas as pd
+    nodes = pd.DataFrame({"node": np.array([1], np.int64), "e0": [0.5]}), pd.DataFrame({"context": np.array([0], np.int64), "r0": [3.0]})
+    words = toxicity.Words.of(spark, *nodes)
+    rows = ["one two two", None, "", "zwei drei", "one " * 50, "Ünïcode wörds"]
+    together = words.features_of(rows)
+    assert together == [words.features_of([t])[0] for t in rows] and len(together) == len(rows)
+    assert [len(p) for p in toxicity._portions(pd.Series(["x" * toxicity.PORTION, None, "y"]))] == [1, 2]
+    spread = words.values({"one", "two"})
+    top, total = words.features_of(["one two two"])[0]
+    clear = [v - toxicity.CLEAR for v in (spread["one"], spread["two"], spread["two"]) if v > toxicity.CLEAR]
+    assert top == max(0.0, spread["one"], spread["two"]) and abs(total - sum(clear) / 3 ** 0.5) < 1e-12
+
+
+def test_samples_hold_with_one_text_in_a_third_of_the_rows(spark):
+    """Copies of a text are drawn by their own ids: neither all nor none of them."""
+    rows = [(i, "the same bad words" if i % 3 == 0 else f"text number {i} of many", int(i % 3 == 0), "en") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, lang string")
+    drawn = []
+    real = toxicity._scored
+    toxicity._scored = lambda sample, *a: drawn.append(sample.groupBy("toxic").count().collect()) or real(sample, *a)
+    try:
+        toxicity.fit(spark, df, calibration_rows=600)
+    finally:
+        toxicity._scored = real
+    n = {r.toxic: r["count"] for r in drawn[0]}
+    assert 100 < n[1] < 300 and 300 < n[0] < 500
