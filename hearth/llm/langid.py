@@ -162,8 +162,10 @@ class LanguageModel:
 
 
 def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Learn from ``rows(text, lang)``; rows with a null text or language are passed over."""
-    rows = rows.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    """Learn from ``rows(text, lang)``; rows with a null text or language are passed over. With a
+    ``doc_id``, sampled rows are drawn by it."""
+    drawn_by = "doc_id" if "doc_id" in rows.columns else "text"
+    rows = rows.select("text", "lang", F.xxhash64(drawn_by, F.lit(11)).alias("draw")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # per language
     if not sizes:
         return LanguageModel(np.ones(BUCKETS, np.float32), (), np.zeros((0, BUCKETS), np.float32), np.zeros(0))
@@ -174,7 +176,8 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     for lang, n in sizes.items():
         if n > sample_rows:
             share = F.when(F.col("lang") == lang, math.ceil(sample_rows / n * (1 << 30))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) < share)
+    # drawn by the document's id, so copies of a text are drawn singly; of rows that repeat an id one is drawn
+    sample = rows.where(F.pmod("draw", F.lit(1 << 30)) < share).dropDuplicates(["lang", "draw"])
 
     def sparse(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
