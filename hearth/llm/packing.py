@@ -170,7 +170,8 @@ def packed(pieces: DataFrame, size: int = SEQUENCE, open_bins: int = OPEN_BINS,
         F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < size)
     n = rest.count()
-    spread = _spread(rest, -(-n // pieces_per_packer), "doc_id", "length", "ids_crc32")
+    # dealt by row, so rows that repeat an id and a text don't meet in one packer
+    spread = _spread(rest.withColumn("_row", F.monotonically_increasing_id()), -(-n // pieces_per_packer), "_row").drop("_row")
     once = staged(map_rows(spread.sortWithinPartitions(F.desc("length"), "doc_id", "ids_crc32"), _ROUND_SCHEMA,
                            _packer(False, 0, open_bins, size)), "packed")
     left = once.where("open")
