@@ -61,14 +61,15 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_captures(pages: DataFrame) -> DataFrame:
-    """Archive records from ``pages``: each row is a capture of its site section (host and
-    first path segment) with a time, and three later or simultaneous 304 answers."""
+    """Archive records from ``pages``: each row is a capture of its whole url with a time, and three
+    later or simultaneous 304 answers; and the same for the url of its site section (host and first
+    path segment), which pages share."""
     base = F.lit(1_700_000_000) + F.col("page_id") * 600
     tag = F.concat(F.lit('"'), F.substring(F.md5(F.col("html").cast("binary")), 1, 12), F.lit('"'))
 
     def record(n: int, kind: str, after: int, status: int, payload, *headers) -> F.Column:
         pairs = [x for name, value in headers for x in (F.lit(name), F.col(value) if isinstance(value, str) else value)]
-        return F.struct((F.col("page_id") * 4 + n).alias("record_id"), F.lit(kind).alias("kind"),
+        return F.struct((F.col("page_id") * 8 + n).alias("number"), F.lit(kind).alias("kind"),
                         (base + after).alias("ts"), F.lit(status).alias("status"),
                         F.create_map(*pairs).alias("headers"), payload.alias("payload"))
 
@@ -82,12 +83,15 @@ def page_captures(pages: DataFrame) -> DataFrame:
                ("Cache-Control", F.lit("max-age=600")), ("Content-Length", F.lit("0"))),
         record(2, "revisit", 3000, 304, none, ("Last-Modified", at[0]), ("Date", at[2]), ("X-Cache", F.lit("hit"))),
         record(3, "revisit", 0, 304, none, ("ETag", tag)))
-    section = F.regexp_extract("url", "^[^:]*://[^/?#]*/[^/?#]*", 0).alias("url")
-    return pages.select(section, F.explode(records).alias("r")).select("url", "r.*")
+    section = F.regexp_extract("url", "^[^:]*://[^/?#]*/[^/?#]*", 0)
+    urls = F.explode(F.array(F.struct(F.col("url"), F.lit(0).alias("of")), F.struct(section.alias("url"), F.lit(4).alias("of"))))
+    rows = pages.select(F.struct("page_id", "html").alias("p"), urls.alias("u")).select("p.*", "u.*")
+    return rows.select("url", "of", F.explode(records).alias("r")).select(
+        "url", (F.col("r.number") + F.col("of")).alias("record_id"), "r.kind", "r.ts", "r.status", "r.headers", "r.payload")
 
 
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 304 capture of the pages' sections, resolved to its response."""
+    """Every 304 capture of the pages' urls and of their sections, resolved to its response."""
     found = warc.resolve_revisits(page_captures(read(spark, sf_dir, "pages").select("page_id", "url", "html")))
     line = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
     return found.select("record_id", "outcome", "response_id",

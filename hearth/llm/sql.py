@@ -117,19 +117,20 @@ def warc_sql() -> str:
     names = ("cache-control", "content-length", "content-type", "date", "etag", "last-modified")
     headers = " || chr(10) || ".join(f"'{n}: ' || {merged(n)}" for n in names)
     return rf"""
-WITH p AS (SELECT page_id, html, regexp_extract(url, '^[^:]*://[^/?#]*/[^/?#]*') AS u, 1700000000 + page_id * 600 AS base,
-  '"' || substr(md5(html), 1, 12) || '"' AS tag FROM pages),
+WITH p AS (SELECT 8 * page_id + o AS id, html, 1700000000 + page_id * 600 AS base,
+  CASE o WHEN 0 THEN url ELSE regexp_extract(url, '^[^:]*://[^/?#]*/[^/?#]*') END AS u,
+  '"' || substr(md5(html), 1, 12) || '"' AS tag FROM pages, (VALUES (0), (4)) AS v(o)),
 c AS (SELECT *, regexp_replace(substr(u, instr(u, '://') + 3), '#.*$', '') AS rest FROM p),
 q AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), ':(80|443)$', ''), '^www\.', '')
   || substr(rest, length(regexp_extract(rest, '^[^/?]*')) + 1) AS key FROM c),
-r AS (SELECT 4 * page_id AS response_id, key, base AS ts, 'max-age=60' AS cache_control,
+r AS (SELECT id AS response_id, key, base AS ts, 'max-age=60' AS cache_control,
   CAST(length(html) AS VARCHAR) AS content_length, 'text/html' AS content_type, CAST(base AS VARCHAR) AS date,
   tag AS etag, CAST(base AS VARCHAR) AS last_modified, sha256(html) AS payload_digest
-  FROM q WHERE html IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key, base ORDER BY page_id DESC) = 1),
-v AS (SELECT 4 * page_id + 1 AS record_id, key, base + 60 AS ts, 'max-age=600' AS cache_control,
+  FROM q WHERE html IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key, base ORDER BY id DESC) = 1),
+v AS (SELECT id + 1 AS record_id, key, base + 60 AS ts, 'max-age=600' AS cache_control,
     CAST(base + 60 AS VARCHAR) AS date, 'W/' || tag AS etag, NULL AS last_modified FROM q
-  UNION ALL SELECT 4 * page_id + 2, key, base + 3000, NULL, CAST(base + 3000 AS VARCHAR), NULL, CAST(base AS VARCHAR) FROM q
-  UNION ALL SELECT 4 * page_id + 3, key, base, NULL, NULL, tag, NULL FROM q),
+  UNION ALL SELECT id + 2, key, base + 3000, NULL, CAST(base + 3000 AS VARCHAR), NULL, CAST(base AS VARCHAR) FROM q
+  UNION ALL SELECT id + 3, key, base, NULL, NULL, tag, NULL FROM q),
 j AS (SELECT v.record_id, r.response_id, r.payload_digest, {headers} AS headers,
   CASE WHEN r.response_id IS NULL THEN 'no_response'
     WHEN v.etag IS NOT NULL AND r.etag IS NOT NULL THEN
