@@ -60,10 +60,58 @@ SENTENCES = (
     ("cc-by-nc-short", "licensed under cc by nc 4 0"),
     ("cc0-short", "released under cc0 1 0"),
     ("all-rights", "all rights reserved"),
+    ("gpl2-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu"
+                  " general public license as published by the free software foundation either version 2 of the license"
+                  " or at your option any later version"),
+    ("gpl2-only", "this program is free software you can redistribute it and or modify it under the terms of the gnu"
+                  " general public license version 2 as published by the free software foundation"),
+    ("lgpl21-free", "this library is free software you can redistribute it and or modify it under the terms of the gnu"
+                    " lesser general public license as published by the free software foundation either version 2 1 of"
+                    " the license or at your option any later version"),
+    ("lgpl3-free", "this library is free software you can redistribute it and or modify it under the terms of the gnu"
+                   " lesser general public license as published by the free software foundation either version 3 of"
+                   " the license or at your option any later version"),
+    ("lgpl-hope", "this library is distributed in the hope that it will be useful but without any warranty without even"
+                  " the implied warranty of merchantability or fitness for a particular purpose"),
+    ("agpl3-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu"
+                   " affero general public license as published by the free software foundation either version 3 of the"
+                   " license or at your option any later version"),
+    ("unlicense-free", "this is free and unencumbered software released into the public domain"),
+    ("zlib-as-is", "this software is provided as is without any express or implied warranty"),
+    ("zlib-granted", "permission is granted to anyone to use this software for any purpose including commercial"
+                     " applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("epl2-terms", "this program and the accompanying materials are made available under the terms of the eclipse public"
+                   " license 2 0 which is available at https www eclipse org legal epl 2 0"),
+    ("bsl-short", "distributed under the boost software license version 1 0"),
+)
+
+#: Licences that a line ``SPDX-License-Identifier:`` names (fixed values).
+SPDX = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only",
+        "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only",
+        "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Zlib", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0")
+
+#: Sentences that name a holder of their own between a fixed beginning and end (fixed values).
+FRAMED_SENTENCES = (
+    ("bsd-endorse", "neither the name of", "may be used to endorse or promote products derived from this software without"
+                                           " specific prior written permission"),
+    ("bsd-endorse", "the name of the author may not be used to endorse or promote products derived from this software",
+     "without specific prior written permission"),
+    ("bsd4-advertising", "all advertising materials mentioning features or use of this software must display the following"
+                         " acknowledgement", ""),
 )
 
 #: Ordered rules (fixed values): licence, identifiers in sequence. Longer rules stand first.
 RULES = (
+    ("BSD-4-Clause", ("bsd-redistribution", "bsd4-advertising", "bsd-endorse")),
+    ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope", "gpl-received")),
+    ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope")),
+    ("GPL-2.0-only", ("gpl2-only", "gpl-hope", "gpl-received")),
+    ("GPL-2.0-only", ("gpl2-only", "gpl-hope")),
+    ("LGPL-2.1-or-later", ("lgpl21-free", "lgpl-hope")),
+    ("LGPL-3.0-or-later", ("lgpl3-free", "lgpl-hope")),
+    ("AGPL-3.0-or-later", ("agpl3-free", "gpl-hope")),
+    ("Zlib", ("zlib-as-is", "zlib-granted")),
+    ("EPL-2.0", ("epl2-terms", "spdx-epl-2-0")),
     ("Apache-2.0", ("apache-header", "apache-may-not", "apache-obtain", "apache-url")),
     ("Apache-2.0", ("apache-header", "apache-may-not")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-received")),
@@ -88,6 +136,15 @@ RULES = (
     ("CC-BY-SA-4.0", ("cc-by-sa-short",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-short",)),
     ("CC0-1.0", ("cc0-short",)),
+    ("GPL-2.0-or-later", ("gpl2-free",)),
+    ("GPL-2.0-only", ("gpl2-only",)),
+    ("LGPL-2.1-or-later", ("lgpl21-free",)),
+    ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("AGPL-3.0-or-later", ("agpl3-free",)),
+    ("Unlicense", ("unlicense-free",)),
+    ("Zlib", ("zlib-granted",)),
+    ("EPL-2.0", ("epl2-terms",)),
+    ("BSL-1.0", ("bsl-short",)),
 )
 
 #: Whole sentences of the licences' own texts (fixed values) where :data:`SENTENCES` has their beginning.
@@ -109,6 +166,7 @@ WHOLE_SENTENCES = (
 #: Rules before :data:`RULES`: the line of rights that heads a BSD notice belongs to it.
 HEADED_RULES = (
     ("BSD-3-Clause", ("all-rights", "bsd-redistribution", "bsd-endorse")),
+    ("BSD-4-Clause", ("all-rights", "bsd-redistribution", "bsd4-advertising", "bsd-endorse")),
     ("BSD-2-Clause", ("all-rights", "bsd-redistribution")),
 )
 
@@ -132,18 +190,37 @@ def normalise(sentence: str) -> str:
     return _MARKS.sub(" ", sentence.lower()).strip()
 
 
+#: The sentence and the rule of every licence in :data:`SPDX`.
+SPDX_SENTENCES = tuple((normalise(f"spdx {x}").replace(" ", "-"), normalise(f"SPDX-License-Identifier: {x}")) for x in SPDX)
+SPDX_RULES = tuple((x, (i,)) for x, (i, _) in zip(SPDX, SPDX_SENTENCES, strict=True))
+
+
 class Scanner:
     """Sentence table and rules, the rules grouped by their first identifier."""
 
-    def __init__(self, known=SENTENCES + WHOLE_SENTENCES, rules=HEADED_RULES + RULES):
+    def __init__(self, known=SENTENCES + SPDX_SENTENCES + WHOLE_SENTENCES, rules=HEADED_RULES + RULES + SPDX_RULES,
+                 framed=FRAMED_SENTENCES):
         self.known = {s: i for i, s in known}
-        words = [s.split() for s in self.known]
+        self.framed = framed
+        words = [s.split() for s in [*self.known, *(head for _, head, _ in framed)]]
         self.beginnings = {" ".join(w[:i]) for w in words for i in range(1, len(w) + 1)}
-        self.hints = re.compile("|".join(sorted({re.escape(max(s.split(), key=len)) for s in self.known})))
+        self.heads = tuple(head for _, head, _ in framed)
+        self.longest = 30 + max((len(f"{head} {tail}".split()) for _, head, tail in framed), default=0)  # words
+        self.hints = re.compile("|".join(sorted({re.escape(max(" ".join(w).split(), key=len)) for w in words})))
         self.rules: dict[str, list] = {}
         for rank, (name, ids) in enumerate(rules):
             self.rules.setdefault(ids[0], []).append((rank, name, ids))
 
+    def identifier(self, sentence: str) -> str | None:
+        """The identifier of a normalised sentence."""
+        if sentence in self.known:
+            return self.known[sentence]
+        return next((i for i, head, tail in self.framed if sentence.startswith(head) and sentence.endswith(tail)), None)
+
+    def goes_on(self, sentence: str) -> bool:
+        """Whether a known sentence may begin with this one."""
+        return sentence in self.beginnings or (sentence.startswith(self.heads) and sentence.count(" ") < self.longest)
+
     def scan(self, text: str | None) -> tuple[list[str], list[str], list[int]]:
         """Identifiers of the known sentences, licences by rule, and where those start."""
         found = []
@@ -153,9 +230,11 @@ class Scanner:
             while at < len(pieces):
                 start, s = pieces[at]
                 end, here = at + 1, None
-                while s in self.beginnings:
-                    if s in self.known:
-                        here = (end, self.known[s])
+                while self.goes_on(s):
+                    if here_id := self.identifier(s):
+                        here = (end, here_id)
+                        if s not in self.beginnings:
+                            break
                     if end == len(pieces) or not pieces[end][1]:
                         break
                     s, end = f"{s} {pieces[end][1]}", end + 1

@@ -145,10 +145,13 @@ SELECT record_id, outcome, response_id, CASE WHEN outcome = 'resolved' THEN head
 
 def licenses_sql() -> str:
     """Sentences, table look-up, and ordered rules as one alternation over identifiers."""
-    known = ", ".join(f"('{s}', '{i}')" for i, s in licenses.SENTENCES)
-    pattern = "|".join("".join(f"<{i}>" for i in ids) for _, ids in licenses.RULES)
+    rules = licenses.RULES + licenses.SPDX_RULES
+    known = ", ".join(f"('{s}', '{i}')" for i, s in licenses.SENTENCES + licenses.SPDX_SENTENCES)
+    framed = "CASE " + " ".join(f"WHEN starts_with(n.s, '{head}') AND ends_with(n.s, '{tail}') THEN '{i}'"
+                                for i, head, tail in licenses.FRAMED_SENTENCES) + " END"
+    pattern = "|".join("".join(f"<{i}>" for i in ids) for _, ids in rules)
     names: dict[str, str] = {}
-    for name, ids in licenses.RULES:
+    for name, ids in rules:
         names.setdefault("".join(f"<{i}>" for i in ids), name)
     named = ", ".join(f"('{k}', '{v}')" for k, v in names.items())
     return rf"""
@@ -156,7 +159,8 @@ WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id,
   string_split(regexp_replace(coalesce(text, ''), '([.!?])[{_WS}]+', '\1' || chr(10), 'g'), chr(10)) AS parts FROM documents),
 s AS (SELECT rid, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM d),
 n AS (SELECT rid, i, trim(regexp_replace(lower(s), '[^0-9a-z]+', ' ', 'g')) AS s FROM s),
-f AS (SELECT rid, i, k.id FROM n JOIN (VALUES {known}) AS k(s, id) USING (s)),
+f AS (SELECT rid, i, coalesce(k.id, {framed}) AS id FROM n LEFT JOIN (VALUES {known}) AS k(s, id) ON n.s = k.s
+  WHERE coalesce(k.id, {framed}) IS NOT NULL),
 g AS (SELECT rid, string_agg(id, ' ' ORDER BY i) AS sentences, string_agg('<' || id || '>', '' ORDER BY i) AS seq FROM f GROUP BY rid),
 m AS (SELECT rid, sentences, regexp_extract_all(seq, '{pattern}') AS hits FROM g),
 h AS (SELECT rid, unnest(hits) AS hit, generate_subscripts(hits, 1) AS i FROM m),

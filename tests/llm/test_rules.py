@@ -214,3 +214,32 @@ AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE"""
     assert [scan(t)[1] for t in (mit, isc, bsd, gpl, mpl)] == [
         ["MIT"], ["ISC"], ["BSD-3-Clause"], ["GPL-3.0-or-later"], ["MPL-2.0"]]
     assert scan("All rights\n\nreserved.")[1] == [] and scan("All rights reserved.")[1] == ["Proprietary"]
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following"
+     " conditions\nare met:\n\n1. Redistributions of source code must retain the above notice.\n\n3. Neither the name of the University"
+     " nor the names of its contributors\n   may be used to endorse or promote products derived from this software\n   without specific"
+     " prior written permission.\n", ["BSD-3-Clause"]),
+    ("// SPDX-License-Identifier: MIT\nint x;", ["MIT"]),
+    ("# SPDX-License-Identifier: GPL-2.0-or-later\n", ["GPL-2.0-or-later"]),
+    (" * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License"
+     " as published by\n * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version.\n *\n"
+     " * This program is distributed in the hope that it will be useful,\n * but WITHOUT ANY WARRANTY; without even the implied warranty"
+     " of\n * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n * GNU General Public License for more details.\n",
+     ["GPL-2.0-or-later"]),
+    ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense"
+     " as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n",
+     ["LGPL-2.1-or-later"]),
+    ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License"
+     " as\npublished by the Free Software Foundation, either version 3 of the\nLicense, or (at your option) any later version.\n",
+     ["AGPL-3.0-or-later"]),
+    ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy it.", ["Unlicense"]),
+    ("This software is provided 'as-is', without any express or implied\nwarranty.  In no event will the authors be held liable.\n\n"
+     "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and"
+     " redistribute it\nfreely, subject to the following restrictions:\n", ["Zlib"]),
+    ("Distributed under the Boost Software License, Version 1.0.\n", ["BSL-1.0"]),
+    ("Neither the name of the lake nor its depth is known to anyone here.", []),
+])
+def test_original_notices(text, want):
+    assert licenses.Scanner().scan(text)[1] == want
