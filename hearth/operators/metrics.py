@@ -128,8 +128,10 @@ def confusion_table(df: DataFrame, label: str, pred: str | Column, class_names:
                     by: Sequence[str] = ()) -> DataFrame:
     """V8: rows = true class name, one column per predicted class name."""
     cc = confusion_counts(df, label, pred, by)
-    n0, n1 = class_names
-    return cc.selectExpr(*by, f"stack(2, '{n0}', tn, fp, '{n1}', fn, tp) as (truth, `{n0}`, `{n1}`)")
+    rows = F.array(*[F.struct(F.lit(name).alias("truth"), F.col(no).alias("no"), F.col(yes).alias("yes"))
+                     for name, no, yes in zip(class_names, ("tn", "fn"), ("fp", "tp"))])
+    out = cc.select(*by, F.inline(rows))
+    return out.toDF(*by, "truth", *class_names)
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -167,8 +169,8 @@ def penalty_rows(df: DataFrame, label: str, score: str, eps: float = LOG_LOSS_EP
 
 def long_metrics(report: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Reshape a wide report into ``(by..., metric, value)`` rows (S6 layout)."""
-    stack = ", ".join(f"'{m}', cast(`{m}` as double)" for m in metrics)
-    return report.selectExpr(*by, f"stack({len(metrics)}, {stack}) as (metric, value)")
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), report[m].cast("double").alias("value")) for m in metrics])
+    return report.select(*by, F.inline(rows))
 
 
 def mean_over_folds(metrics: DataFrame, by: Sequence[str] = ("country", "metric")) -> DataFrame:

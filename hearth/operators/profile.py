@@ -80,11 +80,6 @@ def null_profile(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
             .withColumn("null_share", F.col("n_null") / F.col("n_rows")))
 
 
-def high_null_columns(df: DataFrame, cols: Sequence[str], threshold: float) -> DataFrame:
-    """A6 -> P1 list: columns whose NULL share exceeds ``threshold``."""
-    return null_profile(df, cols).where(F.col("null_share") > threshold)
-
-
 def constant_columns(df: DataFrame, cols: Sequence[str], max_unique: int = 1) -> DataFrame:
     """Columns with at most ``max_unique`` distinct non-null values."""
     return nunique(df, cols).where(F.col("nunique") <= max_unique)
@@ -143,12 +138,6 @@ def _pair_sums(df: DataFrame, cols: Sequence[str]) -> list:
     return [gram[a, b].tolist() for a, b in ((h, h), (z, h), (h, z), (q, h), (h, q), (z, z))]
 
 
-def correlated_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.9,
-                     method: str = "pairs") -> DataFrame:
-    """A9 -> P1 list: pairs with |corr| above ``threshold``."""
-    return correlation(df, cols, method).where(F.abs("corr") > threshold)
-
-
 def class_overlap(df: DataFrame, cols: Sequence[str], label: str = "poor", n_bins: int = 20) -> DataFrame:
     """A10: how well each column separates the classes.
 

@@ -33,12 +33,6 @@ def rename_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df
 
 
-def clash_renames(df: DataFrame, other: DataFrame, keys: Sequence[str] = ("id",),
-                  suffix: str = "_2") -> dict[str, str]:
-    """P2 helper: columns of ``df`` that also exist in ``other`` (keys excepted)."""
-    return {c: c + suffix for c in df.columns if c in other.columns and c not in keys}
-
-
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = DEFAULT_KEYS) -> list[str]:
     ex = set(exclude)
     return [f.name for f in df.schema.fields if is_numeric(f.dataType) and f.name not in ex]
