@@ -73,10 +73,10 @@ def run_all(recipes: Mapping[str, Recipe], hhold: DataFrame, indiv: DataFrame,
 
 def read_country(spark: SparkSession, folder: str, country: str, kind: str) -> DataFrame:
     """One country's train and test file of the survey layout, tagged by ``_split``
-    (the test file has no target); types come from the files."""
-    return schema.union_frames([
-        io.read_csv_table(spark, io.survey_path(folder, country, kind, split)).withColumn("_split", F.lit(split))
-        for split in ("train", "test")])
+    (the test file has no target); types come from the train file."""
+    known = io.read_csv_table(spark, io.survey_path(folder, country, kind, "train"))
+    new = io.read_csv_like(spark, io.survey_path(folder, country, kind, "test"), known.schema)
+    return schema.union_frames([known.withColumn("_split", F.lit("train")), new.withColumn("_split", F.lit("test"))])
 
 
 def submit_survey(spark: SparkSession, folder: str, recipes: Mapping[str, Recipe], parallel: bool = True) -> DataFrame:

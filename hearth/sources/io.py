@@ -49,6 +49,20 @@ def read_csv_table(spark: SparkSession, path: str, schema: StructType | None = N
         if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
+def read_csv_like(spark: SparkSession, path: str, like: StructType) -> DataFrame:
+    """CSV source with the types of ``like`` for its columns, by name (others are text): a test file gets
+    the types of its train file instead of types of its own. A value that has not the type is NULL."""
+    types = {f.name: f.dataType for f in like.fields}
+    df = spark.read.option("header", True).csv(path)
+
+    def typed(name: str):
+        kind = types.get(name, StringType())
+        value = F.col(f"`{name}`").try_cast(kind)
+        return (F.nanvl(value, F.lit(None).cast(kind)) if isinstance(kind, (DoubleType, FloatType)) else value).alias(name)
+
+    return df.select(*map(typed, df.columns))
+
+
 def survey_path(folder: str, country: str, kind: str, split: str) -> str:
     """The reference's file layout: ``{A,B,C}_{hhold,indiv}_{train,test}.csv``."""
     return f"{folder.rstrip('/')}/{country}_{kind}_{split}.csv"

@@ -57,3 +57,16 @@ def test_read_all_countries(spark, folder):
 
 def test_reference_models_are_uncut():
     assert [r.model["n_estimators"] for r in reference_recipes().values()] == [100, 400, 400]
+
+
+def test_test_files_get_the_types_of_train(spark, tmp_path):
+    """A column that is text in train stays text, however a test file's values look."""
+    from hearth.plans.train import read_country
+    rows = {"train": "id,code,x,poor,country\n1,a1,1.5,True,A\n2,7,NaN,False,A\n", "test": "id,code,x,country\n3,7,2,A\n4,8,odd,A\n"}
+    for split, text in rows.items():
+        with open(io.survey_path(str(tmp_path), "A", "hhold", split), "w") as f:
+            f.write(text)
+    df = read_country(spark, str(tmp_path), "A", "hhold")
+    assert dict(df.dtypes)["code"] == "string" and dict(df.dtypes)["x"] == "double"
+    assert sorted((r.id, r.code, r.x, r.poor, r._split) for r in df.collect()) == [
+        (1, "a1", 1.5, True, "train"), (2, "7", None, False, "train"), (3, "7", 2.0, None, "test"), (4, "8", None, None, "test")]
