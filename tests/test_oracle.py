@@ -30,8 +30,13 @@ def test_entry_contract():
     assert len(E.oracle_sql()) >= 80
 
 
-def test_entry_smoke(spark):
+def test_entry_smoke(spark, monkeypatch):
+    """The flagship query with few trees (the models' own number of them takes minutes)."""
     import __spark_entry__ as E
+    from hearth.plans import recipes
+    for c, model in recipes.REFERENCE_MODELS.items():
+        if model["kind"] == "gbt":
+            monkeypatch.setitem(recipes.REFERENCE_MODELS, c, {**model, "n_estimators": 4})
     df = E.entry(spark)
     assert df.schema.simpleString() == "struct<id:bigint,country:string,poor:double>"
     rows = df.collect()
