@@ -160,3 +160,29 @@ def test_sequences_hold_the_ids(spark, tok):
     total = b"".join(bytes(r.ids) for r in out)
     whole = [tok.raw(t or "") + np.array([2], "<u4").tobytes() for t in ("a b c", "d e " * 900, None)]
     assert len(total) == sum(map(len, whole)) and all(len(r.ids) <= 4096 for r in out)
+
+
+def test_rows_of_one_text_are_dealt_to_many_packers(spark, monkeypatch):
+    """Null ids with equal texts are repeated rows; no packer gets them all."""
+    seen = []
+    real = packing._spread
+
+    def spread(rows, packers, *keys):
+        out = real(rows, packers, *keys)
+        if keys == ("_row",):
+            seen.append([r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()])
+        return out
+
+    monkeypatch.setattr(packing, "_spread", spread)
+    docs = spark.createDataFrame([(None, "the same few words")] * 400, "doc_id long, text string").repartition(3)
+    rows = packing.pack(docs, PATH, pieces_per_packer=50).collect()
+    assert len(rows) == 400 and sum(seen[0]) == 400 and max(seen[0]) < 100
+    filled = {}
+    for r in rows:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in filled.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= packing.SEQUENCE
