@@ -15,6 +15,7 @@ from pyspark.sql.types import NumericType, StringType
 
 from hearth.operators import encode, joins, schema
 from hearth.plans.recipes import Recipe
+from hearth.session import written
 
 KEYS = ("id", "country", "poor", "_split", "fold", "label", "_holdout", "_draw")
 
@@ -45,7 +46,8 @@ def build_features(recipe: Recipe, hhold: DataFrame, indiv: DataFrame | None, sp
                                      keep=("country", split_col))
     if indiv is not None:
         i = schema.rename_columns(schema.drop_columns(indiv, recipe.drop_indiv), recipe.rename_indiv)
-        h = joins.num_indiv(h, i.select("id"))
+        # written: vocabulary, statistics, fit and score read the sizes instead of counting individuals again
+        h = written(joins.num_indiv(h, i.select("id")), "households")
     elif "num_indiv" not in h.columns:
         raise ValueError("hhold needs num_indiv when no individual table is given")
     binned: list[str] = []
