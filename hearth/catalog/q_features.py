@@ -145,7 +145,7 @@ _WIDE = {f"x{i}": f"(l_quantity * {i + 1}) % {7 + i} + l_discount * {i % 5} + l_
     "'x' || replace(substr(name, 2), '_', '_x') AS name, corr FROM (UNPIVOT r ON COLUMNS(*) INTO NAME name VALUE corr))",
     round_cols=["corr"])
 def a9_wide(spark, sf):
-    """A9 over a hundred columns: all pairs from one Gram matrix, added up on the JVM."""
+    """A9 over a hundred columns: all pairs from the Gram matrices of row blocks, in one pass."""
     li = tables.read_table(spark, sf, "lineitem").selectExpr(*[f"CAST({e} AS DOUBLE) AS {c}" for c, e in _WIDE.items()])
     return profile.correlation(li, list(_WIDE), method="matrix")
 

@@ -10,16 +10,16 @@ partial aggregation happens map-side before any shuffle.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearth.operators.ranking import (attach_grouped, exact_quantile, join_nullsafe,  # noqa: F401  (re-export)
                                      ordered_cumulative, quantile_from_cumulative)
+from hearth.session import compiled_methods
 
 
 def long_form(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (), as_type: str = "double",
@@ -94,10 +94,9 @@ def correlation(df: DataFrame, cols: Sequence[str], method: str = "pairs") -> Da
     """Pearson correlation of every column pair (a < b in list order).
 
     ``pairs``: one aggregate with ``corr(a, b)`` per pair (few columns).
-    ``matrix``: one pass of pair sums kept as arrays (count, sums, squares and
-    products over the rows where both columns are present), for hundreds of
-    columns; the result is bounded by the column count. Both modes are
-    pairwise-complete.
+    ``matrix``: one pass in which every task multiplies blocks of its rows
+    (numpy) and keeps one row of moments a pair, for hundreds of columns; the
+    result is bounded by the column count. Both modes are pairwise-complete.
     """
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     spark = df.sparkSession
@@ -107,35 +106,92 @@ def correlation(df: DataFrame, cols: Sequence[str], method: str = "pairs") -> Da
                           for i, (a, b) in enumerate(pairs)])
         return row.select(F.inline(cells))
     if method == "matrix":
-        sums = _pair_sums(df, cols)
+        found = _pair_moments(df, cols)
         data = []
         for i, a in enumerate(cols):
             for j in range(i + 1, len(cols)):
-                n, sa, sb, saa, sbb, sab = (float(m[i][j]) for m in sums)
-                va, vb = saa - sa * sa / n if n else 0.0, sbb - sb * sb / n if n else 0.0
-                data.append((a, cols[j], (sab - sa * sb / n) / math.sqrt(va * vb) if va > 0 and vb > 0 else None))
+                va, vb, vab = found.get((i, j), (0.0, 0.0, 0.0))
+                data.append((a, cols[j], vab / math.sqrt(va * vb) if va > 0 and vb > 0 else None))
         return spark.createDataFrame(data, "col_a string, col_b string, corr double")
     raise ValueError(f"unknown method {method!r}")
 
 
-def _pair_sums(df: DataFrame, cols: Sequence[str]) -> list:
-    """Per column pair over the rows where both are present: n, sum a, sum b, sum a^2,
-    sum b^2, sum ab: parts of one Gram matrix, of each column's presence (0 or 1), value and square
-    (0 where NULL), which Spark's linear algebra adds up on the JVM. Columns are centred on
-    their means first, so the sums don't cancel."""
-    p = len(cols)
+def _batch_moments(x: np.ndarray) -> list[np.ndarray]:
+    """Of one batch (a row per column, NaN where missing), a matrix of pairs each, over the entries where
+    both are present: count, mean a, mean b and the centred sums of a^2, b^2 and ab. Columns are centred on
+    their batch means first, so the sums don't cancel; a constant one on its value."""
+    here = ~np.isnan(x)
+    full = bool(here.all())
+    if full:
+        low, high, mean = x.min(axis=1), x.max(axis=1), x.mean(axis=1)
+    else:
+        low, high = np.fmin.reduce(x, axis=1), np.fmax.reduce(x, axis=1)
+        mean = np.where(here, x, 0.0).sum(axis=1) / np.maximum(here.sum(axis=1), 1)
+    shift = np.where(low == high, low, mean)
+    z = x - shift[:, None]
+    p = len(x)
+    if full:
+        n, sums = np.full((p, p), float(x.shape[1])), z.sum(axis=1)
+        zz = z @ z.T
+        sa, saa = np.broadcast_to(sums[:, None], (p, p)), np.broadcast_to(zz.diagonal()[:, None], (p, p))
+    else:
+        z[~here] = 0.0
+        h = here.astype(float)
+        n, sa, saa, zz = h @ h.T, z @ h.T, (z * z) @ h.T, z @ z.T
+    some = np.maximum(n, 1.0)
+    saa = np.maximum(saa - sa * sa / some, 0.0)
+    ma, cab = shift[:, None] + sa / some, zz - sa * sa.T / some
+    infinite = np.isinf(x).any(axis=1)
+    if infinite.any():  # such a column has no correlations
+        lost = infinite[:, None] | infinite
+        n, ma = np.where(lost, some, n), np.where(lost, 0.0, ma)
+        saa, cab = np.where(lost, np.nan, saa), np.where(lost, np.nan, cab)
+    return [n, ma, ma.T, saa, saa.T, cab]
+
+
+def _merged(s: list[np.ndarray], t: list[np.ndarray]) -> list[np.ndarray]:
+    """Moments of two sets of rows together (a set without a pair's rows leaves the other's as they are)."""
+    n = s[0] + t[0]
+    share = np.where(n > 0, t[0] / np.maximum(n, 1.0), 0.0)
+    da, db = (np.where(s[0] == 0, 0.0, np.where(t[0] == 0, 0.0, t[k] - s[k])) for k in (1, 2))
+    ma, mb = (np.where(s[0] == 0, t[k], s[k] + d * share) for k, d in ((1, da), (2, db)))
+    w = s[0] * share
+    return [n, ma, mb, s[3] + t[3] + da * da * w, s[4] + t[4] + db * db * w, s[5] + t[5] + da * db * w]
+
+
+_MOMENTS = ("n", "ma", "mb", "caa", "cbb", "cab")
+
+
+def _partition_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pair moments of a partition's rows: one row for each pair that is present in some."""
+    total = None
+    with np.errstate(all="ignore"):
+        for batch in batches:
+            if batch.num_rows:
+                own = _batch_moments(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
+                total = own if total is None else _merged(total, own)
+    if total is not None:
+        a, b = np.triu_indices(len(total[0]), 1)
+        kept = total[0][a, b] > 0
+        a, b = a[kept], b[kept]
+        yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)),
+                                          *[pa.array(m[a, b]) for m in total]], names=["a", "b", *_MOMENTS])
+
+
+def _pair_moments(df: DataFrame, cols: Sequence[str]) -> dict[tuple[int, int], tuple[float, float, float]]:
+    """Centred sums of a^2, b^2 and ab for each column pair over the rows where both are present (NaN counts as
+    missing). One pass: a task multiplies blocks of rows with numpy and gives one row a pair; those are
+    put together by (a, b), centred on one of the pair's partial means."""
     x = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    x = x.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in x.columns])
-    means = x.agg(*[F.avg(c).alias(c) for c in x.columns]).first()
-    centred = [F.col(c) - F.lit(0.0 if means[c] is None else means[c]) for c in x.columns]
-    here = [F.col(c).isNotNull().cast("double") for c in x.columns]
-    value = [F.coalesce(z, F.lit(0.0)) for z in centred]
-    rows = x.select(array_to_vector(F.array(*here, *value, *[v * v for v in value])).alias("v"))
-    if rows.isEmpty():
-        return [[[0.0] * p for _ in range(p)] for _ in range(6)]
-    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "v")).computeGramianMatrix().toArray()
-    h, z, q = slice(0, p), slice(p, 2 * p), slice(2 * p, 3 * p)
-    return [gram[a, b].tolist() for a, b in ((h, h), (z, h), (h, z), (q, h), (h, q), (z, z))]
+    parts = x.mapInArrow(_partition_moments, "a int, b int, " + ", ".join(f"{m} double" for m in _MOMENTS))
+    pair = Window.partitionBy("a", "b")
+    parts = parts.select("*", *[(F.col(m) - F.min(m).over(pair)).alias(f"d{m[1]}") for m in ("ma", "mb")])
+    n, da, db = F.col("n"), F.col("da"), F.col("db")
+    sums = parts.groupBy("a", "b").agg(*[
+        (F.sum(c) + F.sum(n * u * v) - F.sum(n * u) * F.sum(n * v) / F.sum(n)).alias(c)
+        for c, u, v in (("caa", da, da), ("cbb", db, db), ("cab", da, db))])
+    with compiled_methods(df.sparkSession):
+        return {(r.a, r.b): (r.caa, r.cbb, r.cab) for r in sums.collect()}
 
 
 def class_overlap(df: DataFrame, cols: Sequence[str], label: str = "poor", n_bins: int = 20) -> DataFrame:

@@ -80,6 +80,51 @@ def test_pair_modes_agree_on_gaps(spark):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
 
 
+def test_matrix_correlation_reads_the_rows_once(spark):
+    """One pass over the rows, with the session's settings as they were."""
+    import pyarrow as pa
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield pa.RecordBatch.from_arrays(b.columns, names=["u", "v", "w"])
+
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    rows = spark.range(0, 5000, 1, 4).select(*[F.rand(i).alias(c) for i, c in enumerate("uvw")])
+    df = rows.mapInArrow(counted, "u double, v double, w double")
+    assert profile.correlation(df, ["u", "v", "w"], "matrix").count() == 3
+    assert seen.value == 5000 and spark.conf.get(key) == before
+
+
+def test_matrix_correlation_of_odd_columns(spark):
+    """Gaps, NaN, far offsets, columns that are constant, empty, infinite or partly absent from partitions."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(400):
+        u, v = (float(x) for x in rng.random(2))
+        rows.append((u, u + v + 1e9, None if i % 3 else v, float("nan") if i % 5 == 0 else u * v, 0.1, None,
+                     float("inf") if i == 7 else v, v if i < 90 else None, u - v if i >= 300 else None))
+    cols = list("abcdefghi")
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(1).sortWithinPartitions("a")
+    x = np.array(rows, dtype=float)
+    for parts in (df, spark.createDataFrame(rows, df.schema).coalesce(3), spark.createDataFrame(rows, df.schema).repartition(7)):
+        got = {(r.col_a, r.col_b): r["corr"] for r in profile.correlation(parts, cols, "matrix").collect()}
+        assert len(got) == 36
+        for (a, b), found in got.items():
+            p, q = x[:, cols.index(a)], x[:, cols.index(b)]
+            both = ~np.isnan(p) & ~np.isnan(q)
+            p, q = p[both], q[both]
+            if not both.any() or {a, b} & {"e", "g"}:
+                assert found is None, (a, b, found)
+            else:
+                p, q = p - p.mean(), q - q.mean()
+                assert abs(found - (p @ q) / np.sqrt((p @ p) * (q @ q))) < 1e-7, (a, b)
+    assert [r["corr"] for r in profile.correlation(df.where("a < 0"), ["a", "b"], "matrix").collect()] == [None]
+
+
 def test_sparse_and_dense_grid_search_agree(spark):
     from hearth.plans import experiments
     from hearth.plans.features import build_features
