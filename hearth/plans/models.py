@@ -12,7 +12,8 @@ checkpointed into the shared folder, which bounds the lineage of 400-tree fits.
 
 Training rows are dealt by a hash of their id into as many partitions as their
 bytes need, and sorted inside. A fit's jobs (one a tree level) then have one task
-on small data, and bags, which Spark ML draws by partition, are the same for
+on small data (a task costs Spark ML as much as some 50,000 rows) and several on
+larger, and bags, which Spark ML draws by partition, are the same for
 every layout of the input.
 """
 
@@ -33,6 +34,8 @@ from hearth.session import checkpoint_root
 
 #: Bytes of training values (8 each) that a partition of a fit holds.
 PARTITION_BYTES = 32 << 20
+#: The first partitions of a fit hold less, so that its jobs use several cores: up to so many of so many bytes.
+FIRST_PARTITIONS, FIRST_BYTES = 4, 8 << 20
 
 
 def make_estimator(spec: dict, n_rows: int | None = None, features: str = "features",
@@ -89,12 +92,14 @@ def sparse_encoder_stages(cat_cols: Sequence[str], num_cols: Sequence[str], out:
 
 
 def dealt(train: DataFrame, n_rows: int, n_values: int, key: Sequence[str] = ("id", "_draw")) -> DataFrame:
-    """``train`` in partitions of about ``PARTITION_BYTES``, rows placed by a hash of
-    ``key`` and sorted by it: the same partitions whatever the layout of the input. Frames without the key columns are left as they are."""
+    """``train`` in partitions of about ``PARTITION_BYTES`` (``FIRST_BYTES``, while there are few), rows placed by
+    a hash of ``key`` and sorted by it: the same partitions whatever the layout of the input. Frames without the
+    key columns are left as they are."""
     by = [c for c in key if c in train.columns]
     if not by:
         return train
-    parts = max(1, math.ceil(n_rows * max(1, n_values) * 8 / PARTITION_BYTES))
+    size = n_rows * max(1, n_values) * 8
+    parts = max(1, math.ceil(size / PARTITION_BYTES), min(math.ceil(size / FIRST_BYTES), FIRST_PARTITIONS))
     return train.repartition(parts, *by).sortWithinPartitions(*by)
 
 

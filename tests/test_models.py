@@ -117,6 +117,14 @@ def test_fits_do_not_depend_on_the_input_layout(spark):
     assert many.rdd.getNumPartitions() == 24
 
 
+def test_middling_fits_use_several_partitions(spark):
+    """A country of a few hundred thousand households (25 MB) isn't one task; small data is, large goes by bytes."""
+    from hearth.plans import models
+    d = spark.range(100).withColumn("_draw", F.lit(0))
+    parts = {n: models.dealt(d, n, 13).rdd.getNumPartitions() for n in (1, 5_000, 80_000, 232_000, 1_400_000, 10_000_000)}
+    assert parts == {1: 1, 5_000: 1, 80_000: 1, 232_000: 3, 1_400_000: 5, 10_000_000: 31}
+
+
 def test_routed_scores_equal_each_models_own(spark):
     from hearth.plans import models
     from hearth.plans.features import build_features
